@@ -31,6 +31,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contaminated, scan
 
@@ -54,6 +60,7 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_top_k": op1_top_k,
     "op2_decontaminate": op2_decontaminate,
     "op3_url_reputation": op3_url_reputation,
     "op4_byte_bpe": op4_byte_bpe,
@@ -62,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_top_k": oracles.TOP_K,
     "op2_decontaminate": oracles.DECONTAMINATE,
     "op3_url_reputation": oracles.url_reputation(URL_RULES, urls.TWO_LABEL_SUFFIXES, urls.Z, urls.THRESHOLD, urls.WEAKEST, urls.STRONGEST),
 }
