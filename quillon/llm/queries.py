@@ -61,6 +61,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    found = scan(table(spark, sf_dir, "documents"), columns=["doc_id"])
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("licenses", lambda x: x["license"]))), ",")
+    return found.select("doc_id", F.size("licenses").alias("n_licenses"), names.alias("licenses"), F.round(F.array_max(F.transform("licenses", lambda x: x["dice"])), 6).alias("best_dice"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import scan
 
@@ -74,6 +82,13 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_model import score, train
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, train(docs), columns=["doc_id"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_decontaminate": op2_decontaminate,
@@ -81,8 +96,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_toxicity": op5_toxicity,
     "op6_simhash": op6_simhash,
+    "op7_licenses": op7_licenses,
     "op8_pii": op8_pii,
     "op9_shards": op9_shards,
+    "op10_language_model": op10_language_model,
 }
 
 ORACLES: dict[str, str] = {

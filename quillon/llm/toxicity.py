@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +19,12 @@ from pyspark.sql import functions as F
 from .common import arrow_map, fresh, prepare, texts
 
 #: Documented bound of the fit: so many labelled documents of each class, the ones with the least hash of their id.
-MAX_PER_CLASS = 1500
-BUCKETS, DIM, EPOCHS, RATE = 1 << 20, 4, 60, 0.1
+MAX_PER_CLASS = 1000
+BUCKETS, DIM, EPOCHS, RATE = 1 << 20, 4, 40, 0.01
 #: Features move only where their gradient is at least this share of the largest (threshold gradient descent).
-THRESHOLD = 0.25
-#: A feature must occur in so many labelled documents to be trained.
-LEAST_DOCS = 8
+THRESHOLD = 0.5
+#: A feature must occur in so many labelled documents, or one in fifty of them if that is less, to be trained.
+LEAST_DOCS = 40
 SHORTEST, LONGEST_GRAM = 3, 5
 #: Words without a vector that every mean takes in, so that one word of a short text doesn't decide alone.
 PAD = 20
@@ -80,33 +81,36 @@ class Model:
 def fit(labelled: list[tuple[bytes, int]], buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, least_docs: int = LEAST_DOCS, threshold: float = THRESHOLD, prior: float | None = None, seed: int = 7) -> Model:
     """Embeddings (buckets x dim) and softmax (dim x 2) by gradient descent with momentum on the mean cross-entropy of all
     documents; the same input gives the same model. prior: the share of label 1 that scores should reflect (by default as in labelled)."""
-    docs, y = [words_of(t) for t, _ in labelled], np.array([int(l) for _, l in labelled], np.int64)
+    y = np.array([int(label) for _, label in labelled], np.int64)
     if len(y) == 0 or y.min(initial=1) == y.max(initial=0):
         p = prior if prior is not None and 0 < prior < 1 else (y.sum() + 1) / (len(y) + 2)
         return Model(np.zeros(buckets), np.log(p / (1 - p)))
     vocabulary: dict[bytes, int] = {}
-    doc_word = [np.unique([vocabulary.setdefault(w, len(vocabulary)) for w in d], return_counts=True) for d in docs]
-    of_word = [np.array(grams(w, buckets), np.int32) for w in vocabulary]
-    n_gram = np.fromiter(map(len, of_word), np.int64, len(of_word))
-    gram = np.concatenate(of_word) if of_word else np.zeros(0, np.int32)
-    word = np.repeat(np.arange(len(of_word), dtype=np.int32), n_gram)
+    doc_word = [np.unique([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], return_counts=True) for t, _ in labelled]
+    flat, n_gram = array("i"), np.zeros(len(vocabulary), np.int64)
+    for w, k in vocabulary.items():
+        g = grams(w, buckets)
+        n_gram[k] = len(g)
+        flat.extend(g)
+    gram = np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32)
+    word = np.repeat(np.arange(len(vocabulary), dtype=np.int32), n_gram)
     share = np.repeat(1 / np.maximum(n_gram, 1), n_gram).astype(np.float32)
-    d_doc = np.repeat(np.arange(len(docs)), [len(w) for w, _ in doc_word])
-    d_word = np.concatenate([w for w, _ in doc_word]).astype(np.int64)
+    d_doc = np.repeat(np.arange(len(y), dtype=np.int32), [len(w) for w, _ in doc_word])
+    d_word = np.concatenate([w for w, _ in doc_word]).astype(np.int32)
     d_part = np.concatenate([c / (c.sum() + PAD) for _, c in doc_word]).astype(np.float32)
     # only features seen in several documents are trained; the others keep the weight 0
-    in_docs = np.bincount(d_word, minlength=len(of_word))
-    often = np.bincount(gram, in_docs[word], minlength=buckets) >= least_docs
+    in_docs = np.bincount(d_word, minlength=len(vocabulary))
+    often = np.bincount(gram, in_docs[word], minlength=buckets) >= min(least_docs, max(2, len(y) // 50))
     keep = often[gram]
     gram, word, share = gram[keep].astype(np.int32), word[keep].astype(np.int32), share[keep]
     used, gram = np.unique(gram, return_inverse=True)
-    del of_word[:]
 
     # each feature in units of its spread over documents, so that rare and frequent ones compare
-    mean = np.bincount(gram, share * np.bincount(d_word, d_part, minlength=len(vocabulary))[word], minlength=len(used)) / len(docs)
-    square = np.bincount(gram, share**2 * np.bincount(d_word, d_part**2, minlength=len(vocabulary))[word], minlength=len(used)) / len(docs)
+    mean = np.bincount(gram, share * np.bincount(d_word, d_part, minlength=len(vocabulary))[word], minlength=len(used)) / len(y)
+    square = np.bincount(gram, share**2 * np.bincount(d_word, d_part**2, minlength=len(vocabulary))[word], minlength=len(used)) / len(y)
     unit = 1 / np.sqrt(square + mean**2)
     share = (share * unit[gram]).astype(np.float32)
+    centre = (mean * unit).astype(np.float32)
 
     def product(rows, cols, part, x, n):
         """Sparse (n x ...) times x, column by column."""
@@ -120,7 +124,7 @@ def fit(labelled: list[tuple[bytes, int]], buckets: int = BUCKETS, dim: int = DI
     speed = [np.zeros_like(x) for x in (e, w, b)]
     for step in range(1, epochs + 1):
         vec = product(word, gram, share, e, len(vocabulary))
-        h = product(d_doc, d_word, d_part, vec, len(docs))
+        h = product(d_doc, d_word, d_part, vec, len(y)) - centre @ e
         z = h @ w + b
         z -= z.max(axis=1, keepdims=True)
         p = np.exp(z)
@@ -128,14 +132,14 @@ def fit(labelled: list[tuple[bytes, int]], buckets: int = BUCKETS, dim: int = DI
         g = (p - onehot) * balance
         gh = g @ w.T
         gvec = product(d_word, d_doc, d_part, gh, len(vocabulary))
-        grads = (product(gram, word, share, gvec, len(used)), h.T @ g, g.sum(axis=0))
+        grads = (product(gram, word, share, gvec, len(used)) - np.outer(centre, gh.sum(axis=0)), h.T @ g, g.sum(axis=0))
         for x, m, gr in zip((e, w, b), speed, grads, strict=True):
             m += 0.2 * (gr - m)
             size = np.abs(m).max(axis=1, keepdims=True) if m is speed[0] else np.abs(m)
             x -= rate * m / (size.max(initial=0) + 1e-12) * (size >= (threshold * size.max(initial=0) if m is speed[0] else 0))
     weight = np.zeros(buckets)
     weight[used] = unit * (e.astype(np.float64) @ (w[:, 1] - w[:, 0]))
-    bias = float(b[1] - b[0])
+    bias = float(b[1] - b[0]) - float(mean @ weight[used])
     if prior is not None and 0 < prior < 1:
         bias += float(np.log(prior / (1 - prior)))
     return Model(weight, bias)
@@ -156,6 +160,8 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
         part = known.where(F.col("_y") == y).orderBy(order, "_id").limit(per_class)
         some = part if some is None else some.unionByName(part)
     found = docs.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("_t")).join(F.broadcast(some), "_id")  # at most 2 * per_class ids
+    n, toxic = known.agg(F.count("*"), F.sum("_y")).first()
+    kw.setdefault("prior", (toxic or 0) / n if n else None)
     rows = sorted((int(r._y), str(r._id), r._t or "") for r in found.collect())
     return fit([(t.encode(), y) for y, _, t in rows], **kw)
 
