@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import base, factors
+
+MODULES = [factors]
+QUERIES, ORACLES = base.QUERIES, base.ORACLES
 FLAGSHIP = "factor_reversal_ic"
