@@ -66,10 +66,10 @@ def long_short(panel: DataFrame, factor: str, buckets: int = 5, target: str = "f
     return d.select("date", (F.coalesce("hi", F.lit(0.0)) - F.coalesce("lo", F.lit(0.0))).alias("ls"))
 
 
-def equity(daily: DataFrame, value: str = "ls") -> DataFrame:
-    """date, ls, equity, drawdown. One task, over daily aggregates only."""
+def equity(daily: DataFrame, value: str = "ls", share: float = 1.0) -> DataFrame:
+    """date, ls, equity, drawdown with a share of the capital at work. One task, over daily aggregates only."""
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    out = daily.withColumn("equity", F.product(1 + F.col(value)).over(w))
+    out = daily.withColumn("equity", F.product(1 + share * F.col(value)).over(w))
     return out.withColumn("drawdown", F.col("equity") / F.max("equity").over(w) - 1)
 
 
@@ -77,10 +77,10 @@ def sharpe(value: str) -> Column:
     return F.avg(value) / (F.stddev_samp(value) + TINY) * math.sqrt(YEAR)
 
 
-def backtest(panel: DataFrame, factor: str, buckets: int = 5, cost: float = 0.001) -> DataFrame:
+def backtest(panel: DataFrame, factor: str, buckets: int = 5, cost: float = 0.001, share: float = 1.0) -> DataFrame:
     """days, annual_return, sharpe, max_drawdown, turnover, cost_adjusted. Turnover is of the whole factor, returns of the
     rows that have one."""
-    ls = equity(long_short(panel, factor, buckets)).join(daily_turnover(panel, factor), "date", "full")
+    ls = equity(long_short(panel, factor, buckets), share=share).join(daily_turnover(panel, factor), "date", "full")
     return ls.agg(
         F.count("ls").alias("days"), (F.avg("ls") * YEAR).alias("annual_return"), F.coalesce(sharpe("ls"), F.lit(0.0)).alias("sharpe"),
         F.min("drawdown").alias("max_drawdown"), F.avg("turnover").alias("turnover"),

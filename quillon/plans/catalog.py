@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import base, factors
+from . import base, factors, relational
 
-MODULES = [factors]
+MODULES = [factors, relational]
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
 FLAGSHIP = "factor_reversal_ic"

@@ -84,7 +84,7 @@ def ts_ema(spark, sf_dir):
     return rounded(dsl.evaluate(panels.user_day(spark, sf_dir), {"value": "ts_ema(return, 5)"}).select("symbol", "date", "value"))
 
 
-@query("smoothed_clip", f'with {USER_DAY}{_RN}, n2 as (select *, ("return" - avg("return") over (partition by date)) / (stddev_samp("return") over (partition by date) + 1e-8) as x from n), e as ({decayed_sql("x", 1 - 2 / 4, "n2")}) select symbol, date, round(least(greatest(num / den, -5), 5), 6) + 0.0 as value from n2 join e using (symbol, rn)')
+@query("smoothed_clip", f'with {USER_DAY}{_RN}, n2 as (select *, ("return" - avg("return") over (partition by date)) / (stddev_samp("return") over (partition by date) + 1e-8) as x from n), e as ({decayed_sql("x", 1 - 2 / 4, "n2")}) select symbol, date, round(case when num is not null then least(greatest(num / den, -5), 5) end, 6) + 0.0 as value from n2 join e using (symbol, rn)')
 def smoothed_clip(spark, sf_dir):
     """An EMA-smoothed, clipped signal."""
     p = dsl.evaluate(panels.user_day(spark, sf_dir), {"x": "ts_ema(cs_zscore(return), 3)"})
@@ -120,7 +120,7 @@ _C = f"{_REV}, c as (select * from f0 where f is not null and r is not null)"
 _IC = f"{_C}, ic as (select date, case when min(f) <> max(f) and min(r) <> max(r) then covar_samp(f, r) / nullif(stddev_samp(f) * stddev_samp(r), 0) end as ic from c group by 1)"
 _TURN = f"{_REV}, w as (select symbol, date, f / (sum(abs(f)) over (partition by date) + 1e-8) as w from f0), t as (select date, abs(w - lag(w) over ({W})) as t from w)"
 _LS = f"{_C}, b0 as (select *, list_sort(list_distinct(quantile_cont(f, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) over (partition by date))) as e from c), b as (select *, case when len(e) > 1 then greatest(0, len(list_filter(e, lambda x: x < f)) - 1) end as k from b0), ls0 as (select date, avg(case when k = 4 then r end) as hi, avg(case when k = 0 then r end) as lo from b group by 1), ls as (select date, coalesce(hi, 0) - coalesce(lo, 0) as ls from ls0 where hi is not null or lo is not null)"
-_EQ = f"{_LS}, eq0 as (select date, ls, product(1 + ls) over (order by date) as equity from ls), eq as (select *, equity / max(equity) over (order by date) - 1 as drawdown from eq0)"
+_EQ = f"{_LS}, eq0 as (select date, ls, product(1 + 0.01 * ls) over (order by date) as equity from ls), eq as (select *, equity / max(equity) over (order by date) - 1 as drawdown from eq0)"
 
 
 def _reversal(spark, sf_dir) -> DataFrame:
@@ -164,7 +164,8 @@ def backtest_turnover(spark, sf_dir):
 
 @query("backtest_long_short", f"with {_EQ} select date, round(ls, 6) + 0.0 as ls, round(equity, 6) + 0.0 as equity, round(drawdown, 6) + 0.0 as drawdown from eq")
 def long_short(spark, sf_dir):
-    return rounded(quality.equity(quality.long_short(_reversal(spark, sf_dir), "f")))
+    """A hundredth of the capital in each leg: the tables' moves are far larger than those of prices."""
+    return rounded(quality.equity(quality.long_short(_reversal(spark, sf_dir), "f"), share=0.01))
 
 
 @query("backtest_summary", f"""with {_EQ}, w as (select symbol, date, f / (sum(abs(f)) over (partition by date) + 1e-8) as w from f0), t0 as (select date, abs(w - lag(w) over ({W})) as t from w),
@@ -172,7 +173,7 @@ def long_short(spark, sf_dir):
  select count(ls) as days, round(avg(ls) * 252, 5) as annual_return, round(coalesce(avg(ls) / (stddev_samp(ls) + 1e-8) * sqrt(252), 0), 5) as sharpe, round(min(drawdown), 5) as max_drawdown,
  round(avg(turnover), 5) as turnover, round(avg(ls - 2 * 0.001 * coalesce(turnover, 0)) * 252, 5) as cost_adjusted from j""")
 def backtest(spark, sf_dir):
-    return rounded(quality.backtest(_reversal(spark, sf_dir), "f"), 5)
+    return rounded(quality.backtest(_reversal(spark, sf_dir), "f", share=0.01), 5)
 
 
 @query("quality_degenerate", f"""with {_REV}, d as (select date, avg((f is not null)::int::double) as c, count(*) as n, count(f) as k, sum(f) as s, sum(f * f) as q from f0 group by 1),
