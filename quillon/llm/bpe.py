@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fresh, prepare, texts
+from .common import arrow_map, prepare, texts
 
 #: Matches remembered per generation and worker, and the longest one, in bytes; longer ones are merged one by one.
 REMEMBERED, LONGEST = 250_000, 64
@@ -336,7 +336,6 @@ def digests(df: DataFrame, path: str, pattern: str, id: str = "doc_id", text: st
     """id, n_tokens, ids_sha256 and decoded_sha256 (and the ids) of each text, encoded and decoded in one pass: what
     tokenize() and detokenize() give, without sending ids and bytes between processes."""
     prepare(df.sparkSession)
-    names = [fresh(df, x) if x == id else x for x in ("n_tokens", "ids_sha256", "decoded_sha256")]
 
     def run(b: pa.RecordBatch):
         c = codec(path, pattern)
@@ -348,5 +347,5 @@ def digests(df: DataFrame, path: str, pattern: str, id: str = "doc_id", text: st
             raw.append(packed if keep_ids else b"")
         return [pa.array(n, pa.int64()), pa.array(ids), pa.array(back), *([pa.array(raw, pa.binary())] if keep_ids else [])]
 
-    extra = f"{names[0]} long, {names[1]} string, {names[2]} string" + ", ids binary" * keep_ids
+    extra = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
     return arrow_map(df, [id, text], extra, run).drop(F.col(f"`{text}`"))

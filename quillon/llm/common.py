@@ -68,13 +68,14 @@ def with_columns(batch: pa.RecordBatch, extra: dict[str, pa.Array]) -> pa.Record
 
 
 def arrow_map(df: DataFrame, columns: list[str], extra: str, fn) -> DataFrame:
-    """Adds columns (DDL in extra) to df's columns; fn maps a RecordBatch to arrays in extra's order."""
+    """Adds columns (DDL in extra) to df's columns; fn maps a RecordBatch to arrays in extra's order. A new column whose
+    name is taken gets an underscore at its end."""
     kept = df.select(*[F.col(f"`{c}`") for c in columns])
-    from pyspark.sql.types import StructType
+    from pyspark.sql.types import StructField, StructType
 
     more = StructType.fromDDL(extra)
-    schema = StructType([*kept.schema.fields, *more.fields])
-    names = [f.name for f in more.fields]
+    names = [fresh(kept, f.name) for f in more.fields]
+    schema = StructType([*kept.schema.fields, *[StructField(n, f.dataType) for n, f in zip(names, more.fields, strict=True)]])
 
     def run(batches):
         for b in batches:

@@ -184,8 +184,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
         return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
 
     want = docs.columns if columns is None else list(dict.fromkeys([*columns, text]))
-    extra = [fresh(docs, x) for x in ("n_words", "n_hit", "items", "spans")]
-    made = arrow_map(docs, want, f"`{extra[0]}` long, `{extra[1]}` long, `{extra[2]}` array<string>, `{extra[3]}` array<struct<start: long, end: long>>", run)
+    made = arrow_map(docs, want, "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>", run)
     return made if columns is None or text in columns else made.drop(F.col(f"`{text}`"))
 
 

@@ -124,14 +124,14 @@ def assign(df: DataFrame, shards: int = SHARDS, id: str = "doc_id", text: str =
     numbered = placed.withColumn("within", within)
     out = numbered.join(F.broadcast(starts), piece)
     return out.select(
-        F.col("id").alias(id), F.col("size").alias(fresh(df, "size")), F.col("crc").alias(fresh(df, "text_crc32")), F.col("shard").alias(fresh(df, "shard")),
-        (F.col("before") + F.col("within")).cast("long").alias(fresh(df, "slot")),
+        F.col("id").alias(id), "size", F.col("crc").alias("text_crc32"), "shard",
+        (F.col("before") + F.col("within")).cast("long").alias("slot"),
     )
 
 
 def write_shards(df: DataFrame, path: str, shards: int = SHARDS, id: str = "doc_id", text: str = "text") -> None:
     """Whole rows as Parquet under path/shard=k, each file of one shard; ids must tell rows apart."""
-    plan, shard = assign(df, shards, id, text), fresh(df, "shard")
-    keys = plan.select(F.col(f"`{id}`").alias("_of"), F.col(f"`{shard}`").alias("_shard"))
-    rows = df.join(keys, F.col(f"`{id}`").eqNullSafe(F.col("_of"))).drop("_of").withColumnRenamed("_shard", shard)
+    plan, shard, of = assign(df, shards, id, text), fresh(df, "shard"), fresh(df, "_of")
+    keys = plan.select(F.col(f"`{id}`").alias(of), F.col("shard").alias(shard))
+    rows = df.join(keys, F.col(f"`{id}`").eqNullSafe(F.col(of))).drop(of)
     rows.repartition(shard, F.pmod(F.xxhash64(F.col(f"`{id}`").cast("string")), F.lit(64))).write.partitionBy(shard).parquet(path)

@@ -260,9 +260,9 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", radiu
 
     Null ids stay in the result and never name a component (null if a component has no other); repeated rows stay; null
     and empty texts have fingerprint 0 and are linked as any other; an empty table gives an empty result."""
-    fp, comp = fresh(df, "fingerprint"), fresh(df, "component_id")
+    fp = fresh(df, "fingerprint")
     slim = staged(with_fingerprint(df, text, fp, n, [id]).select(F.col(f"`{id}`").alias("id"), F.col(f"`{fp}`").alias("fp")), "fingerprints")
-    return classes(slim, radius).select(F.col("id").alias(id), F.col("fp").alias(fp), F.col("component_id").alias(comp))
+    return classes(slim, radius).select(F.col("id").alias(id), F.col("fp").alias("fingerprint"), "component_id")
 
 
 def classes(slim: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -271,7 +271,6 @@ def classes(slim: DataFrame, radius: int = RADIUS) -> DataFrame:
     roots = staged(connected(links(reps.select("fp"), radius)), "roots")
     linked = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    lookup = linked.where("root <> fp or least_id is null").join(named, "root").select("fp", "component_id")
     lookup = linked.join(named, "root").select("fp", "component_id")
     return slim.join(lookup, "fp", "left")
 
@@ -286,8 +285,9 @@ def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", radius: i
     slim = with_fingerprint(marked, text, fp, n, [id, row])
     slim = staged(slim.select(F.col(f"`{id}`").alias("id"), F.col(f"`{fp}`").alias("fp"), F.col(f"`{row}`").alias("rh")), "fingerprints")
     chosen = classes_with_rows(slim, radius)
-    chosen = chosen.select(F.col("id").alias("kept_id"), F.col("rh").alias("kept_rh"))
-    kept = marked.join(chosen, F.col(f"`{id}`").eqNullSafe(F.col("kept_id")) & (F.col(row) == F.col("kept_rh")), "left_semi")
+    same_id, same_row = fresh(marked, "kept_id"), fresh(marked, "kept_row")
+    chosen = chosen.select(F.col("id").alias(same_id), F.col("rh").alias(same_row))
+    kept = marked.join(chosen, F.col(f"`{id}`").eqNullSafe(F.col(same_id)) & (F.col(row) == F.col(same_row)), "left_semi")
     return kept.dropDuplicates([id, row]).select(*[F.col(f"`{c}`") for c in df.columns])
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_below, staged
+from .common import broadcast_below, fresh, staged
 
 # Public suffixes of two labels that the registered domain stands before; all others have one.
 TWO_LABEL_SUFFIXES = ["ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.ar", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "com.tw", "gov.uk", "ne.jp", "org.au", "org.uk"]
@@ -109,5 +109,6 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], i
 
 def keep(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], id: str = "page_id", **kw) -> DataFrame:
     """The allowed rows of pages, all columns; ids must tell rows apart."""
-    allowed = judge(pages, outcomes, rules, id, **kw).where("verdict = 'allow'").select(F.col(f"`{id}`").alias("_allowed"))
-    return pages.join(allowed, F.col(f"`{id}`").eqNullSafe(F.col("_allowed")), "left_semi")
+    mine = fresh(pages, "_allowed")
+    allowed = judge(pages, outcomes, rules, id, **kw).where("verdict = 'allow'").select(F.col(f"`{id}`").alias(mine))
+    return pages.join(allowed, F.col(f"`{id}`").eqNullSafe(F.col(mine)), "left_semi")
