@@ -134,5 +134,6 @@ def with_ema(df: DataFrame, x: Column, span: float, name: str, symbol: str = "sy
     q = 1 - 2 / (span + 1)
     a, b = f"{name}_n", f"{name}_d"
     out = with_decayed(df, {a: (x, q), b: (F.when(x.isNotNull(), F.lit(1.0)), q)}, symbol, date)
-    ratio = F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    # taken where a value is known: there its weight is 1 and what the sums leave out is negligible
+    ratio = F.when(x.isNotNull() & (F.col(b) > 0), F.col(a) / F.col(b))
     return out.withColumn(name, ratio).withColumn(name, F.last(name, ignorenulls=True).over(seen)).drop(a, b)
