@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import base, factors, relational
+from . import base, extras, factors, relational
 
-MODULES = [factors, relational]
+MODULES = [factors, relational, extras]
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
 FLAGSHIP = "factor_reversal_ic"
