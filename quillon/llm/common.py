@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 #: Rows per Arrow batch: documents average kilobytes, so a batch stays at a few MB.
 BATCH_ROWS = 512
 DEFAULT_SHARED = "file:///tmp/checkpoints"
+_paths: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
@@ -31,6 +32,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
+    _paths.append(path)
     return out
 
 
@@ -43,6 +45,15 @@ def drop_staged(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes all that this process has staged; call it once no frame made from it is needed. Returns the number."""
+    n = len(_paths)
+    while _paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return n
+
+
 def broadcast_below(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcasts df if a count proves at most max_rows rows; else leaves the join to Spark (shuffle, skew split)."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
