@@ -13,13 +13,13 @@ from .base import SUPPLIER_MONTH, USER_DAY, query, rounded, table
 # --- joins -----------------------------------------------------------------------------------------------------------
 
 
-@query("join_asof", """select p.event_id, p.user_id, e.event_id as error_id, e.value as error_value from (select * from events where event_type = 'purchase') p
+@query("join_asof", """select p.event_id, p.user_id, e.event_id::varchar as error_id, e.value as error_value from (select * from events where event_type = 'purchase') p
  asof left join (select * from events where event_type = 'error') e on p.user_id = e.user_id and p.ts >= e.ts""")
 def join_asof(spark, sf_dir):
     """The last error of the user before each purchase."""
     e = table(spark, sf_dir, "events")
     left = e.where("event_type = 'purchase'").select("user_id", "ts", "event_id")
-    right = e.where("event_type = 'error'").select("user_id", "ts", F.col("event_id").alias("error_id"), F.col("value").alias("error_value"))
+    right = e.where("event_type = 'error'").select("user_id", "ts", F.col("event_id").cast("string").alias("error_id"), F.col("value").alias("error_value"))
     return shapes.asof(left, right, ["user_id"], "ts", "ts", ["error_id", "error_value"]).select("event_id", "user_id", "error_id", "error_value")
 
 
