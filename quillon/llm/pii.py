@@ -202,12 +202,13 @@ def _kinds(s: str, key: bytes, tweak: bytes) -> str:
 _KINDS = {
     "email": (r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b", email),
     "iban": (r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b", iban),
-    "card": (r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-])", card),
     "ipv4": (r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)", ipv4),
     "date": (r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w/-]|\.\d)", date),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
+    "card": (r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,4}(?: \d{3})?|\d{4}(?:-\d{4}){2}-\d{1,4}(?:-\d{3})?|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\w-])", card),
     "phone": (r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w]|[.-]\d)|(?<![\w.])\+\d{9,15}(?!\w)", phone),
 }
+_SEPARATOR = re.compile(r"[ .-]")
 _FINDERS = [(k, re.compile(p), f) for k, (p, f) in _KINDS.items()]
 #: A place where any of them can begin: cheap, so that most of a text is passed over at once.
 _ANY = re.compile(r"@|\d\D{0,2}\d\D{0,2}\d")
@@ -223,17 +224,22 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
     if not _ANY.search(text):
         return text, []
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    left = text  # what is taken is blanked, so that a later kind ends where an earlier one begins
     for kind, pattern, _ in _FINDERS:
         if kind == "email" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
-            a, b = m.span()
-            if any(a < y and x < b for x, y in taken):
-                continue
-            if (new := _pseudonym(kind, m[0], key)) is not None:
-                found.append((a, b, kind, new))
-                taken.append((a, b))
+        new_spans = []
+        for m in pattern.finditer(left):
+            # a match may have run on into the next number: the longest part up to a separator that is valid counts
+            ends = [m.end(), *(m.start() + x.start() for x in reversed(list(_SEPARATOR.finditer(m[0]))))]
+            for end in ends:
+                value = left[m.start() : end]
+                if (end == m.end() or pattern.fullmatch(value)) and (new := _pseudonym(kind, value, key)) is not None:
+                    new_spans.append((m.start(), end, kind, new))
+                    break
+        for a, b, _, _ in new_spans:
+            left = left[:a] + "\0" * (b - a) + left[b:]
+        found += new_spans
     if not found:
         return text, []
     found.sort()

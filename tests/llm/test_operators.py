@@ -447,6 +447,15 @@ def test_what_is_not_valid_stays():
         assert pii.pseudonymise(t, b"k") == (t, [])
 
 
+def test_neighbouring_values_are_all_found():
+    parts = ["4451718024887799", "27.65.93.188", "+1 (269) 555-3296", "27.65.93.189", "4111 1111 1111 1111", "1999-12-31", "a.b@c.example.org", "DE89 3704 0044 0532 0130 00", "123-45-6789", "212-555-0199", "10.0.0.1"]
+    for sep in (" ", ", ", "\n"):
+        text = sep.join(parts)
+        new, found = pii.pseudonymise(text, b"k")
+        assert [k for k, _, _ in found] == ["card", "ipv4", "phone", "ipv4", "card", "date", "email", "iban", "ssn", "phone", "ipv4"]
+        assert [text[a:b] for _, a, b in found] == parts and not any(p in new for p in parts)
+
+
 def test_pii_frames(spark):
     df = frame(spark, [(1, "call +1 (988) 555-2485"), (2, None), (3, ""), (1, "call +1 (988) 555-2485"), (4, "x" * 300_000 + " 10.0.0.1")])
     got = pii.scan(df).collect()
