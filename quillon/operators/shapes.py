@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """df, broadcast if a count proves that it has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def asof(left: DataFrame, right: DataFrame, by: list[str], left_on: str, right_on: str, columns: list[str]) -> DataFrame:
     """left with columns of the latest right row of the same key at or before it (null if none). One exchange on the key: the
     sides are interleaved and the last right row is carried on as a struct, so a matched row may hold nulls."""
@@ -28,7 +33,7 @@ def first_interval(points: DataFrame, intervals: DataFrame, key: Column, low: st
     """points with columns of the first interval (least order) of the same key that holds them; both ends belong to it.
     Intervals of a key should be few: they meet all its points."""
     cond = (key >= F.col(low)) & (key <= F.col(high))
-    rows = points.join(intervals, by, "left") if by else points.crossJoin(F.broadcast(intervals))
+    rows = points.join(intervals, by, "left") if by else points.crossJoin(F.broadcast(intervals))  # without keys: a written list
     grouped = rows.groupBy(*point_id).agg(F.min(F.when(cond, F.struct(F.col(order).alias("_o"), F.struct(*columns).alias("_v")))).alias("_m"))
     return grouped.select(*point_id, *[F.col(f"_m._v.{c}") for c in columns])
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shapes import top_per_group
+from .shapes import small, top_per_group
 
 # Characters stripped from query terms; words of the critic; phrases of the safety gate.
 STRIPPED = ".,:;!?()[]{}"
@@ -103,9 +103,10 @@ def identifier(text: Column) -> Column:
 
 def retrieve(queries: DataFrame, passages: DataFrame, query_id: str, query_text: str, source: str, passage_id: str, keywords: str, k: int = 2) -> DataFrame:
     """The k passages of each source that share most terms with a query; ties to the greater id. An inverted index: terms
-    and keywords meet in an equi-join, so only passages that share a term are ever paired."""
+    and keywords meet in an equi-join, so only passages that share a term are ever paired. Few query terms are broadcast:
+    then passages stay where they are, however often a term occurs in them."""
     q = queries.select(F.col(query_id).alias("q"), F.explode(terms(F.col(query_text))).alias("term"))
     p = passages.select(F.col(source).alias("s"), F.col(passage_id).alias("p"), F.explode(F.array_distinct(F.col(keywords))).alias("term"))
-    hits = q.join(p, "term").groupBy("q", "s", "p").agg(F.count("*").alias("overlap"))
+    hits = p.join(small(q, 200_000), "term").groupBy("q", "s", "p").agg(F.count("*").alias("overlap"))
     best = top_per_group(hits, ["q", "s"], [F.col("overlap").desc(), F.col("p").desc()], k)
     return best.select(F.col("q").alias(query_id), F.col("s").alias(source), F.col("p").alias(passage_id), "overlap", "rank")
