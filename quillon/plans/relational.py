@@ -23,7 +23,8 @@ def join_asof(spark, sf_dir):
     return shapes.asof(left, right, ["user_id"], "ts", "ts", ["error_id", "error_value"]).select("event_id", "user_id", "error_id", "error_value")
 
 
-@query("join_left_enrich", "select o_orderkey, o_custkey, c_mktsegment, sum(l_extendedprice * (1 - l_discount)) as revenue from orders left join customer on o_custkey = c_custkey left join lineitem on l_orderkey = o_orderkey group by all".replace("sum(l_extendedprice * (1 - l_discount))", "round(sum(l_extendedprice * (1 - l_discount)), 5)"))
+@query("join_left_enrich", """select o_orderkey, o_custkey, c_mktsegment, round(sum(l_extendedprice * (1 - l_discount)), 5) as revenue
+ from orders left join customer on o_custkey = c_custkey left join lineitem on l_orderkey = o_orderkey group by all""")
 def left_enrich(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 5).alias("revenue"))
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
