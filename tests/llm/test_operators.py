@@ -492,6 +492,48 @@ def test_dice_and_pruning_equal_brute_force():
         assert (best[1] == pytest.approx(max(dice)) if max(dice) >= 0.8 else best is None)
 
 
+def test_licenses_inside_prose_whole_texts_and_versions():
+    t = licenses.Templates(licenses.TEMPLATES + licenses.whole_texts(), licenses.THRESHOLD)
+    whole = dict(licenses.whole_texts())
+    prose = " ".join(base_words(300, 5))
+    names = lambda text: [x[0] for x in t.scan(text)]
+    text = f"{prose} Released under the MIT License, {prose}"
+    (name, dice, a, b), = t.scan(text)
+    assert (name, dice, text[a:b]) == ("MIT", 1.0, "Released under the MIT License")
+    wrapped = " ".join(whole["MIT"].split()).replace(" ", "\n")
+    for x in (whole["MIT"], wrapped, f"{prose}\nCopyright (c) 2020 A. Person\n\n{whole['MIT']}\n{prose}", whole["MIT"].replace("\n\n", f"\n\n{' '.join(base_words(8, 2))}\n")):
+        assert names(x) == ["MIT"]
+    for name, x in whole.items():
+        assert names(f"{prose}\n{x}\n{prose}") == [name]
+    header = "This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version %s of the License, or\n(at your option) any later version."
+    for v in "123":
+        assert names(prose + " " + header % v + " " + prose) == [f"GPL-{v}.0"]
+    assert names(header % "9") == []
+    assert names("Licensed under CC BY-NC-ND 4.0, as is Creative Commons Attribution 3.0") == ["CC-BY-NC-ND-4.0"]
+    assert names("Licensed under the Apache License, Version 1.1.") == [] and names(prose) == []
+    first = whole["BSD-2-Clause"].split("\n\n")[0]
+    assert names(first) == ["BSD-2-Clause OR BSD-3-Clause"]  # what both share doesn't tell them apart
+    assert names("\u0130 " + whole["ISC"]) == ["ISC"] and names(f"{whole['MIT']}\n{whole['BSD-3-Clause']}") == ["MIT", "BSD-3-Clause"]
+
+
+def test_license_windows_equal_brute_force():
+    r = random.Random(4)
+    some = [(f"L{k}", " ".join(r.choice("abcdef") for _ in range(r.randint(2, 9)))) for k in range(6)]
+    for one in some:
+        t = licenses.Templates([one], 0.8)
+        for _ in range(40):
+            w = [r.choice("abcdefgh") for _ in range(25)]
+            dice = []
+            for i in range(25):
+                for j in range(i + 2, 26):
+                    x = licenses.bigrams(" ".join(w[i:j]))
+                    dice.append((2 * sum((x & t.grams[0]).values()) / (j - i - 1 + t.sizes[0]), i, j))
+            found = t.scan(" ".join(w))
+            assert bool(found) == (max(dice)[0] >= 0.8)
+            for _, d, a, b in found:
+                assert (pytest.approx(d), a // 2, (b + 1) // 2) in [(x, i, j) for x, i, j in dice]
+
+
 # --- language model ---------------------------------------------------------------------------------------------------
 
 
