@@ -206,9 +206,11 @@ _KINDS = {
     "date": (r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w/-]|\.\d)", date),
     "ssn": (r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
     "card": (r"(?<![\w.+-])(?:\d{13,19}|\d{4}(?: \d{4}){2} \d{1,4}(?: \d{3})?|\d{4}(?:-\d{4}){2}-\d{1,4}(?:-\d{3})?|\d{4}[ -]\d{6}[ -]\d{4,5})(?![\w-])", card),
-    "phone": (r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w]|[.-]\d)|(?<![\w.])\+\d{9,15}(?!\w)", phone),
+    "phone": (r"(?<![\w.])\+\d{1,15}(?:[ .-]?\(\d{1,5}\)[ .-]?\d{1,12})?(?:[ .-]\d{1,12}){0,14}(?!\w|[.-]\d)|(?<![\w.])(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w]|[.-]\d)", phone),
 }
 _SEPARATOR = re.compile(r"[ .-]")
+#: How North American numbers are grouped.
+_USUAL = re.compile(r"\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}")
 _FINDERS = [(k, re.compile(p), f) for k, (p, f) in _KINDS.items()]
 #: A place where any of them can begin: cheap, so that most of a text is passed over at once.
 _ANY = re.compile(r"@|\d\D{0,2}\d\D{0,2}\d")
@@ -219,6 +221,24 @@ def _pseudonym(kind: str, value: str, key: bytes) -> str | None:
     return _KINDS[kind][1](value, key)
 
 
+def _part(kind: str, pattern: re.Pattern, text: str, m: re.Match, key: bytes) -> tuple[int, int, str] | None:
+    """Start, end and pseudonym of the first valid part, between separators, of a match that isn't valid itself. Parts are
+    chosen so that the valid ones hold the most digits together; of equal choices the one with more of the usual groups,
+    then with the earlier and longer first part."""
+    cuts = [m.start() + x.start() for x in _SEPARATOR.finditer(m[0])]
+    starts, ends = [m.start(), *(c + 1 for c in cuts)], [*cuts, m.end()]
+    best: list[tuple[tuple[int, int], tuple[int, int, str] | None]] = [((0, 0), None)] * (len(starts) + 1)
+    for i in reversed(range(len(starts))):
+        best[i] = best[i + 1]
+        for j in range(i, len(ends)):
+            if pattern.fullmatch(text, starts[i], ends[j]) and (new := _pseudonym(kind, text[starts[i] : ends[j]], key)) is not None:
+                digits, usual = best[j + 1][0]
+                size = digits + sum(c.isdigit() for c in new), usual + bool(_USUAL.fullmatch(new))
+                if size >= best[i][0]:
+                    best[i] = size, (starts[i], ends[j], new)
+    return best[0][1]
+
+
 def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]]:
     """The text with pseudonyms, and kind, start and end (characters; the same in both texts) of each."""
     if not _ANY.search(text):
@@ -229,14 +249,14 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
         if kind == "email" and "@" not in text:
             continue
         new_spans = []
-        for m in pattern.finditer(left):
-            # a match may have run on into the next number: the longest part up to a separator that is valid counts
-            ends = [m.end(), *(m.start() + x.start() for x in reversed(list(_SEPARATOR.finditer(m[0]))))]
-            for end in ends:
-                value = left[m.start() : end]
-                if (end == m.end() or pattern.fullmatch(value)) and (new := _pseudonym(kind, value, key)) is not None:
-                    new_spans.append((m.start(), end, kind, new))
-                    break
+        at = 0
+        while m := pattern.search(left, at):
+            # a match may have run on into the next number, or begun before the number
+            new = _pseudonym(kind, m[0], key)
+            part = (m.start(), m.end(), new) if new is not None else _part(kind, pattern, left, m, key)
+            at = part[1] if part else m.start() + 1
+            if part:
+                new_spans.append((part[0], part[1], kind, part[2]))
         for a, b, _, _ in new_spans:
             left = left[:a] + "\0" * (b - a) + left[b:]
         found += new_spans
