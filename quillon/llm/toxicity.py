@@ -24,25 +24,42 @@ MAX_PER_CLASS = 1000
 BUCKETS, DIM, EPOCHS, RATE = 1 << 20, 4, 40, 0.01
 #: Features move only where their gradient is at least this share of the largest (threshold gradient descent).
 THRESHOLD = 0.6
-#: A feature must occur in so many labelled documents, or one in fifty of them if that is less, to be trained.
-LEAST_DOCS = 40
+#: A feature must occur in so many labelled documents to be trained.
+LEAST_DOCS = 2
 SHORTEST, LONGEST_GRAM = 3, 5
 #: Words without a vector that every mean takes in, so that one word of a short text doesn't decide alone.
 PAD = 20
 #: A word that a text repeats n times weighs n to this power, so that a repeated line doesn't outweigh the rest.
 DAMPING = 0.5
 REMEMBERED = 300_000
+#: Characters of the pieces that a longer word (a passage without separators) is taken in.
+PIECE = 64
 _WORD = re.compile(rb"[a-z0-9\x80-\xff']+")
 
 
 def words_of(text: bytes) -> list[bytes]:
-    """Runs of ASCII letters (A-Z lower-cased), digits, apostrophes and anything past 7F."""
-    return _WORD.findall(text.lower())
+    """Runs of ASCII letters (A-Z lower-cased), digits, apostrophes and anything past 7F; those of more than PIECE characters
+    as pieces that overlap by LONGEST_GRAM - 1, with a space at an end that was cut."""
+    words = _WORD.findall(text.lower())
+    if not any(len(w) > PIECE for w in words):
+        return words
+    return [x for w in words for x in ([w] if len(w) <= PIECE else pieces(w))]
+
+
+def pieces(word: bytes) -> list[bytes]:
+    w = word.decode("utf-8", "replace")
+    if len(w) <= PIECE:
+        return [word]
+    keep = LONGEST_GRAM - 1
+    starts = range(0, len(w) - keep, PIECE - keep)
+    return [f"{' ' if i else ''}{w[i : i + PIECE]}{' ' if i + PIECE < len(w) else ''}".encode() for i in starts]
 
 
 def grams(word: bytes, buckets: int) -> list[int]:
-    """Buckets of a word's character n-grams, and of the word, marked at both ends."""
-    w = f"<{word.decode('utf-8', 'replace')}>"[:66]
+    """Buckets of a word's character n-grams, and of the word, marked at both ends but where a piece was cut."""
+    w = word.decode("utf-8", "replace")
+    w = w[1:] if w[:1] == " " else "<" + w
+    w = w[:-1] if w[-1:] == " " else w + ">"
     crc, found = zlib.crc32, {w}
     for n in range(SHORTEST, LONGEST_GRAM + 1):
         found.update([w[i : i + n] for i in range(len(w) - n + 1)])
@@ -104,7 +121,7 @@ def fit(labelled: list[tuple[bytes, int]], buckets: int = BUCKETS, dim: int = DI
     d_part = np.concatenate([c / (c.sum() + PAD) for _, c in doc_word]).astype(np.float32)
     # only features seen in several documents are trained; the others keep the weight 0
     in_docs = np.bincount(d_word, minlength=len(vocabulary))
-    often = np.bincount(gram, in_docs[word], minlength=buckets) >= min(least_docs, max(2, len(y) // 50))
+    often = np.bincount(gram, in_docs[word], minlength=buckets) >= least_docs
     keep = often[gram]
     gram, word, share = gram[keep].astype(np.int32), word[keep].astype(np.int32), share[keep]
     used, gram = np.unique(gram, return_inverse=True)

@@ -409,6 +409,31 @@ def test_toxicity_learns_subwords(spark):
     assert kept.columns == extra.columns and kept.count() == 4
 
 
+def test_toxic_words_behind_the_start_of_a_long_run_count():
+    r = random.Random(6)
+    run = lambda n: "".join(r.choice("\u4e00\u4e8c\u4e09\u56db\u4e94\u516d\u4e03\u516b") for _ in range(n))
+    bad = "\u574f\u5766\u514b"
+    long = run(100) + bad + run(30)
+    held = toxicity.words_of(long.encode())
+    seen = {g for x in held for g in toxicity.grams(x, 1 << 30)}
+    marked = f"<{long}>"
+    assert all(zlib.crc32(marked[i : i + n].encode()) % (1 << 30) in seen for n in (3, 4, 5) for i in range(len(marked) - n + 1))
+    rows = [((run(100) + (bad if k % 2 else "") + run(30)).encode(), k % 2) for k in range(200)]
+    model = toxicity.Model.__new__(toxicity.Model)
+    model.__setstate__(toxicity.fit(rows).__getstate__())
+    assert model.score(long.encode()) > 0.5 > model.score((run(100) + run(33)).encode())
+
+
+def test_toxic_words_of_few_documents_are_trained():
+    r = random.Random(9)
+    rare = [f"{''.join(r.sample('bcdfghjklmnpqrstvwxz', 6))}" for _ in range(34)]
+    rows = [(" ".join(base_words(30, k) + ([rare[k // 4 % 34]] * 3 if k % 4 == 0 else [])).encode(), int(k % 4 == 0)) for k in range(408)]
+    model = toxicity.Model.__new__(toxicity.Model)
+    model.__setstate__(toxicity.fit(rows).__getstate__())  # each rare word in three documents
+    moved = sum(model._word(w.encode()) > 0 for w in rare)
+    assert moved > len(rare) / 2
+
+
 def test_toxicity_without_labels(spark):
     df = frame(spark, [(1, "a b")])
     model = toxicity.train(df, spark.createDataFrame([], "doc_id long, toxic int"))
