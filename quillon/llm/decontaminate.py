@@ -125,7 +125,7 @@ class Block:
 def blocks(benchmark: DataFrame, id: str, text: str, window: int, limit: int = BLOCK_WINDOWS) -> Iterator[Block]:
     """The benchmark in blocks of at most limit windows (a longer item is a block of its own), streamed to the driver."""
     held, size = [], 0
-    for row in benchmark.select(F.col(f"`{id}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t")).where("i is not null and t is not null").toLocalIterator():
+    for row in benchmark.select(F.col(f"`{id}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null").toLocalIterator():
         raw = row.t.encode()
         n = raw.count(b" ") + 1
         if held and size + n > limit:
@@ -142,7 +142,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     in the UTF-8 bytes of the text).
 
     A-Z are lower-cased, words are runs of digits, letters and anything past 7F. A null text has no words; items without
-    an id, or without words, have no window; an empty benchmark hits nothing; repeated items count once by id."""
+    words have no window; those without an id hit but are not in items; an empty benchmark hits nothing; repeated items
+    count once by id."""
     prepare(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     held = [sc.broadcast(b) for b in blocks(benchmark, item_id, item_text, window)]
@@ -169,7 +170,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
                 for at, n, its in block.find(doc):
                     change[at] += 1
                     change[at + n] -= 1
-                    found.setdefault(int(doc.text[at]), set()).update(block.ids[i] for i in its)
+                    found.setdefault(int(doc.text[at]), set()).update(block.ids[i] for i in its if block.ids[i] is not None)
                 if len(held) > 1:
                     bc.__dict__.pop("_value", None)  # a worker keeps one block at a time
             hit = np.cumsum(change)[:-1] > 0

@@ -254,6 +254,15 @@ def test_removing_documents_and_spans(spark):
     assert decontaminate.remove_documents(df, bench.limit(0)).count() == len(docs)
 
 
+def test_items_without_an_id_hit(spark):
+    item, known = " ".join(base_words(20, 1)), " ".join(base_words(20, 2))
+    bench = spark.createDataFrame([(None, item), (None, None), (7, known)], "item_id long, text string")
+    docs = frame(spark, [(1, item), (2, f"{item} {known}"), (3, " ".join(base_words(20, 3)))])
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.scan(docs, bench, columns=["doc_id"]).collect()}
+    assert got == {1: (20, []), 2: (40, ["7"]), 3: (0, [])}
+    assert [r.doc_id for r in decontaminate.remove_documents(docs, bench).collect()] == [3]
+
+
 def test_words_of_very_long_texts(monkeypatch):
     monkeypatch.setattr(decontaminate, "_CHUNK", 64)
     w = base_words(500, 3)
