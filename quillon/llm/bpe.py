@@ -18,7 +18,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import arrow_map, prepare, texts
 
@@ -316,9 +315,7 @@ def tokenize(df: DataFrame, path: str, pattern: str, text: str = "text", out: st
         c = codec(path, pattern)
         return [pa.array(list(c.encode_batch([x or "" for x in b.column(b.schema.names.index(text)).to_pylist()])), pa.binary())]
 
-    want = df.columns if columns is None else list(dict.fromkeys([*columns, text]))
-    made = arrow_map(df, want, f"`{out}` binary", run)
-    return made if columns is None or text in columns else made.drop(text)
+    return arrow_map(df, df.columns if columns is None else columns, f"`{out}` binary", run, (text,))
 
 
 def detokenize(df: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -348,4 +345,4 @@ def digests(df: DataFrame, path: str, pattern: str, id: str = "doc_id", text: st
         return [pa.array(n, pa.int64()), pa.array(ids), pa.array(back), *([pa.array(raw, pa.binary())] if keep_ids else [])]
 
     extra = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * keep_ids
-    return arrow_map(df, [id, text], extra, run).drop(F.col(f"`{text}`"))
+    return arrow_map(df, [id], extra, run, (text,))

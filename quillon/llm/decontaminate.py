@@ -8,6 +8,7 @@ them on, and each of those is compared with the benchmark's words before it coun
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +19,15 @@ from pyspark.sql import functions as F
 from .common import arrow_map, fresh, prepare, spans_of, texts
 
 WINDOW = 13
-#: Windows in one broadcast block (about 24 bytes each, and their texts); a larger benchmark is broadcast in several.
+#: Words, and so windows, in one broadcast block (about 24 bytes each, and their texts); a larger benchmark is broadcast in
+#: several, and a longer item is cut.
 BLOCK_WINDOWS = 1_000_000
 #: A document is contaminated if at least one in this many of its words is hit.
 SHARE = 20
 _CHUNK = 1 << 20
+#: Hit windows whose items a worker keeps at hand.
+_KEPT = 100_000
+_ITEM_WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -109,30 +114,58 @@ class Block:
             bitmap = np.zeros(1 << 20, bool)
             bitmap[(h >> np.uint64(44)).astype(np.int64)] = True
             self.sets[n] = h[order], first[order], bitmap
+        self.hot: dict[tuple[int, int], dict[bytes, set[int]]] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"hot": {}}
+
+    def items_of(self, n: int, a: int, b: int) -> dict[bytes, set[int]]:
+        """Items by the words of the windows at places a to b of the set of length n, which share a hash. Kept once found,
+        so that a window which many documents and items hold is compared once for each document."""
+        found = self.hot.get((n, a))
+        if found is None:
+            if len(self.hot) >= _KEPT:
+                self.hot.clear()
+            found = self.hot[n, a] = {}
+            for p in self.sets[n][1][a:b].tolist():
+                found.setdefault(self.words.joined(p, n), set()).add(int(self.words.text[p]))
+        return found
 
     def find(self, doc: Words) -> Iterator[tuple[int, int, set[int]]]:
         """First word, length and items of each window that occurs in doc."""
-        for n, (known, place, bitmap) in self.sets.items():
+        for n, (known, _, bitmap) in self.sets.items():
             first, h = doc.windows(n)
             maybe = np.flatnonzero(bitmap[(h >> np.uint64(44)).astype(np.int64)])
             lo, hi = np.searchsorted(known, h[maybe]), np.searchsorted(known, h[maybe], side="right")
             for at, a, b in zip(first[maybe[hi > lo]].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                text = doc.joined(at, n)
-                if items := {int(self.words.text[p]) for p in place[a:b].tolist() if self.words.joined(p, n) == text}:
+                if items := self.items_of(n, a, b).get(doc.joined(at, n)):
                     yield at, n, items
 
 
+def pieces(raw: bytes, window: int, limit: int) -> Iterator[tuple[int, bytes]]:
+    """Number of words and text of an item; of one with more than limit words, parts that overlap by a window less one word,
+    so that each of its windows lies in one of them."""
+    n = len(_ITEM_WORD.findall(raw))
+    if n <= limit:
+        yield n, raw
+        return
+    spans = [m.span() for m in _ITEM_WORD.finditer(raw)]
+    limit = max(limit, window)
+    for a in range(0, n - window + 1, limit - window + 1):
+        part = spans[a : a + limit]
+        yield len(part), raw[part[0][0] : part[-1][1]]
+
+
 def blocks(benchmark: DataFrame, id: str, text: str, window: int, limit: int = BLOCK_WINDOWS) -> Iterator[Block]:
-    """The benchmark in blocks of at most limit windows (a longer item is a block of its own), streamed to the driver."""
+    """The benchmark in blocks of at most limit words (and so windows), streamed to the driver."""
     held, size = [], 0
     for row in benchmark.select(F.col(f"`{id}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t")).where("t is not null").toLocalIterator():
-        raw = row.t.encode()
-        n = raw.count(b" ") + 1
-        if held and size + n > limit:
-            yield Block(held, window)
-            held, size = [], 0
-        held.append((row.i, raw))
-        size += n
+        for n, raw in pieces(row.t.encode(), window, limit):
+            if held and size + n > limit:
+                yield Block(held, window)
+                held, size = [], 0
+            held.append((row.i, raw))
+            size += n
     if held:
         yield Block(held, window)
 
@@ -161,32 +194,33 @@ def scan(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
 
     def run(b: pa.RecordBatch):
         n_words, n_hit, items, spans = [], [], [], []
-        for raw in grouped(texts(b.column(b.schema.names.index(text)))):
-            doc = Words(raw)
-            change = np.zeros(len(doc.start) + 1, np.int32)
-            found: dict[int, set[str]] = {}
-            for bc in held:
-                block = bc.value
+        parts = list(grouped(texts(b.column(b.schema.names.index(text)))))
+        docs_ = [Words(raw) for raw in parts]
+        changes = [np.zeros(len(doc.start) + 1, np.int32) for doc in docs_]
+        found: list[dict[int, set[str]]] = [{} for _ in docs_]
+        for bc in held:
+            block = bc.value
+            for doc, change, own in zip(docs_, changes, found, strict=True):
                 for at, n, its in block.find(doc):
                     change[at] += 1
                     change[at + n] -= 1
-                    found.setdefault(int(doc.text[at]), set()).update(block.ids[i] for i in its if block.ids[i] is not None)
-                if len(held) > 1:
-                    bc.__dict__.pop("_value", None)  # a worker keeps one block at a time
+                    own.setdefault(int(doc.text[at]), set()).update(block.ids[i] for i in its if block.ids[i] is not None)
+            if len(held) > 1:
+                bc.__dict__.pop("_value", None)  # a worker keeps one block at a time
+        for raw, doc, change, own in zip(parts, docs_, changes, found, strict=True):
             hit = np.cumsum(change)[:-1] > 0
             counts = np.bincount(doc.text[hit], minlength=len(raw)) if len(hit) else np.zeros(len(raw), np.int64)
             after = np.cumsum(doc.count)
             for k in range(len(raw)):
                 n_words.append(int(doc.count[k]))
                 n_hit.append(int(counts[k]))
-                items.append(sorted(found.get(k, ())))
+                items.append(sorted(own.get(k, ())))
                 runs = spans_of(hit[after[k] - doc.count[k] : after[k]]) + (after[k] - doc.count[k]) if counts[k] else []
                 spans.append([{"start": int(doc.start[s] - doc.base[k]), "end": int(doc.stop[e - 1] - doc.base[k])} for s, e in runs])
         return [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
 
-    want = docs.columns if columns is None else list(dict.fromkeys([*columns, text]))
-    made = arrow_map(docs, want, "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>", run)
-    return made if columns is None or text in columns else made.drop(F.col(f"`{text}`"))
+    extra = "n_words long, n_hit long, items array<string>, spans array<struct<start: long, end: long>>"
+    return arrow_map(docs, docs.columns if columns is None else columns, extra, run, (text,))
 
 
 def contaminated(n_words, n_hit, share: int = SHARE):

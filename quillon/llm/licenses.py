@@ -208,6 +208,5 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
         t = made_of[0]
         return [pa.array([[dict(zip(("license", "dice", "start", "end"), x, strict=True)) for x in t.scan(s or "")] for s in b.column(b.schema.names.index(text)).to_pylist()], kind)]
 
-    want = docs.columns if columns is None else list(dict.fromkeys([*columns, text]))
-    made = arrow_map(docs, want, "licenses array<struct<license: string, dice: double, start: long, end: long>>", run)
-    return made if columns is None or text in columns else made.drop(text)
+    extra = "licenses array<struct<license: string, dice: double, start: long, end: long>>"
+    return arrow_map(docs, docs.columns if columns is None else columns, extra, run, (text,))

@@ -3,7 +3,9 @@
 Numbers and dates that pass their validation (card numbers by Luhn, IBANs by mod 97, IPv4 octets, North American and
 international phone numbers, US social security numbers, calendar dates, e-mail addresses) are permuted by a key inside
 the set of valid values of the same format: equal values get equal pseudonyms in every document, different values
-different ones, and separators stay where they were.
+different ones, and separators stay where they were. A day is one value in all notations, an address one in any case.
+
+Whoever has the key can undo the pseudonyms. There is no default: callers give a secret one.
 """
 
 from __future__ import annotations
@@ -21,8 +23,6 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, fresh, prepare
 
-#: Used where no key is given. Whoever has the key can undo the pseudonyms: give a secret one.
-DEFAULT_KEY = b"quillon"
 ROUNDS = 10
 
 
@@ -153,7 +153,8 @@ _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # to 2099-12-3
 
 
 def date(text: str, key: bytes) -> str | None:
-    """Days from 1900 to 2099 as year-month-day, or day and month in either order where both can be read; the format and the width stay."""
+    """Days from 1900 to 2099 as year-month-day, or day and month in either order where both can be read; the format and the
+    width stay, and a day has the same pseudonym in each notation."""
     parts, marks = re.split(r"[-/.]", text), re.findall(r"[-/.]", text)
     if marks[0] != marks[1]:
         return None
@@ -168,14 +169,14 @@ def date(text: str, key: bytes) -> str | None:
             return None
     except ValueError:
         return None
-    new = datetime.date.fromordinal(_FIRST_DAY + feistel(day.toordinal() - _FIRST_DAY, _DAYS, key, b"date" + order.encode()))
+    new = datetime.date.fromordinal(_FIRST_DAY + feistel(day.toordinal() - _FIRST_DAY, _DAYS, key, b"date"))
     value = {"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}
     return marks[0].join(value[c] for c in order)
 
 
 def email(text: str, key: bytes) -> str | None:
-    """Lower and upper case letters and digits of the local part, and of the domain but its last two labels, each in their
-    own kind; other characters and the last two labels stay."""
+    """Letters and digits of the local part, and of the domain but its last two labels, each in their own kind; other
+    characters, the last two labels and the case of each place stay. Addresses that differ in case alone stay linked."""
     local, _, domain = text.rpartition("@")
     head, dot, tail = domain.rpartition(".")
     front, dot2, name = head.rpartition(".")
@@ -183,17 +184,19 @@ def email(text: str, key: bytes) -> str | None:
 
 
 def _kinds(s: str, key: bytes, tweak: bytes) -> str:
-    base = [(10, "0") if c in "0123456789" else (26, "a") if "a" <= c <= "z" else (26, "A") if "A" <= c <= "Z" else None for c in s]
+    low = s.lower()
+    base = [(10, "0") if c in "0123456789" else (26, "a") if "a" <= c <= "z" else None for c in low]
     size, x = 1, 0
-    for c, b in zip(s, base, strict=True):
+    for c, b in zip(low, base, strict=True):
         if b:
             x, size = x * b[0] + ord(c) - ord(b[1]), size * b[0]
-    y = feistel(x, size, key, tweak + "".join(b[1] if b else c for c, b in zip(s, base, strict=True)).encode())
+    y = feistel(x, size, key, tweak + "".join(b[1] if b else c for c, b in zip(low, base, strict=True)).encode())
     out = []
     for c, b in zip(reversed(s), reversed(base), strict=True):
         if b:
             y, k = divmod(y, b[0])
-            c = chr(ord(b[1]) + k)
+            new = chr(ord(b[1]) + k)
+            c = new.upper() if "A" <= c <= "Z" else new
         out.append(c)
     return "".join(reversed(out))
 
@@ -257,8 +260,12 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
             at = part[1] if part else m.start() + 1
             if part:
                 new_spans.append((part[0], part[1], kind, part[2]))
-        for a, b, _, _ in new_spans:
-            left = left[:a] + "\0" * (b - a) + left[b:]
+        if new_spans:
+            parts, at = [], 0
+            for a, b, _, _ in new_spans:
+                parts += [left[at:a], "\0" * (b - a)]
+                at = b
+            left = "".join(parts) + left[at:]
         found += new_spans
     if not found:
         return text, []
@@ -270,10 +277,12 @@ def pseudonymise(text: str, key: bytes) -> tuple[str, list[tuple[str, int, int]]
     return "".join(out) + text[at:], [(kind, a, b) for a, b, kind, _ in found]
 
 
-def scan(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text", clean: str = "clean_text", spans: str = "pii") -> DataFrame:
+def scan(docs: DataFrame, key: bytes, text: str = "text", clean: str = "clean_text", spans: str = "pii") -> DataFrame:
     """docs with the pseudonymised text and its spans (kind, start, end). Pseudonyms are as long as what they stand for.
 
     A null text stays null and an empty one empty, without spans; repeated rows and other columns pass as they are."""
+    if not key:
+        raise ValueError("a key is needed")
     prepare(docs.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     digest = hashlib.sha256(key).digest()
@@ -285,7 +294,7 @@ def scan(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text", clean: s
     return arrow_map(docs, docs.columns, f"`{clean}` string, `{spans}` array<struct<kind: string, start: long, end: long>>", run)
 
 
-def replace(docs: DataFrame, key: bytes = DEFAULT_KEY, text: str = "text") -> DataFrame:
+def replace(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """docs with pseudonyms in the text; all else as it was."""
     clean, spans = fresh(docs, "clean_text"), fresh(docs, "pii")
     done = scan(docs, key, text, clean, spans)

@@ -17,6 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of ids and decoded bytes of every document; a null text is empty."""
     import public_tokenizers
 
     from .bpe import digests
@@ -25,6 +26,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint (hex) and component_id of every document; null and empty texts have fingerprint zero."""
     from .simhash import near_duplicates
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
@@ -32,12 +34,14 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best other vectors of every fiftieth id; vectors with nulls or non-finite components take no part."""
     from .topk import search
 
     return search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit words and items of every document, and whether a twentieth of it is hit; a null text has no words."""
     from .decontaminate import contaminated, scan
 
     found = scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), columns=["doc_id"])
@@ -50,10 +54,12 @@ URL_RULES = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "a
 
 
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; outcomes are the quality labels of the same id."""
     return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """held_out, score and predicted of every document; the model is fitted to labels outside the held-out fold."""
     from .toxicity import held_out, score, train
 
     docs = table(spark, sf_dir, "documents")
@@ -62,6 +68,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and names of the licenses found in every document, and the best coefficient (null where there is none)."""
     from .licenses import scan
 
     found = scan(table(spark, sf_dir, "documents"), columns=["doc_id"])
@@ -69,20 +76,32 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("licenses").alias("n_licenses"), names.alias("licenses"), F.round(F.array_max(F.transform("licenses", lambda x: x["dice"])), 6).alias("best_dice"))
 
 
+#: Key of the query and the pipeline where the session names none. It is public: made-up tables and tests only.
+TEST_KEY = b"a test key, not a secret"
+
+
+def pii_key(spark: SparkSession) -> bytes:
+    """The session's spark.quillon.pii.key, or the test key."""
+    return spark.conf.get("spark.quillon.pii.key", "").encode() or TEST_KEY
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text with pseudonyms, n_found and spans (JSON) of every document; the key is the session's."""
     from .pii import scan
 
-    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
     return found.select("doc_id", F.col("clean_text").alias("text"), F.size("pii").alias("n_found"), F.to_json("pii").alias("spans"))
 
 
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, by the law of near equal bytes."""
     from .sharding import assign
 
     return assign(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, log-likelihood and perplexity of every document under a model of all documents."""
     from .language_model import score, train
 
     docs = table(spark, sf_dir, "documents")

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, staged
+from .common import broadcast_below, drop_staged, fresh, staged
 
 SHARDS = 8
 #: Bytes by which a shard may miss the mean, as a share of it, before a boundary is refined.
@@ -87,21 +87,27 @@ def splitters(slim: DataFrame, shards: int, tolerance: float = TOLERANCE) -> lis
     return [done.get(k, ()) for k in range(shards - 1)]
 
 
-def keyed(df: DataFrame, id: str, text: str) -> DataFrame:
+#: Most pieces that numbering is broadcast for: 2 ** 16 of the first digits, and 128 for each of fewer than 2 * 1024 hot texts
+#: and hot rows, once for each boundary that may cut one.
+MOST_PIECES = 500_000
+
+
+def keyed(df: DataFrame, id: str, text: str, row: str | None = None) -> DataFrame:
     """id, size, text_crc32 and the key. Nulls: a null text has no bytes and the checksum of none; a null id is a value."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     return df.select(
         F.col(f"`{id}`").alias("id"), (F.octet_length(t) + 1).cast("long").alias("size"), F.crc32(t.cast("binary")).alias("crc"),
-        F.xxhash64(t).alias("h1"), F.xxhash64(F.col(f"`{id}`").cast("string")).alias("h2"), F.monotonically_increasing_id().alias("h3"),
+        F.xxhash64(t).alias("h1"), F.xxhash64(F.col(f"`{id}`").cast("string")).alias("h2"), (F.col(f"`{row}`") if row else F.monotonically_increasing_id()).alias("h3"),
     )
 
 
-def assign(df: DataFrame, shards: int = SHARDS, id: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE) -> DataFrame:
-    """id, size, text_crc32, shard and slot (0, 1, ... in each shard) of every row; bytes of the shards are near equal.
+def assign(df: DataFrame, shards: int = SHARDS, id: str = "doc_id", text: str = "text", tolerance: float = TOLERANCE, row: str | None = None) -> DataFrame:
+    """id, size, text_crc32, shard and slot (0, 1, ... in each shard) of every row; bytes of the shards are near equal. row: a
+    column that numbers the rows, which is returned too; else numbers are made.
 
     Equal texts share a shard unless a boundary has to cut a group larger than the tolerance. Repeated rows are rows of
     their own; an empty table gives an empty result; with fewer rows than shards some shards are empty."""
-    slim = staged(keyed(df, id, text), "sizes")
+    slim = staged(keyed(df, id, text, row), "sizes")
     n = slim.count()
     cuts = splitters(slim, shards, tolerance)
     shard = F.lit(0)
@@ -117,21 +123,24 @@ def assign(df: DataFrame, shards: int = SHARDS, id: str = "doc_id", text: str =
     piece3 = F.when(F.col("h1").isin(hot1) & F.col("h2").isin(hot2), head(F.xxhash64("h3"), 7)).otherwise(-1) if hot2 else F.lit(-1)
     placed = slim.select("*", shard.cast("int").alias("shard"), head(F.col("h1"), bits).alias("p1"), piece2.alias("p2"), piece3.alias("p3"))
     piece = ["shard", "p1", "p2", "p3"]
-    sizes = placed.groupBy(*piece).agg(F.count("*").alias("rows"))  # at most 2 ** 16 + 2 * 1024 * 128 pieces and shards, however many rows: small enough to broadcast
+    sizes = placed.groupBy(*piece).agg(F.count("*").alias("rows"))
     before = Window.partitionBy("shard").orderBy("p1", "p2", "p3").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("before", F.coalesce(F.sum("rows").over(before), F.lit(0))).drop("rows")
     within = F.row_number().over(Window.partitionBy(*piece).orderBy("h1", "h2", "id", "h3")) - 1
     numbered = placed.withColumn("within", within)
-    out = numbered.join(F.broadcast(starts), piece)
+    out = numbered.join(broadcast_below(starts, MOST_PIECES), piece)
     return out.select(
-        F.col("id").alias(id), "size", F.col("crc").alias("text_crc32"), "shard",
+        F.col("id").alias(id), *([F.col("h3").alias(row)] if row else []), "size", F.col("crc").alias("text_crc32"), "shard",
         (F.col("before") + F.col("within")).cast("long").alias("slot"),
     )
 
 
 def write_shards(df: DataFrame, path: str, shards: int = SHARDS, id: str = "doc_id", text: str = "text") -> None:
-    """Whole rows as Parquet under path/shard=k, each file of one shard; ids must tell rows apart."""
-    plan, shard, of = assign(df, shards, id, text), fresh(df, "shard"), fresh(df, "_of")
-    keys = plan.select(F.col(f"`{id}`").alias(of), F.col("shard").alias(shard))
-    rows = df.join(keys, F.col(f"`{id}`").eqNullSafe(F.col(of))).drop(of)
-    rows.repartition(shard, F.pmod(F.xxhash64(F.col(f"`{id}`").cast("string")), F.lit(64))).write.partitionBy(shard).parquet(path)
+    """Whole rows as Parquet under path/shard=k, each file of one shard. Every row is written once, whatever its id: rows are
+    numbered in a copy in the shared folder, and joined by that number."""
+    row, shard = fresh(df, "_row"), fresh(df, "shard")
+    numbered = staged(df.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    plan = assign(numbered, shards, id, text, row=row).select(row, F.col("shard").alias(shard))
+    out = numbered.join(plan, row)
+    out.repartition(shard, F.pmod(F.xxhash64(row), F.lit(64))).drop(row).write.partitionBy(shard).parquet(path)
+    drop_staged(numbered)

@@ -3,13 +3,14 @@
 Fingerprints come from whole texts in one Arrow pass. Equal fingerprints are one node, so copies cost an aggregation.
 Candidates share a band key (pigeonhole: with more bands than the radius, some combination of whole bands is equal), and
 are compared bit-sliced: 64 bit planes stored vertically, carry-save counters for 64 pairs a machine word, blocks left as
-soon as every lane is past the radius. Each block reports links as a star to the least fingerprint of a local component,
-never all pairs. Components of the links are found by alternating large and small stars, written to the shared folder.
+soon as every lane is past the radius. Each block reports a forest of links, never all pairs. deduplicate() looks further:
+pairs come from masks of sampled bits and a wider radius, and each is checked on its shingles. Components of the links are found by alternating large and small stars, written to the shared folder.
 Nothing but counts reaches the driver.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -18,35 +19,62 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, drop_staged, fresh, prepare, staged
+from .common import arrow_map, broadcast_below, drop_staged, fresh, prepare, staged, texts
 
 RADIUS, SHINGLE = 3, 3
+#: Near copies: similarity over shingles of so many words, bits between fingerprints that are compared, and the share of pairs
+#: at the threshold that the masks should miss at most.
+SIMILARITY, COPY_SHINGLE, COPY_RADII, MISS = 0.8, 5, (3, 5, 7, 9, 12), 0.01
+#: Independent fingerprints of a text that the masks are dealt over, so that one unlucky fingerprint hides no pair.
+PRINTS = 4
 #: Rows of one side of a comparison; a larger bucket is dealt out as pairs of such blocks.
 BLOCK = 1536
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)  # 256 x 8, high bit first
+#: Each byte's bits as eight byte-wide counters of one word, high bit first.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64)[:, 0]
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprint(text: bytes, n: int = SHINGLE) -> int:
     """64 bits: bit b is set if more than half of the shingles' XXH64 (seed 42) have it. A-Z lower-cased; words are runs
     of bytes other than space and 09-0D; fewer words than n make one shingle; none: 0."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    if len(words) <= n:
-        return xxhash.xxh64_intdigest(b" ".join(words), 42)
-    joined = b" ".join(words)
+    return _majority(_hashes(text.lower().split(), n))
+
+
+def _cuts(words: list[bytes], n: int):
+    """Starts and ends of the shingles of n words in the words joined by spaces; more words than n."""
     sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
     ends = np.cumsum(sizes)
-    starts = (ends - sizes)[: len(words) - n + 1].tolist()
-    digest = xxhash.xxh64_digest
-    raw = b"".join([digest(joined[a:b], 42) for a, b in zip(starts, (ends[n - 1 :] - 1).tolist(), strict=True)])
-    h = np.frombuffer(raw, np.uint8).reshape(-1, 8)
-    if len(h) < 128:
-        counts = np.unpackbits(h, axis=1).sum(axis=0, dtype=np.int64)
+    return zip((ends - sizes)[: len(words) - n + 1].tolist(), (ends[n - 1 :] - 1).tolist(), strict=True)
+
+
+def _hashes(words: list[bytes], n: int) -> np.ndarray:
+    joined = b" ".join(words)
+    if len(words) <= n:
+        raw = xxhash.xxh64_digest(joined, 42) if words else b""
     else:
-        counts = np.concatenate([np.bincount(h[:, k], minlength=256) @ _BITS for k in range(8)])
-    return int.from_bytes(np.packbits(counts * 2 > len(h)).tobytes(), "big")
+        digest = xxhash.xxh64_digest
+        raw = b"".join([digest(joined[a:b], 42) for a, b in _cuts(words, n)])
+    return np.frombuffer(raw, ">u8")
+
+
+def _majority(hashes: np.ndarray) -> int:
+    if len(hashes) < 2:
+        return int(hashes[0]) if len(hashes) else 0
+    spread = _SPREAD[hashes.view(np.uint8)].reshape(-1, 8)
+    counts = np.add.reduceat(spread, range(0, len(spread), 255), axis=0)  # a byte-wide counter holds 255
+    counts = counts.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(counts * 2 > len(spread)).tobytes(), "big")
+
+
+def prints(words: list[bytes], n: int = SHINGLE, many: int = PRINTS) -> list[int]:
+    """Fingerprints of different hashes of the same shingles: the first is fingerprint(), the others mix its hashes anew."""
+    h = _hashes(words, n)
+    out, mixed = [_majority(h)], h.astype(np.uint64)
+    for _ in range(many - 1):
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        out.append(_majority(mixed.astype(">u8")))
+    return out
 
 
 def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint", n: int = SHINGLE, columns: list[str] | None = None) -> DataFrame:
@@ -57,9 +85,7 @@ def with_fingerprint(df: DataFrame, text: str = "text", out: str = "fingerprint"
         col = b.column(b.schema.names.index(text)).cast(pa.large_binary()).to_pylist()
         return [pa.array(np.array([fingerprint(x or b"", n) for x in col], np.uint64).view(np.int64))]
 
-    want = df.columns if columns is None else [*dict.fromkeys([*columns, text])]
-    made = arrow_map(df, want, f"`{out}` long", run)
-    return made if columns is None or text in columns else made.drop(text)
+    return arrow_map(df, df.columns if columns is None else columns, f"`{out}` long", run, (text,))
 
 
 # --- bit-sliced comparison -------------------------------------------------------------------------------------------
@@ -78,11 +104,13 @@ def _lanes(n: int) -> np.ndarray:
     return np.packbits(np.arange(-(-n // 64) * 64) < n, bitorder="little").view("<u8")
 
 
-def within(diff, shape: tuple, live: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes of live whose distance is at most radius. diff(p): words with a one where plane p differs.
+def within(diff, shape: tuple, live: np.ndarray, radii: tuple[int, ...]) -> list[np.ndarray]:
+    """For each radius (ascending) the lanes of live whose distance is at most that. diff(p): words with a one where plane p
+    differs.
 
-    Saturating carry-save counter of two bits a lane (radius 3) or as many as the radius needs; a lane past the radius
-    stays dead, and the block is abandoned when no lane lives."""
+    Saturating carry-save counters of as many bits a lane as the greatest radius needs; a lane past that stays dead, and the
+    block is abandoned when no lane lives."""
+    radius = radii[-1]
     width = radius.bit_length()
     counter = [np.zeros(shape, np.uint64) for _ in range(width)]
     dead = np.broadcast_to(~live, shape).copy()
@@ -95,10 +123,8 @@ def within(diff, shape: tuple, live: np.ndarray, radius: int) -> np.ndarray:
             if radius + 1 < 1 << width:
                 dead |= _above(counter, radius)
             if (dead == _ONES).all():
-                break
-    if radius + 1 < 1 << width:
-        dead |= _above(counter, radius)
-    return ~dead
+                return [~dead] * len(radii)
+    return [~(dead | _above(counter, r)) if r + 1 < 1 << width else ~dead for r in radii]
 
 
 def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
@@ -113,49 +139,56 @@ def _above(counter: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def block_links(fp: np.ndarray, radius: int = RADIUS, rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Star links (node, least node of its component) among the distinct fingerprints fp, by blocks of queries against
-    all lanes and a search over the bit rows. No more links than nodes."""
-    fp = np.unique(fp)
+def block_links(fp: np.ndarray, radii: tuple[int, ...] = (RADIUS,), rows: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places of fp that connect, for each radius, what all pairs within it connect (a forest for each: fewer pairs
+    than len(fp)), by blocks of queries against all lanes and a search over the bit rows."""
     n = len(fp)
-    if n < 2:
-        return fp[:0], fp[:0]
     vertical, live = planes(fp.view(np.uint64)), _lanes(n)
-    near = np.empty((n, vertical.shape[1]), np.uint64)
+    near = np.empty((len(radii), n, vertical.shape[1]), np.uint64)
     for a in range(0, n, rows):
         q = fp[a : a + rows].view(np.uint64)
         flip = [(~((q >> np.uint64(p)) & np.uint64(1)) + np.uint64(1))[:, None] for p in range(64)]  # 0 or all ones
-        near[a : a + rows] = within(lambda p: vertical[p][None, :] ^ flip[p], (len(q), vertical.shape[1]), live[None, :], radius)
-    label = np.full(n, -1, np.int64)
-    left = live.copy()
-    for s in range(n):
-        if label[s] >= 0:
-            continue
-        todo, label[s] = [s], s
-        left[s // 64] &= ~(np.uint64(1) << np.uint64(s % 64))
-        while todo:
-            reach = np.bitwise_or.reduce(near[todo], axis=0) & left
-            left &= ~reach
-            todo = np.flatnonzero(np.unpackbits(reach.view(np.uint8), bitorder="little")).tolist()
-            label[todo] = s
-    far = label != np.arange(n)
-    return fp[far], fp[label[far]]
-
-
-def small_links(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within the radius inside small groups (rows sorted by group): lane i is compared with lane i + s for
-    each shift s, over all groups at once. Groups come largest first, so that a shift reads a prefix."""
+        near[:, a : a + rows] = within(lambda p: vertical[p][None, :] ^ flip[p], (len(q), vertical.shape[1]), live[None, :], radii)
+    child, parent = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for own in near:
+        left = live.copy()
+        for root in range(n):
+            if not left[root // 64] >> np.uint64(root % 64) & np.uint64(1):
+                continue
+            left[root // 64] &= ~(np.uint64(1) << np.uint64(root % 64))
+            todo = [root]
+            for x in todo:  # grows
+                if (reach := own[x] & left).any():
+                    left &= ~reach
+                    new = np.flatnonzero(np.unpackbits(reach.view(np.uint8), bitorder="little"))
+                    child.append(new)
+                    parent.append(np.full(len(new), x))
+                    todo += new.tolist()
+    a, b = np.concatenate(child), np.concatenate(parent)
+    if len(radii) > 1:
+        both = np.unique(np.maximum(a, b) * n + np.minimum(a, b))  # forests share most of their pairs
+        a, b = both // n, both % n
+    return a, b
+
+
+def small_links(fp: np.ndarray, group: np.ndarray, radii: tuple[int, ...] = (RADIUS,)) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places inside small groups that connect, for each radius, what all pairs within it connect: lane i is
+    compared with lane i + s for each shift s, over all groups at once. Groups come largest first, so that a shift reads a
+    prefix; a pair that is already connected under a radius is left out there."""
     _, inverse, sizes = np.unique(group, return_inverse=True, return_counts=True)
     order = np.lexsort((group, -sizes[inverse]))
     fp, group, size = fp[order], group[order], sizes[inverse][order]
-    a, b = [], []
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    roots = [np.arange(len(fp)) for _ in radii]
     vertical = planes(fp.view(np.uint64))
     for s in range(1, int(size[0]) if len(size) else 0):
         n = int(np.searchsorted(-size, -s, side="left"))  # rows in groups of more than s
         if n <= s:
             break
         same = np.zeros(-(-n // 64) * 64, bool)
-        same[: n - s] = group[: n - s] == group[s:n]
+        same[: n - s] = (group[: n - s] == group[s:n]) & (roots[0][: n - s] != roots[0][s:n])
+        if not same.any():
+            continue
         words, skip, bit = len(same) // 64, s // 64, np.uint64(s % 64)
         padded = np.zeros((64, words + skip + 1), np.uint64)
         have = min(vertical.shape[1], words + skip + 1)
@@ -165,49 +198,65 @@ def small_links(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS) -> tupl
             x = padded[p, skip : skip + words]
             return x if not bit else (x >> bit) | (padded[p, skip + 1 : skip + 1 + words] << (np.uint64(64) - bit))
 
-        hit = within(lambda p, f=shifted, words=words: vertical[p, :words] ^ f(p), (words,), np.packbits(same, bitorder="little").view("<u8"), radius)
-        if hit.any():
+        hits = within(lambda p, f=shifted, words=words: vertical[p, :words] ^ f(p), (words,), np.packbits(same, bitorder="little").view("<u8"), radii)
+        if not hits[-1].any():
+            continue
+        new = np.zeros(len(same), bool)
+        for k, hit in enumerate(hits):
             i = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little"))
-            a.append(fp[i])
-            b.append(fp[i + s])
-    if not a:
-        return fp[:0], fp[:0]
-    a, b = np.concatenate(a), np.concatenate(b)
-    return np.maximum(a, b), np.minimum(a, b)
-
-
-def bucket_links(batches, radius: int = RADIUS, small: int = 48, rows: int = 200_000):
-    """Links of whole buckets; input sorted by bucket (columns bucket, fp), batches of any length."""
-    held_k, held_f = [], []
-
-    def flush(k: np.ndarray, f: np.ndarray):
+            root = roots[k]
+            i = i[root[i] != root[i + s]]
+            new[i] = True
+            while len(i):  # join the groups' labels until each pair has one
+                low, high = np.minimum(root[i], root[i + s]), np.maximum(root[i], root[i + s])
+                np.minimum.at(root, high, low)
+                while (root[root] != root).any():
+                    root = root[root]
+                i = i[root[i] != root[i + s]]
+            roots[k] = root
+        i = np.flatnonzero(new)
+        a.append(i + s)
+        b.append(i)
+    return order[np.concatenate(a)], order[np.concatenate(b)]
+
+
+def bucket_links(batches, radii: tuple[int, ...] = (RADIUS,), small: int = 48, rows: int = 50_000):
+    """Links of whole buckets; input sorted by bucket (columns bucket, fp, node), batches of any length. For each radius a
+    forest, or little more: never all pairs. Large buckets have paths enough: there the middle and the last radius do."""
+    coarse = tuple(dict.fromkeys((radii[len(radii) // 2], radii[-1])))
+    held: list[list[np.ndarray]] = [[], [], []]
+
+    def flush(k: np.ndarray, f: np.ndarray, node: np.ndarray):
         if not len(k):
             return
         cut = np.flatnonzero(np.diff(k)) + 1
         size = np.diff(np.concatenate(([0], cut, [len(k)])))
         start = np.concatenate(([0], cut))
         big = np.repeat(size > small, size)
-        out = [small_links(f[~big], k[~big], radius)]
-        out += [block_links(f[s : s + n], radius) for s, n in zip(start[size > small], size[size > small], strict=True)]
-        a, b = np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
+        few = node[~big]
+        x, y = small_links(f[~big], k[~big], radii)
+        out = [(few[x], few[y])]
+        for s, n in zip(start[size > small].tolist(), size[size > small].tolist(), strict=True):
+            x, y = block_links(f[s : s + n], coarse)
+            out.append((node[s + x], node[s + y]))
+        a, b = np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
         if len(a):
-            both = np.unique(np.stack([a, b]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["src", "dst"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["src", "dst"])
 
     for batch in batches:
-        held_k.append(batch.column(0).to_numpy(zero_copy_only=False))
-        held_f.append(batch.column(1).to_numpy(zero_copy_only=False))
-        if sum(map(len, held_k)) >= rows:
-            k, f = np.concatenate(held_k), np.concatenate(held_f)
+        for h, c in zip(held, batch.columns, strict=True):
+            h.append(c.to_numpy(zero_copy_only=False))
+        if sum(map(len, held[0])) >= rows:
+            k, f, node = map(np.concatenate, held)
             last = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
-            yield from flush(k[:last], f[:last])
-            held_k, held_f = [k[last:]], [f[last:]]
-    if held_k:
-        yield from flush(np.concatenate(held_k), np.concatenate(held_f))
+            yield from flush(k[:last], f[:last], node[:last])
+            held = [[k[last:]], [f[last:]], [node[last:]]]
+    if held[0]:
+        yield from flush(*map(np.concatenate, held))
 
 
 def band_keys(fp: Column, n_rows: int, radius: int = RADIUS) -> Column:
-    """Array of the bucket keys of a fingerprint: any two within the radius share one. The more fingerprints, the more
+    """Array of the buckets of a fingerprint (with it): any two within the radius share one. The more fingerprints, the more
     bits a key has: 64 bits are cut into radius + e parts and a key holds e of them, for the least e with few rows a key."""
     for e in (1, 2, 3):
         parts = radius + e
@@ -215,22 +264,53 @@ def band_keys(fp: Column, n_rows: int, radius: int = RADIUS) -> Column:
             break
     cuts = [64 * k // parts for k in range(parts + 1)]
     masks = [((1 << cuts[k + 1] - cuts[k]) - 1) << cuts[k] for k in range(parts)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    keys = [F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(signed(sum(masks[k] for k in c))).cast("long"))) for i, c in enumerate(combinations(range(parts), e))]
-    return F.array(*keys)
-
-
-def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
-    """Links (src > dst) that connect exactly what all pairs of column fp within the radius connect. fps: distinct."""
-    n = fps.count()
-    keyed = fps.select("fp", F.explode(band_keys(F.col("fp"), n, radius)).alias("bucket"))
-    sizes = keyed.groupBy("bucket").count().where("count > 1").select("bucket", F.ceil(F.col("count") / block).cast("int").alias("k"))
-    pairs = keyed.join(sizes, "bucket")  # a bucket of one has no pair
-    own = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("k").cast("long")).cast("int")
+    return table_keys([fp], [sum(masks[k] for k in c) for c in combinations(range(parts), e)])
+
+
+def tables(n_rows: int, agree: float, miss: float = MISS) -> list[int]:
+    """Masks of bits such that two fingerprints each of whose bits agrees with probability agree are equal under none of them
+    with probability miss at most. The more rows, the more bits a mask has, so that a bucket holds few unrelated rows."""
+    bits = min(32, max(4, math.ceil(math.log2(max(1, n_rows) / 16))))
+    count = math.ceil(math.log(miss) / math.log(1 - agree**bits))
+    rng = np.random.default_rng(5)
+    deck = np.concatenate([rng.permutation(64) for _ in range(-(-count * bits // 64) + 1)])  # each bit as often as any other
+    masks, at = [], 0
+    for _ in range(count):
+        own: list[int] = []
+        while len(own) < bits:
+            if deck[at] in own:  # where one permutation ends and the next begins: take the bit later
+                later = next(k for k in range(at + 1, len(deck)) if deck[k] not in own)
+                deck[[at, later]] = deck[[later, at]]
+            own.append(int(deck[at]))
+            at += 1
+        masks.append(sum(1 << k for k in own))
+    return masks
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def table_keys(fps: list[Column], masks: list[int]) -> Column:
+    """Array of bucket and fingerprint, one for each mask; masks go round the fingerprints."""
+    rows = []
+    for i, m in enumerate(masks):
+        fp = fps[i % len(fps)]
+        rows.append(F.struct(F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(_signed(m)).cast("long"))).alias("bucket"), fp.alias("fp")))
+    return F.array(*rows)
+
+
+def links(nodes: DataFrame, keys: Column, radii: tuple[int, ...] = (RADIUS,), block: int = BLOCK) -> DataFrame:
+    """Links (src > dst) of nodes that connect exactly what all pairs within a radius that share one of the keys
+    (bucket and fingerprint) connect, for each of the radii."""
+    keyed = nodes.select("node", F.explode(keys).alias("k")).select("node", "k.bucket", "k.fp")
+    large = keyed.groupBy("bucket").count().where(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("k"))
+    pairs = keyed.join(broadcast_below(staged(large, "large-buckets"), 200_000), "bucket", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    own = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("k").cast("long")).cast("int")
     # a large bucket: block i meets block j in the pair (least, greatest); its rows go to k pairs
-    dealt = pairs.select("fp", "bucket", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
-    dealt = dealt.select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), "fp")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: bucket_links(it, radius), "src long, dst long")
+    dealt = pairs.select("node", "fp", "bucket", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+    dealt = dealt.select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), "fp", "node")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: bucket_links(it, radii), "src long, dst long")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -268,33 +348,85 @@ def near_duplicates(df: DataFrame, id: str = "doc_id", text: str = "text", radiu
 def classes(slim: DataFrame, radius: int = RADIUS) -> DataFrame:
     """slim (id, fp, more...) with component_id; slim should be staged, as it is read several times."""
     reps = staged(slim.groupBy("fp").agg(F.min("id").alias("least_id")), "distinct")
-    roots = staged(connected(links(reps.select("fp"), radius)), "roots")
+    nodes = reps.select(F.col("fp").alias("node"), "fp")
+    roots = staged(connected(links(nodes, band_keys(F.col("fp"), reps.count(), radius), (radius,))), "roots")
     linked = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = linked.groupBy("root").agg(F.min("least_id").alias("component_id"))
     lookup = linked.join(named, "root").select("fp", "component_id")
     return slim.join(lookup, "fp", "left")
 
 
-def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, n: int = SHINGLE) -> DataFrame:
-    """df with one row of each class of near-duplicates: the least id, ties by a hash of the row, equal rows once.
-
-    Rows with null ids count as after all others. The columns of df are returned as they are."""
-    fp, row = fresh(df, "fingerprint"), fresh(df, "row_hash")
-    digest = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    marked = df.withColumn(row, digest)
-    slim = with_fingerprint(marked, text, fp, n, [id, row])
-    slim = staged(slim.select(F.col(f"`{id}`").alias("id"), F.col(f"`{fp}`").alias("fp"), F.col(f"`{row}`").alias("rh")), "fingerprints")
-    chosen = classes_with_rows(slim, radius)
-    same_id, same_row = fresh(marked, "kept_id"), fresh(marked, "kept_row")
-    chosen = chosen.select(F.col("id").alias(same_id), F.col("rh").alias(same_row))
-    kept = marked.join(chosen, F.col(f"`{id}`").eqNullSafe(F.col(same_id)) & (F.col(row) == F.col(same_row)), "left_semi")
-    return kept.dropDuplicates([id, row]).select(*[F.col(f"`{c}`") for c in df.columns])
+# --- near copies by exact similarity ---------------------------------------------------------------------------------
 
 
-def classes_with_rows(slim: DataFrame, radius: int) -> DataFrame:
-    """id and rh of the row that stays of each class."""
-    first = F.min(F.struct(F.col("id").isNull().alias("last"), F.col("id"), F.col("rh"))).alias("first")
-    reps = staged(slim.groupBy("fp").agg(first), "distinct")
-    roots = connected(links(reps.select("fp"), radius))
-    linked = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    return linked.groupBy("root").agg(F.min("first").alias("first")).select("first.id", "first.rh")
+def shingles(text: bytes, n: int = COPY_SHINGLE) -> np.ndarray:
+    """Sorted distinct 32-bit hashes (XXH32) of the word shingles of a text, words as in fingerprint(); fewer words than n
+    are one shingle, none have none."""
+    words = text.lower().split()
+    if len(words) <= n:
+        return np.array([xxhash.xxh32_intdigest(b" ".join(words))] if words else [], np.uint32).view(np.int32)
+    joined = b" ".join(words)
+    digest = xxhash.xxh32_digest
+    raw = b"".join([digest(joined[a:b]) for a, b in _cuts(words, n)])
+    return np.unique(np.frombuffer(raw, "<u4")).view(np.int32)
+
+
+def agreement(similarity: float, n: int = COPY_SHINGLE, m: int = SHINGLE) -> float:
+    """Probability that a bit of m-word fingerprints agrees for texts of that Jaccard similarity over n-word shingles, if
+    they differ by single words here and there."""
+    words = (1 - similarity) / (1 + similarity) / n  # share of words that differ
+    return 1 - math.acos(max(0.0, 1 - m * words)) / math.pi
+
+
+def copies(marked: DataFrame, text: str, keys: list[str], similarity: float, n: int, radii: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """node, root of the texts of marked that a chain of texts, each at least that similar to the next, connects; and
+    all nodes with the least keys of their rows. keys tell different rows apart. A forest for each of the radii is checked, so
+    that a close pair is seldom left out for a path through a text that turns out too different."""
+    prepare(marked.sparkSession)
+
+    def marks(b: pa.RecordBatch):
+        words = [x.lower().split() for x in texts(b.column(b.schema.names.index(text)))]
+        made = [[xxhash.xxh3_64_intdigest(b" ".join(w)), *prints(w)] for w in words]
+        return [pa.array(x) for x in np.array(made, np.uint64).view(np.int64).reshape(-1, 1 + PRINTS).T]
+
+    fps = [f"fp{k}" for k in range(PRINTS)]
+    slim = staged(arrow_map(marked, keys, "node long, " + ", ".join(f"{x} long" for x in fps), marks, (text,)), "prints")
+    # equal texts are one node, whatever their case and spacing
+    first = staged(slim.groupBy("node").agg(*[F.min(x).alias(x) for x in fps], F.min(F.struct(*keys)).alias("of")), "nodes")
+    masks = tables(first.count(), agreement(similarity, n))
+    found = staged(links(first, table_keys([F.col(x) for x in fps], masks), radii).where("src <> dst").distinct(), "near")
+    drop_staged(slim)
+    ends = found.select(F.col("src").alias("node")).unionByName(found.select(F.col("dst").alias("node"))).distinct()
+    chosen = first.join(ends, "node", "left_semi").select("node", *[F.col(f"of.`{k}`").alias(k) for k in keys])
+    held = marked.select(*keys, F.col(f"`{text}`").alias("held_text")).join(broadcast_below(chosen, 500_000), keys)
+
+    def sets(b: pa.RecordBatch):
+        return [pa.array([shingles(x, n) for x in texts(b.column(1))], pa.list_(pa.int32()))]
+
+    of = staged(arrow_map(held.select("node", "held_text"), ["node"], "words array<int>", sets, ("held_text",)).dropDuplicates(["node"]), "shingles")
+    both = found.join(of.select(F.col("node").alias("src"), F.col("words").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("words").alias("b")), "dst")
+    shared = F.size(F.array_intersect("a", "b"))
+    alike = staged(both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("src", "dst"), "alike")
+    drop_staged(found, of)
+    return connected(alike), first
+
+
+def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, n: int = COPY_SHINGLE, radii: tuple[int, ...] = COPY_RADII) -> DataFrame:
+    """df with one row of each class of near copies: the least id, ties by a hash of the row, equal rows once.
+
+    Two texts are linked if the Jaccard similarity of their n-word shingles is at least `similarity`, transitively. Pairs to
+    compare come from SimHash fingerprints: equal under one of several bit masks and at most the greater of radii bits apart (bit-sliced);
+    each is then checked on the shingles themselves, so dissimilar texts never fall together. Masks are as many as miss at
+    most MISS of the pairs at the threshold; closer ones are missed less. Null and empty texts are one class. Rows with null
+    ids count as after all others. The columns of df are returned as they are; an empty table stays empty."""
+    names = []
+    for k in range(3):
+        names.append(fresh(df, f"row_{k}"))
+    late, h1, h2 = names
+    whole = [F.col(f"`{c}`") for c in df.columns]
+    marked = df.withColumns({h1: F.xxhash64(*whole), h2: F.xxhash64(F.lit(1), *whole)})
+    ranked = marked.select("*", F.struct(F.col(f"`{id}`").isNull(), F.col(f"`{id}`")).alias(late))
+    roots, first = copies(ranked, text, [late, h1, h2], similarity, n, radii)
+    linked = first.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("of").alias("of"))
+    kept = marked.join(linked.select(F.col(f"of.`{h1}`").alias(h1), F.col(f"of.`{h2}`").alias(h2)), [h1, h2], "left_semi")
+    return kept.dropDuplicates([h1, h2]).select(*whole)

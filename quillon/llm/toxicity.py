@@ -31,17 +31,19 @@ SHORTEST, LONGEST_GRAM = 3, 5
 PAD = 20
 #: A word that a text repeats n times weighs n to this power, so that a repeated line doesn't outweigh the rest.
 DAMPING = 0.5
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Characters of the pieces that a longer word (a passage without separators) is taken in.
 PIECE = 64
 _WORD = re.compile(rb"[a-z0-9\x80-\xff']+")
+_LONG = re.compile(rb"[a-z0-9\x80-\xff']{%d}" % (PIECE + 1))
 
 
 def words_of(text: bytes) -> list[bytes]:
     """Runs of ASCII letters (A-Z lower-cased), digits, apostrophes and anything past 7F; those of more than PIECE characters
     as pieces that overlap by LONGEST_GRAM - 1, with a space at an end that was cut."""
-    words = _WORD.findall(text.lower())
-    if not any(len(w) > PIECE for w in words):
+    low = text.lower()
+    words = _WORD.findall(low)
+    if not _LONG.search(low):
         return words
     return [x for w in words for x in ([w] if len(w) <= PIECE else pieces(w))]
 
@@ -57,33 +59,40 @@ def pieces(word: bytes) -> list[bytes]:
 
 def grams(word: bytes, buckets: int) -> list[int]:
     """Buckets of a word's character n-grams, and of the word, marked at both ends but where a piece was cut."""
-    w = word.decode("utf-8", "replace")
-    w = w[1:] if w[:1] == " " else "<" + w
-    w = w[:-1] if w[-1:] == " " else w + ">"
-    crc, found = zlib.crc32, {w}
-    for n in range(SHORTEST, LONGEST_GRAM + 1):
-        found.update([w[i : i + n] for i in range(len(w) - n + 1)])
-    return [crc(g.encode()) % buckets for g in sorted(found)]
+    word = word[1:] if word[:1] == b" " else b"<" + word
+    word = word[:-1] if word[-1:] == b" " else word + b">"
+    crc, found = zlib.crc32, {word}
+    if word.isascii():
+        for n in range(SHORTEST, LONGEST_GRAM + 1):
+            found.update([word[i : i + n] for i in range(len(word) - n + 1)])
+    else:
+        w = word.decode("utf-8", "replace")
+        for n in range(SHORTEST, LONGEST_GRAM + 1):
+            found.update([w[i : i + n].encode() for i in range(len(w) - n + 1)])
+    return sorted([crc(g) % buckets for g in found])
 
 
 class Model:
     """After the fit a word's part of the logit is one number: the mean over its n-grams of their weights."""
 
     def __init__(self, weight: np.ndarray, bias: float):
-        self.weight, self.bias = weight.astype(np.float64), float(bias)
+        used = np.flatnonzero(weight)
+        self.__setstate__((len(weight), used, weight[used].astype(np.float32), float(bias)))
 
     def __getstate__(self):
-        return self.weight.astype(np.float32), self.bias
+        return self.state
 
     def __setstate__(self, state):
-        self.weight, self.bias = state[0].astype(np.float64), state[1]
+        self.state = state
+        self.buckets, used, weight, self.bias = state
+        self.weight: dict[int, float] = dict(zip(used.tolist(), weight.tolist(), strict=True))  # all others are 0
         self.known: dict[bytes, float] = {}
 
     def _word(self, w: bytes) -> float:
         if len(self.known) >= REMEMBERED:
             self.known.clear()
-        g = grams(w, len(self.weight))
-        value = self.known[w] = float(self.weight[g].sum()) / len(g)
+        g, get = grams(w, self.buckets), self.weight.get
+        value = self.known[w] = sum([get(x, 0.0) for x in g]) / len(g)
         return value
 
     def score(self, text: bytes) -> float:
@@ -91,8 +100,11 @@ class Model:
         known, total, size = self.known, 0.0, float(PAD)
         for w, n in Counter(words_of(text)).items():
             v = known.get(w)
-            n = n**DAMPING
-            total += (self._word(w) if v is None else v) * n
+            if v is None:
+                v = self._word(w)
+            if n > 1:
+                n **= DAMPING
+            total += v * n
             size += n
         logit = self.bias + total / size
         return float(1 / (1 + np.exp(-min(50.0, max(-50.0, logit)))))
@@ -197,9 +209,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
         m = held.value
         return [pa.array([m.score(x) for x in texts(b.column(b.schema.names.index(text)))], pa.float64())]
 
-    want = docs.columns if columns is None else list(dict.fromkeys([*columns, text]))
-    made = arrow_map(docs, want, f"`{out}` double", run)
-    return made if columns is None or text in columns else made.drop(F.col(f"`{text}`"))
+    return arrow_map(docs, docs.columns if columns is None else columns, f"`{out}` double", run, (text,))
 
 
 def remove_toxic(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:

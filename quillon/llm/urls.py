@@ -89,26 +89,35 @@ def reputations(counts: DataFrame) -> DataFrame:
     return parent.select("host", F.col("m").alias("mean"), (F.col("m") - Z * F.sqrt(F.col("m") * (1 - F.col("m")) / (F.col("weight") + 1))).alias("bound"))
 
 
+def _judged(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], id: str, url: str, outcome_id: str, good: str, threshold: float) -> tuple[DataFrame, dict[str, str]]:
+    """Every row of pages with host, path, rule, verdict and bound, under names that pages doesn't have; and these names."""
+    name = {}
+    for x in ("host", "path", "rule", "verdict", "bound"):
+        name[x] = fresh(pages, x)
+    u = F.col(f"`{url}`")
+    parts = pages.withColumns({name["host"]: host_of(u), name["path"]: path_of(u)})
+    host = F.col(name["host"])
+    rule, said = rule_of(host, F.col(name["path"]), rules)
+    label = outcomes.where(F.col(f"`{good}`").isNotNull()).groupBy(F.col(f"`{outcome_id}`").alias("id")).agg(F.count("*").alias("n"), F.sum(F.when(F.col(f"`{good}`") == 1, 1).otherwise(0)).alias("k"))
+    seen = parts.select(F.col(f"`{id}`").alias("id"), host.alias("host"))
+    counts = seen.join(label, "id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
+    table = staged(reputations(counts).select(F.col("host").alias(name["host"]), F.col("bound").alias(name["bound"])), "reputations")
+    found = parts.join(broadcast_below(table, 200_000), name["host"], "left")
+    verdict = F.coalesce(said, F.when(F.col(name["bound"]) >= threshold, "allow").otherwise("block"))
+    return found.withColumns({name["rule"]: rule, name["verdict"]: verdict}), name
+
+
 def judge(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], id: str = "page_id", url: str = "url", outcome_id: str = "doc_id", good: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """id, host, path, rule, verdict, bound of each page. outcomes: labels (1 good, else bad; null labels and ids don't
     count) of pages by id, each label of a page counted.
 
     Every row of pages is returned once, repeated ones too. Null urls and urls without :// share the host ''. With no
     outcome at all every host has mean 0.5."""
-    u = F.col(f"`{url}`")
-    host, path = host_of(u), path_of(u)
-    rule, said = rule_of(F.col("host"), F.col("path"), rules)
-    parts = pages.select(F.col(f"`{id}`").alias("id"), host.alias("host"), path.alias("path"))
-    label = outcomes.where(F.col(f"`{good}`").isNotNull()).groupBy(F.col(f"`{outcome_id}`").alias("id")).agg(F.count("*").alias("n"), F.sum(F.when(F.col(f"`{good}`") == 1, 1).otherwise(0)).alias("k"))
-    counts = parts.join(label, "id", "left").groupBy("host").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k"))
-    table = staged(reputations(counts), "reputations")
-    judged = parts.join(broadcast_below(table, 200_000), "host", "left")
-    verdict = F.coalesce(said, F.when(F.col("bound") >= threshold, "allow").otherwise("block"))
-    return judged.select(F.col("id").alias(id), "host", "path", rule.alias("rule"), verdict.alias("verdict"), "bound")
-
-
-def keep(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], id: str = "page_id", **kw) -> DataFrame:
-    """The allowed rows of pages, all columns; ids must tell rows apart."""
-    mine = fresh(pages, "_allowed")
-    allowed = judge(pages, outcomes, rules, id, **kw).where("verdict = 'allow'").select(F.col(f"`{id}`").alias(mine))
-    return pages.join(allowed, F.col(f"`{id}`").eqNullSafe(F.col(mine)), "left_semi")
+    found, name = _judged(pages.select(F.col(f"`{id}`"), F.col(f"`{url}`")), outcomes, rules, id, url, outcome_id, good, threshold)
+    return found.select(F.col(f"`{id}`"), *[F.col(name[x]).alias(x) for x in ("host", "path", "rule", "verdict", "bound")])
+
+
+def keep(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str]], id: str = "page_id", url: str = "url", outcome_id: str = "doc_id", good: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The allowed rows of pages, all columns. Each row is judged by its own url, also where rows share an id or have none."""
+    found, name = _judged(pages, outcomes, rules, id, url, outcome_id, good, threshold)
+    return found.where(F.col(name["verdict"]) == "allow").select(*[F.col(f"`{c}`") for c in pages.columns])

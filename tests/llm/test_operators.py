@@ -1,16 +1,21 @@
 """Each operator against brute force, and its defined results on nulls, empty tables, repeats and clashing names."""
 
+import datetime
 import hashlib
+import hmac
+import math
 import random
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, decontaminate, language_model, licenses, pii, sharding, simhash, topk, toxicity, urls
+from quillon.llm import bpe, common, decontaminate, language_model, licenses, pii, sharding, simhash, topk, toxicity, urls
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fingerprint int, score int, items string, spans string, ids string, shard int, size int"
 
@@ -70,7 +75,7 @@ def test_bit_sliced_links_equal_brute_force(n):
     want = brute_components([int(x) for x in fp])
     signed = fp.view(np.int64)
     for a, b in (simhash.block_links(signed), simhash.small_links(signed, np.zeros(len(fp), np.int64))):
-        root = {int(x): int(x) for x in signed}
+        root = list(range(len(fp)))
 
         def find(x):
             while root[x] != x:
@@ -78,9 +83,11 @@ def test_bit_sliced_links_equal_brute_force(n):
             return x
 
         for x, y in zip(a.tolist(), b.tolist()):
+            assert (int(fp[x]) ^ int(fp[y])).bit_count() <= 3
             p, q = find(x), find(y)
             root[max(p, q)] = min(p, q)
-        got = [find(int(x)) for x in signed]
+        got = [find(x) for x in range(len(fp))]
+        assert len(a) <= 2 * len(fp)  # a forest, or little more
         assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
 
 
@@ -91,7 +98,7 @@ def test_radius_other_than_three():
         live = simhash._lanes(len(fp))
         planes = simhash.planes(fp)
         for q in fp[:5]:
-            hit = simhash.within(lambda p, q=q: planes[p] ^ (np.uint64(0xFFFFFFFFFFFFFFFF) if int(q) >> p & 1 else np.uint64(0)), live.shape, live, radius)
+            hit = simhash.within(lambda p, q=q: planes[p] ^ (np.uint64(0xFFFFFFFFFFFFFFFF) if int(q) >> p & 1 else np.uint64(0)), live.shape, live, (radius,))[0]
             got = np.flatnonzero(np.unpackbits(hit.view(np.uint8), bitorder="little")).tolist()
             assert got == [i for i, x in enumerate(fp) if (int(x) ^ int(q)).bit_count() <= radius]
 
@@ -123,7 +130,8 @@ def test_large_buckets_are_dealt_out_without_loss(spark):
     rng = np.random.default_rng(5)
     fp = np.unique(np.array([sum({1 << int(b) for b in rng.integers(0, 64, 2)}) for _ in range(300)], np.uint64)).view(np.int64)
     df = spark.createDataFrame([(int(x),) for x in fp], "fp long")
-    linked = simhash.connected(simhash.links(df, block=16)).collect()
+    keys = simhash.band_keys(F.col("fp"), df.count())
+    linked = simhash.connected(simhash.links(df.select(F.col("fp").alias("node"), "fp"), keys, block=16)).collect()
     comp = brute_components([int(x) & (1 << 64) - 1 for x in fp])
     groups = {}
     for x, c in zip(fp.tolist(), comp):
@@ -132,11 +140,33 @@ def test_large_buckets_are_dealt_out_without_loss(spark):
     assert {r.node: r.root for r in linked} == want
 
 
+def brute_copies(texts, similarity=0.8, n=5):
+    """Class of each text: Jaccard similarity of n-word shingles, transitively; texts without words are one class."""
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (t or "")))
+        sets.append(frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))))
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if find(i) != find(j) and len(x & y) >= similarity * len(x | y):
+                p, q = find(i), find(j)
+                root[max(p, q)] = min(p, q)
+    return [find(i) for i in range(len(sets))]
+
+
 def test_deduplicate_keeps_one_of_each_class(spark):
     rows = near_rows()
     got = simhash.deduplicate(frame(spark, rows))
     assert got.columns == frame(spark, rows).columns
-    comp = brute_components([brute_fingerprint(t) for _, t in rows])
+    comp = brute_copies([t for _, t in rows])
     kept = got.collect()
     assert len(kept) == len(set(comp))
     assert sorted(str(r.doc_id) for r in kept) == sorted(str(min((i for (i, _), c in zip(rows, comp) if c == k and i is not None), default=None)) for k in set(comp))
@@ -144,6 +174,30 @@ def test_deduplicate_keeps_one_of_each_class(spark):
     assert simhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_copies_near_the_threshold_are_found_and_no_others(spark):
+    r = random.Random(4)
+    rows, line = [], " ".join(base_words(30, 10**6))
+    for k in range(150):
+        w = base_words(r.randint(60, 200), k)
+        rows.append((10 * k, " ".join(w)))
+        for c, share in enumerate((0.01, 0.02, 0.03, 0.08)):  # the last one is no copy any more
+            v = w[:]
+            for at in r.sample(range(len(v)), max(1, round(share * len(v)))):
+                v[at] = r.choice("uvwxyz") * 3
+            rows.append((10 * k + c + 1, " ".join(v)))
+        rows.append((10 * k + 9, (line + "\n") * 20 + " ".join(base_words(40, 5000 + k))))  # alike in fingerprint alone
+    comp = brute_copies([t for _, t in rows])
+    want = {min(rows[i][0] for i, c in enumerate(comp) if c == k) for k in set(comp)}
+    got = {x.doc_id for x in simhash.deduplicate(frame(spark, rows)).collect()}
+    assert want <= got and len(got - want) <= 0.04 * (len(rows) - len(want))
+
+
+def test_masks_use_all_bits_and_grow_with_the_rows():
+    few, many = simhash.tables(1000, 0.88), simhash.tables(10**9, 0.88)
+    assert {m.bit_count() for m in few} == {6} and {m.bit_count() for m in many} == {26} and len(many) > len(few)
+    assert np.bitwise_or.reduce([m & (1 << 32) - 1 for m in many]) == (1 << 32) - 1
+
+
 # --- BPE --------------------------------------------------------------------------------------------------------------
 
 
@@ -263,6 +317,18 @@ def test_items_without_an_id_hit(spark):
     assert [r.doc_id for r in decontaminate.remove_documents(docs, bench).collect()] == [3]
 
 
+def test_blocks_are_bounded_by_words(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate.blocks, "__defaults__", (50,))
+    items = [(k, "\n".join(base_words(20, k))) for k in range(8)] + [(8, ".".join(base_words(170, 8))), (9, items_hot := " ".join(base_words(13, 99))), (10, items_hot)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    made = list(decontaminate.blocks(bench, "item_id", "text", 13))
+    assert len(made) > 6 and all(len(b.words.start) <= 50 for b in made)
+    docs = [(1, items[3][1]), (2, items[8][1]), (3, " ".join(base_words(170, 8)[100:130])), (4, f"{items_hot} x {items_hot}"), (5, " ".join(base_words(40, 50)))]
+    got = {r.doc_id: r for r in decontaminate.scan(frame(spark, docs), bench).collect()}
+    for i, t in docs:
+        assert (got[i].n_words, got[i].n_hit, got[i]["items_"]) == brute_scan(t, items)
+
+
 def test_words_of_very_long_texts(monkeypatch):
     monkeypatch.setattr(decontaminate, "_CHUNK", 64)
     w = base_words(500, 3)
@@ -301,6 +367,13 @@ def test_reputation_shrinks_towards_parents(spark):
     assert [tuple(x)[1:] for x in dom if x.host == "x.co.uk"] == [("x.co.uk", "co.uk")]
 
 
+def test_kept_pages_are_judged_by_their_own_url(spark):
+    rows = [(1, "http://good.com/a"), (1, "http://bad.com/a"), (None, "http://good.com/b"), (None, "http://bad.com/b"), (1, "http://good.com/a"), (2, None)]
+    pages = spark.createDataFrame([(i, u, "x", 1) for i, u in rows], "page_id long, url string, host string, rule int")
+    got = urls.keep(pages, spark.createDataFrame([], "doc_id long, quality int"), [("good.com/", "allow"), ("bad.com/", "block")])
+    assert got.columns == pages.columns and sorted(str(r.url) for r in got.collect()) == ["http://good.com/a", "http://good.com/a", "http://good.com/b"]
+
+
 # --- sharding ---------------------------------------------------------------------------------------------------------
 
 
@@ -336,12 +409,42 @@ def test_shards_of_few_rows(spark):
     assert len(got) == 2 and all(r.slot == 0 or r.slot == 1 for r in got)
 
 
-def test_written_shards(spark, tmp_path):
-    rows = [(k, " ".join(base_words(20, k))) for k in range(200)]
+def test_written_shards_hold_every_row_once(spark, tmp_path):
+    rows = [(k, " ".join(base_words(20, k))) for k in range(200)] + [(1, "again")] * 3 + [(None, "no id"), (None, "no id"), (None, None)]
     df = frame(spark, rows).drop("shard")
     sharding.write_shards(df, str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert back.count() == 200 and set(back.columns) == {*df.columns, "shard"}
+    assert set(back.columns) == {*df.columns, "shard"}
+    assert sorted(map(str, back.select(*df.columns).collect())) == sorted(map(str, df.collect()))
+
+
+def test_shared_folder_is_needed_on_a_cluster(spark, monkeypatch):
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Found:
+        path = None
+
+        def isDefined(self):  # noqa: N802
+            return self.path is not None
+
+        def get(self):
+            return self.path
+
+    class Context:
+        master = "spark://host:7077"
+        _jsc = type("J", (), {"sc": staticmethod(lambda: type("S", (), {"getCheckpointDir": staticmethod(Found)}))})
+
+    session = type("Session", (), {"conf": Conf(), "sparkContext": Context})
+    for path in (None, "/tmp/checkpoints", "file:/tmp/checkpoints/x"):
+        Found.path = path
+        with pytest.raises(RuntimeError):
+            common.shared_dir(session)
+    Context.master = "local[2]"
+    assert common.shared_dir(session) == common.LOCAL_SHARED
+    Found.path = "hdfs://store/checkpoints/x"
+    assert common.shared_dir(session) == Found.path
 
 
 # --- top k ------------------------------------------------------------------------------------------------------------
@@ -357,16 +460,19 @@ def brute_top(rows, k=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [3, 2048])
-def test_top_k_equals_brute_force(spark, block, monkeypatch):
+@pytest.mark.parametrize(("queries", "cell"), [(3, 2), (512, 64)])
+def test_top_k_equals_brute_force(spark, queries, cell, monkeypatch):
     rng = np.random.default_rng(1)
     v = rng.standard_normal((700, 16)) / 4
     v[100:300] = v[99]  # a hot vector
     rows = [(int(k), [float(x) for x in np.float32(v[k])]) for k in range(700)] + [(1000, None), (1050, [None] * 16), (1100, [float("nan")] * 16), (1150, [float("inf")] * 16), (None, [0.5] * 16), (1200, [0.25] * 3), (1201, [0.5] * 3), (1250, [0.0] * 16), (50, [float(x) for x in np.float32(v[50])])]
     df = spark.createDataFrame([(i, e, 0) for i, e in rows], "vec_id long, embedding array<float>, score int")
-    monkeypatch.setattr(topk, "VECTOR_BLOCK", 128)
-    got = topk.search(df, F.col("id") % 50 == 0, block=block).collect()
+    monkeypatch.setattr(topk, "QUERY_BLOCK", queries)
+    monkeypatch.setattr(topk, "CELL", cell)
+    index = topk.build(df, block=128)
+    got = topk.search(df, F.col("id") % 50 == 0, index=index).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == brute_top(rows)
+    assert topk.search(df, F.col("id") % 50 == 0).count() == len(got) and index.count() > 3
 
 
 def test_top_k_of_nothing(spark):
@@ -374,16 +480,27 @@ def test_top_k_of_nothing(spark):
     assert topk.search(df, F.col("id") % 50 == 0).count() == 0
 
 
-def test_index_stops_only_on_proof():
+def test_index_stops_early_and_only_on_proof():
     rng = np.random.default_rng(2)
-    v = rng.integers(-200, 200, (2000, 8))
+    v = rng.integers(-200, 200, (2000, 24))
     v[5] = 2000  # far ahead
     index = topk.Index(np.arange(2000), v)
-    q = rng.integers(-200, 200, (20, 8))
-    for (rows, score), x in zip(index.top(q, 3), q):
-        exact = v @ x
-        best = np.sort(exact)[-3:]
-        assert sorted(score)[-3:] == best.tolist() and (exact[rows] == score).all() and set(np.flatnonzero(exact >= best[0])) <= set(rows.tolist())
+    again = topk.Index.unpacked(24, *index.packed())
+    q = rng.integers(-200, 200, (20, 24))
+    exact = v @ q.T
+    least = np.sort(exact, axis=0)[-3]
+    for floor in (np.full(20, -np.inf), least.astype(float)):
+        rows, queries, done = again.possible(q, 3, floor)
+        assert done < len(index.members) and len(rows) < 20 * 2000 / 2  # neither all postings nor all vectors were needed
+        found = set(zip(rows.tolist(), queries.tolist()))
+        assert {(int(i), int(j)) for i, j in zip(*np.nonzero(exact >= least))} <= found
+    for r in range(index.rounds + 1):  # what is left is bounded by its length
+        part = np.zeros_like(exact, float)
+        for s, (at, d, impact, a) in enumerate(index.segments.tolist()):
+            if at < r:
+                end = index.segments[s + 1, 3] if s + 1 < len(index.segments) else len(index.members)
+                part[index.members[a:end]] += q[:, d] * impact * index.step
+        assert (np.abs(exact - part) <= index.left[r][:, None] * np.sqrt((q * q).sum(axis=1))).all()
 
 
 # --- toxicity ---------------------------------------------------------------------------------------------------------
@@ -476,6 +593,65 @@ def test_formats_stay_valid():
             assert pii.pseudonymise(f"see {v} now", b"other")[0] != new
 
 
+def plain_permutation(size, key, tweak):
+    """The permutation as a table: the network written out forwards only."""
+    left = 1
+    while (left + 1) ** 2 <= size:
+        left += 1
+    right = (size + left - 1) // left
+
+    def f(r, half):
+        return int(hmac.new(key, tweak + b"|" + f"{size}|{r}|{half}".encode(), "sha256").hexdigest()[:32], 16)
+
+    table = []
+    for x in range(size):
+        while True:
+            a, b = x // right, x % right
+            for r in range(0, 10, 2):
+                a = (a + f(r, b)) % left
+                b = (b + f(r + 1, a)) % right
+            x = a * right + b
+            if x < size:
+                break
+        table.append(x)
+    back = {y: x for x, y in enumerate(table)}
+    step = 1 + f(255, 0) % (size - 1)
+    return [back[(y + step) % size] for y in table]
+
+
+def test_permutation_equals_the_one_written_out():
+    for size in (2, 5, 64, 1000):
+        assert [pii.feistel(x, size, b"k", b"t") for x in range(size)] == plain_permutation(size, b"k", b"t")
+
+
+def test_days_and_addresses_have_one_pseudonym_in_all_notations():
+    first = datetime.date(1900, 1, 1)
+    image = plain_permutation((datetime.date(2099, 12, 31) - first).days + 1, b"key", b"date")
+    for day in (datetime.date(2024, 1, 5), datetime.date(1999, 12, 31), datetime.date(2000, 2, 29)):
+        new = first + datetime.timedelta(image[(day - first).days])
+        for form in ("%Y-%m-%d", "%d.%m.%Y", "%m/%d/%Y", "%Y.%m.%d"):
+            assert pii.pseudonymise(f"on {day.strftime(form)}.", b"key")[0] == f"on {new.strftime(form)}."
+    one, two, three = (pii.pseudonymise(x, b"key")[0] for x in ("Bob.Li@Mail.Example.org", "bob.li@mail.example.org", "rob.li@mail.example.org"))
+    assert one.lower() == two and one != two and two != three and one[0].isupper() and one.endswith(".Example.org")
+
+
+def test_texts_full_of_values_take_linear_time():
+    took = []
+    for n in (4000, 16000):
+        text = " ".join(f"user{k}@example{k % 7}.org" for k in range(n))
+        pii.pseudonymise(text, b"k")  # fills the cache
+        began = time.perf_counter()
+        new, found = pii.pseudonymise(text, b"k")
+        took.append(time.perf_counter() - began)
+        assert len(found) == n and len(new) == len(text)
+    assert took[1] < 12 * took[0]
+
+
+def test_a_key_is_needed(spark):
+    with pytest.raises(ValueError):
+        pii.scan(frame(spark, [(1, "x")]), b"")
+
+
 def test_what_is_not_valid_stays():
     for t in ["4111111111111112", "999.1.1.1", "2001-02-30", "000-12-3456", "token0641917ea4e9", "version 1.2.3.4.5", "GB00WEST12345698765432", "", "a@b", "12-34"]:
         assert pii.pseudonymise(t, b"k") == (t, [])
@@ -506,11 +682,11 @@ def test_numbers_behind_failed_and_shortened_matches():
 
 def test_pii_frames(spark):
     df = frame(spark, [(1, "call +1 (988) 555-2485"), (2, None), (3, ""), (1, "call +1 (988) 555-2485"), (4, "x" * 300_000 + " 10.0.0.1")])
-    got = pii.scan(df).collect()
+    got = pii.scan(df, b"k").collect()
     assert got[0].clean_text == got[3].clean_text != got[0].text and got[1].clean_text is None and got[2].clean_text == ""
     assert got[4].pii[0].kind == "ipv4" and got[4].pii[0].start == 300_001
-    out = pii.replace(df)
-    assert out.columns == df.columns and out.first().text == got[0].clean_text and pii.scan(df.limit(0)).count() == 0
+    out = pii.replace(df, b"k")
+    assert out.columns == df.columns and out.first().text == got[0].clean_text and pii.scan(df.limit(0), b"k").count() == 0
 
 
 # --- licenses ---------------------------------------------------------------------------------------------------------
@@ -585,17 +761,68 @@ def test_license_windows_equal_brute_force():
 # --- language model ---------------------------------------------------------------------------------------------------
 
 
-def test_windows_are_counted_over_all_texts(spark):
-    rows = [(k, " ".join(base_words(30, k % 7))) for k in range(40)] + [(99, None), (98, ""), (97, "a")]
+def plain_log_prob(net, around, target):
+    """One token's log-probability, each sum written out."""
+    s = [math.tanh(sum(float(net.embed[k][x][j]) for k, x in enumerate(around)) + float(net.bias[j])) for j in range(language_model.HIDDEN)] + [1.0]
+
+    def share(table, at):
+        z = [sum(a * float(b) for a, b in zip(s, table[:, k])) for k in range(table.shape[1])]
+        return z[at] - math.log(sum(math.exp(x) for x in z))
+
+    c = int(net.class_of[target])
+    return share(net.to_class, c) + share(net.to_word[c], int(net.place[target]))
+
+
+def test_scores_equal_the_sums_written_out(spark, monkeypatch):
+    monkeypatch.setattr(language_model, "SHARED", language_model.WORDS + 40)  # some counts with the network, some joined
+    r = random.Random(3)
+    often = [f"w{k}" for k in range(language_model.WORDS)]
+    rows = [(k, " ".join([*r.sample(often, 30), f"rare{k % 90}x{k % 5}", "", f"rare{k % 7}", "! Only" + str(k)])) for k in range(300)] + [(400, " ".join(often * 3)), (401, None), (402, " "), (0, "w1")]
     df = frame(spark, rows)
-    words = {bytes(r.word): r.n for r in language_model.word_counts(df, "text").collect()}
-    want = {}
-    for _, t in rows:
-        for w in language_model.tokens((t or "").encode()):
-            want[w] = want.get(w, 0) + 1
-    assert words == want
-    v = language_model.Vocabulary(sorted(words.items(), key=lambda x: (-x[1], x[0])), 0, 0)
-    assert sum(r.n for r in language_model.window_counts(df, "text", v).collect()) == sum(want.values())
+    model = language_model.train(df)
+    counts = Counter(w for _, t in rows for w in language_model.tokens((t or "").encode()))
+    v, net = model.vocabulary, model.network
+    assert {language_model.word_key(w): n for w, n in counts.items()} == {x.key: x.n for x in model.words.collect()}
+    alone = {w for w in counts if language_model.word_key(w) in v.output}
+    assert len(alone) == language_model.WORDS and min(counts[w] for w in alone) >= max(n for w, n in counts.items() if w not in alone)
+    got = {x.doc_id: x for x in language_model.score(df, model, columns=["doc_id", "score"]).where("doc_id > 0").collect()}
+    assert len(got) == len(rows) - 2
+    for i, t in rows[1:60] + rows[301:303]:
+        words = language_model.tokens((t or "").encode())
+        out = [v.output.get(language_model.word_key(w), language_model.WORDS + language_model.bucket_of(w)) for w in words]
+        padded = [language_model.OUTPUTS] * 2 + out + [language_model.OUTPUTS] * 2
+        want, unseen = 0.0, 0
+        for k, w in enumerate(words):
+            want += plain_log_prob(net, [padded[k], padded[k + 1], padded[k + 3], padded[k + 4]], out[k])
+            if w not in alone:
+                same = [x for x in counts if x not in alone and language_model.bucket_of(x) == language_model.bucket_of(w)]
+                other = counts[w] - words.count(w)
+                unseen += other == 0
+                want += math.log((other + 0.5) / (sum(counts[x] for x in same) + 0.5 * (len(same) + 1)))
+        x = got[i]
+        assert (x.n_tokens, x.n_unseen) == (len(words), unseen) and abs(x.log_likelihood - want) < 1e-3 * max(1, len(words))
+        assert x.perplexity is None if not words else abs(math.log(x.perplexity) + want / len(words)) < 1e-3
+
+
+def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(0)
+    windows = rng.integers(0, language_model.OUTPUTS, (2000, 5))
+    net = language_model.fit(windows, np.bincount(windows[:, 2], minlength=language_model.OUTPUTS), epochs=1)
+    around = np.full(language_model.OUTPUTS, 7)
+    total = np.exp(net._chunk([around] * 4, np.arange(language_model.OUTPUTS))).sum()
+    assert abs(total - 1) < 1e-3 and np.bincount(net.class_of).tolist() == [language_model.SIZE] * language_model.CLASSES
+
+
+def test_both_sides_are_read():
+    """Of 'a x b', 'c y d', 'a y d' and 'c x b' only the right side tells x from y; then only the left one."""
+    edge = language_model.OUTPUTS
+    for right in (True, False):
+        rows = [(0, 4, 1), (2, 5, 3), (0, 5, 3), (2, 4, 1)] if right else [(1, 4, 0), (3, 5, 2), (3, 5, 0), (1, 4, 2)]
+        windows = np.array([(edge, a, x, b, edge) for a, x, b in rows] * 500)
+        net = language_model.fit(windows, np.bincount(windows[:, 2], minlength=language_model.OUTPUTS))
+        for a, x, b in rows:
+            p = np.exp(net.log_prob(np.array([edge, edge, a, x, b, edge, edge]))[1])
+            assert p > 0.8
 
 
 def test_scores_prefer_text_like_the_corpus(spark):
@@ -603,10 +830,18 @@ def test_scores_prefer_text_like_the_corpus(spark):
     df = frame(spark, [(k, phrase * 5) for k in range(60)] + [(100, None), (101, " ")])
     model = language_model.train(df)
     probe = frame(spark, [(1, phrase * 3), (2, " ".join(random.Random(1).sample((phrase * 3).split(), 39))), (3, "zzz qqq xxx yyy"), (4, None), (5, ""), (1, phrase * 3)])
-    s = [r for r in language_model.score(probe, model).collect()]
-    assert s[0].perplexity < s[1].perplexity < s[2].perplexity and s[0].log_likelihood == s[5].log_likelihood
-    assert s[3].n_tokens == 0 and s[3].perplexity is None and s[4].log_likelihood == 0
-    total = np.exp(model.table).sum(axis=1)
-    assert np.allclose(total, 1, atol=1e-4)
+    got = language_model.score(probe, model, inside=False).collect()
+    s = {r.doc_id: r for r in got}
+    assert s[1].perplexity < s[2].perplexity < s[3].perplexity and len({r.log_likelihood for r in got if r.doc_id == 1}) == 1 and len(got) == 6
+    assert s[4].n_tokens == 0 and s[4].perplexity is None and s[5].log_likelihood == 0 and s[3].n_unseen == 4
     empty = language_model.train(df.limit(0))
-    assert language_model.score(probe, empty).count() == 6
+    assert language_model.score(probe, empty).count() == 6 and language_model.score(df.limit(0), model).count() == 0
+
+
+def test_texts_that_occur_twice_score_apart(spark):
+    rows = [(k, " ".join(base_words(60, k // 2 if k < 40 else k))) for k in range(140)]
+    df = frame(spark, rows)
+    got = {r.doc_id: r for r in language_model.score(df, language_model.train(df)).collect()}
+    twice, once = ([got[k] for k in ks] for ks in (range(40), range(40, 140)))
+    assert max(r.n_unseen for r in twice) < min(r.n_unseen for r in once)
+    assert np.median([r.perplexity for r in twice]) < np.median([r.perplexity for r in once])
