@@ -184,17 +184,22 @@ def held_out(id: Column, folds: int = 5) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = MAX_PER_CLASS, folds: int = 5, **kw) -> Model:
     """Fits on labelled documents outside the held-out fold: at most per_class of each label, those of least hash of the id.
-    Rows with null ids, labels other than 0 and 1, or without a document are left out."""
+    Rows with null ids, labels other than 0 and 1, or without a document are left out; of documents that share an id one text
+    counts."""
     known = labels.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{label}`").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").where(~held_out(F.col("_id"), folds))
     known = known.groupBy("_id").agg(F.max("_y").alias("_y"))  # a label once, the worse one
+    n, toxic = known.agg(F.count("*"), F.sum("_y")).first()
+    kw.setdefault("prior", (toxic or 0) / n if n else None)
     order = F.xxhash64("_id", F.lit(13))
     some = None
-    for y in (0, 1):
-        part = known.where(F.col("_y") == y).orderBy(order, "_id").limit(per_class)
+    for y, size in ((0, n - (toxic or 0)), (1, toxic or 0)):
+        part = known.where(F.col("_y") == y)
+        if size > 4 * per_class:  # so that one task doesn't sort what every other one holds: far more ids than needed are left
+            part = part.where(F.shiftrightunsigned(order, 1) < int((1 << 63) * 2 * per_class / size))
+        part = part.orderBy(order, "_id").limit(per_class)
         some = part if some is None else some.unionByName(part)
     found = docs.select(F.col(f"`{id}`").alias("_id"), F.col(f"`{text}`").alias("_t")).join(F.broadcast(some), "_id")  # at most 2 * per_class ids
-    n, toxic = known.agg(F.count("*"), F.sum("_y")).first()
-    kw.setdefault("prior", (toxic or 0) / n if n else None)
+    found = found.groupBy("_id", "_y").agg(F.max("_t").alias("_t"))
     rows = sorted((int(r._y), str(r._id), r._t or "") for r in found.collect())
     return fit([(t.encode(), y) for y, _, t in rows], **kw)
 
