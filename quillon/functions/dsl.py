@@ -2,7 +2,8 @@
 
 A formula is parsed into a tree of (op, arguments, value). Equal subtrees are one node. Nodes that need a window become
 columns of their own, level by level over all formulas together: all rolling nodes of a level share the symbol exchange,
-then all cross-sectional ones the date exchange, so K formulas pay about as many exchanges as the deepest of them.
+then all cross-sectional ones one aggregation by date and, for ranks, the date exchange (see operators.cross), so K formulas
+pay about as many exchanges as the deepest of them.
 """
 
 from __future__ import annotations
@@ -190,27 +191,29 @@ def evaluate(panel: DataFrame, formulas: dict[str, str | Node], symbol: str = "s
         for group in ([n for n in todo if n.op not in CROSS], [n for n in todo if n.op in CROSS]):
             if not group:
                 continue
-            inputs, exprs = {}, {}
-            for n in group:  # windows read plain columns
-                cols = []
+            inputs, exprs, names = {}, {}, {}
+            for n in group:  # windows and aggregates read plain columns
                 for a in n.args:
                     if a.op == "var" or a in made:
-                        cols.append(column(a))
+                        names[a] = made[a] if a in made else a.value
                     else:
-                        inputs.setdefault(a, name())
-                        cols.append(F.col(inputs[a]))
-                exprs[n] = cols
+                        names[a] = inputs.setdefault(a, name()) if a not in inputs else inputs[a]
+                exprs[n] = [column(a) if a.op == "var" or a in made else F.col(inputs[a]) for a in n.args]
             if inputs:
                 out = out.withColumns({c: column(a) for a, c in inputs.items()})
                 made.update(inputs)
+            if group[0].op in CROSS:
+                for n in group:
+                    made[n] = name()
+                out = cross.with_columns(out, {made[n]: (n.op, names[n.args[0]]) for n in group}, date, symbol)
+                continue
             late = [n for n in group if n.op == "ts_ema"]
             plain = {}
             for n in group:
                 if n.op == "ts_ema":
                     continue
-                fn = getattr(cross, n.op) if n.op in CROSS else getattr(rolling, n.op)
                 made[n] = name()
-                plain[made[n]] = fn(*exprs[n], date=date) if n.op in CROSS else fn(*exprs[n], n.value, symbol=symbol, date=date)
+                plain[made[n]] = getattr(rolling, n.op)(*exprs[n], n.value, symbol=symbol, date=date)
             if plain:
                 out = out.withColumns(plain)
             for n in late:  # stages of its own on the same exchange

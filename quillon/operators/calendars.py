@@ -9,6 +9,20 @@ from pyspark.sql import functions as F
 STEMS = ["Jia", "Yi", "Bing", "Ding", "Wu", "Ji", "Geng", "Xin", "Ren", "Gui"]
 BRANCHES = ["Zi", "Chou", "Yin", "Mao", "Chen", "Si", "Wu", "Wei", "Shen", "You", "Xu", "Hai"]
 ELEMENTS = ["Wood", "Fire", "Earth", "Metal", "Water"]
+# The twenty-eight mansions, the element of each branch, the category of each element, and the relations of branches.
+MANSIONS = [
+    "Horn", "Neck", "Root", "Room", "Heart", "Tail", "Winnowing Basket", "Dipper", "Ox", "Girl", "Emptiness", "Rooftop", "Encampment", "Wall",
+    "Stride", "Mound", "Stomach", "Hairy Head", "Net", "Turtle Beak", "Three Stars", "Well", "Ghost", "Willow", "Star", "Extended Net", "Wings", "Chariot",
+]
+BRANCH_ELEMENTS = ["Water", "Earth", "Wood", "Wood", "Earth", "Fire", "Fire", "Earth", "Metal", "Metal", "Earth", "Water"]
+CATEGORIES = {"Wood": "friends", "Fire": "expression", "Earth": "wealth", "Metal": "authority", "Water": "learning"}
+RELATIONS = {
+    "clash": [("Zi", "Wu"), ("Chou", "Wei"), ("Yin", "Shen"), ("Mao", "You"), ("Chen", "Xu"), ("Si", "Hai")],
+    "combine": [("Zi", "Chou"), ("Yin", "Hai"), ("Mao", "Xu"), ("Chen", "You"), ("Si", "Shen"), ("Wu", "Wei")],
+    "harm": [("Zi", "Wei"), ("Chou", "Wu"), ("Yin", "Si"), ("Mao", "Chen"), ("Shen", "Hai"), ("You", "Xu")],
+    "break": [("Zi", "You"), ("Chou", "Chen"), ("Yin", "Hai"), ("Mao", "Wu"), ("Si", "Shen"), ("Wei", "Xu")],
+    "punishment": [("Zi", "Mao"), ("Yin", "Si"), ("Si", "Shen"), ("Yin", "Shen"), ("Chou", "Xu"), ("Xu", "Wei"), ("Chou", "Wei"), ("Chen", "Chen"), ("Wu", "Wu"), ("You", "You"), ("Hai", "Hai")],
+}
 
 
 def cycle(labels: list[str], index: Column) -> Column:
@@ -39,6 +53,65 @@ def hour_branch(hour: Column) -> Column:
     return cycle(BRANCHES, F.floor((hour + 1) / 2))
 
 
+def mansion(day: Column) -> Column:
+    """One of twenty-eight, anchored to 1984-02-02."""
+    return cycle(MANSIONS, F.datediff(day, F.lit("1984-02-02").cast("date")))
+
+
+def hour_label(day: Column, hour: Column) -> Column:
+    """Stem from the day's stem and the hour's branch."""
+    at = F.floor((F.pmod(hour, F.lit(24)) + 1) / 2) % 12
+    return F.concat(cycle(STEMS, F.datediff(day, F.lit("1984-02-02").cast("date")) * 2 + at), hour_branch(hour))
+
+
+def relation_table(spark: SparkSession) -> DataFrame:
+    """relation, a, b: each unordered pair once, in the branches' order."""
+    order = BRANCHES.index
+    rows = [(r, *sorted(p, key=order)) for r, pairs in RELATIONS.items() for p in pairs]
+    return spark.createDataFrame(rows, "relation string, a string, b string")
+
+
+def relations(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """pairs with each relation that their two branches have, in either order; pairs without one drop out. A written table."""
+    at = lambda c: F.array_position(F.array(*[F.lit(b) for b in BRANCHES]), F.col(c))
+    swap = at(left) > at(right)
+    keyed = pairs.withColumns({"a": F.when(swap, F.col(right)).otherwise(F.col(left)), "b": F.when(swap, F.col(left)).otherwise(F.col(right))})
+    return keyed.join(F.broadcast(relation_table(pairs.sparkSession)), ["a", "b"]).drop("a", "b")
+
+
+def branch_element(index: Column) -> Column:
+    return cycle(BRANCH_ELEMENTS, index)
+
+
+def focus_element(annual: Column, natal: Column, useful: Column) -> Column:
+    """The useful element if the year has it; else the one the year has most, then the natal chart (a map) least, then the
+    first."""
+    def of(i: int, e: str) -> Column:
+        n = F.size(F.filter(annual, lambda x: x == e))
+        return F.struct(n.alias("n"), (-F.coalesce(F.try_element_at(natal, F.lit(e)), F.lit(0))).alias("m"), F.lit(-i).alias("i"), F.lit(e).alias("e"))
+
+    score = F.array(*[of(i, e) for i, e in enumerate(ELEMENTS)])
+    return F.when(F.array_contains(annual, useful), useful).otherwise(F.array_max(score)["e"])
+
+
+def category(element: Column) -> Column:
+    out = F.lit(None).cast("string")
+    for e, c in CATEGORIES.items():
+        out = F.when(element == e, F.lit(c)).otherwise(out)
+    return out
+
+
+def intensity(annual: Column, dominant: Column, useful: Column) -> Column:
+    """Rules in order: the dominant element twice, the useful one, the dominant one, none of them."""
+    twice = F.size(F.filter(annual, lambda x: x == dominant)) == 2
+    return F.when(twice, "high-volatility").when(F.array_contains(annual, useful), "constructive").when(F.array_contains(annual, dominant), "active").otherwise("moderate")
+
+
+def useful_state(focus: Column, annual: Column, useful: Column, dominant: Column) -> Column:
+    twice = F.size(F.filter(annual, lambda x: x == dominant)) == 2
+    return F.when(twice, "dominant_element_reinforced").when(focus == useful, "useful_element_activated").when(F.array_contains(annual, useful), "useful_element_present").otherwise("neutral_or_indirect")
+
+
 def stem_element(index: Column) -> Column:
     return cycle(ELEMENTS, F.floor(F.pmod(index, F.lit(10)) / 2))
 

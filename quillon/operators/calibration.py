@@ -57,6 +57,67 @@ def mean_with_absent(metrics: DataFrame, row: str, name: str, value: str) -> Dat
     return metrics.groupBy(name).agg((F.sum(value) / F.lit(max(1, total))).alias("mean"))
 
 
+def floor_rejections(means: DataFrame, floors: dict[str, float], name: str = "metric", value: str = "mean") -> DataFrame:
+    """metric, floor, mean and the reason of every metric whose mean lies below its floor; a metric without a mean has 0. floors
+    is a written list."""
+    listed = means.sparkSession.createDataFrame(list(floors.items()), f"{name} string, floor double")
+    out = listed.join(means.select(name, value), name, "left").withColumn(value, F.coalesce(value, F.lit(0.0))).where(F.col(value) < F.col("floor"))
+    return out.withColumn("rejection", F.format_string("%s below floor %s: %.3f", F.col(name), F.col("floor").cast("string"), F.col(value)))
+
+
+def one_sided(rows: DataFrame, event: str = "is_event", exact: str = "hit", strict: str = "strict") -> DataFrame:
+    """rows with exact_match and strict_exact_match where the event is there, false_positive and strict_false_positive where it
+    isn't; the other side is null, and so are all where it is unknown."""
+    e = F.col(event)
+    return rows.withColumns({
+        "exact_match": F.when(e, F.col(exact)), "strict_exact_match": F.when(e, F.col(strict)),
+        "false_positive": F.when(~e, F.col(exact)), "strict_false_positive": F.when(~e, F.col(strict)),
+    })
+
+
+def readiness(labels: DataFrame, profiles: DataFrame, id: str, fields: dict[str, Column]) -> DataFrame:
+    """labels with the source and rating of their profile, scoring_ready, and blocking_reasons: no profile, and each check of
+    fields (reason: condition that must hold) that fails or is null. Every label stays; of a profile's rows the least counts."""
+    p = profiles.groupBy(id).agg(F.min(F.struct("source", "rating")).alias("_p"))
+    out = labels.join(p, id, "left")
+    why = [F.when(F.col("_p").isNull(), "missing reviewed profile"), *[F.when(~F.coalesce(c, F.lit(False)), reason) for reason, c in fields.items()]]
+    out = out.withColumn("blocking_reasons", F.array_compact(F.array(*why)))
+    return out.withColumns({"profile_source": F.col("_p.source"), "profile_rating": F.col("_p.rating"), "scoring_ready": F.size("blocking_reasons") == 0}).drop("_p")
+
+
+def acceptance(baseline: DataFrame, best: DataFrame, validation: DataFrame) -> DataFrame:
+    """One row: the five gates, all of them together, and the reasons of a rejection. baseline: average_score; best and
+    validation: average_score, passed_floors, and for best passed_regression (one row each; validation may be empty)."""
+    b = baseline.select(F.col("average_score").alias("_b"))
+    s = best.select(F.col("average_score").alias("_s"), F.col("passed_floors").alias("_f"), F.col("passed_regression").alias("_r"))
+    v = validation.agg(F.max("average_score").alias("_v"), F.bool_and("passed_floors").alias("_vf"), F.count("*").alias("_n"))
+    x = s.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(v))  # one row each
+    none = F.col("_n") == 0
+    x = x.withColumns({
+        "regression_gate": F.col("_r"), "metric_floors": F.col("_f"), "train_score_improved": F.col("_s") > F.col("_b"),
+        "validation_metric_floors": none | F.coalesce("_vf", F.lit(False)), "validation_score_not_regressed": none | F.coalesce(F.col("_v") >= F.col("_b"), F.lit(False)),
+    })
+    gates = ["regression_gate", "metric_floors", "train_score_improved", "validation_metric_floors", "validation_score_not_regressed"]
+    number = lambda c: F.format_string("%.3f", F.col(c))
+    reasons = F.array_compact(F.array(
+        F.when(~F.col(gates[0]), "selected candidate failed regression gate"), F.when(~F.col(gates[1]), "selected candidate failed metric floors"),
+        F.when(~F.col(gates[2]), F.concat(F.lit("selected train score "), number("_s"), F.lit(" did not exceed baseline "), number("_b"))),
+        F.when(~F.col(gates[3]), "validation candidate failed metric floors"),
+        F.when(~F.col(gates[4]), F.concat(F.lit("validation score "), number("_v"), F.lit(" below baseline "), number("_b"))),
+    ))
+    accepted = F.lit(True)
+    for g in gates:
+        accepted = accepted & F.col(g)
+    return x.select(*gates, accepted.alias("accepted"), F.array_join(reasons, "; ").alias("reasons"))
+
+
+def partition_votes(votes: DataFrame, by: list[str], voter: str, value: str, threshold: float) -> DataFrame:
+    """by, support (share of voters at or above the threshold), and the sorted lists of those for and against."""
+    yes = F.col(value) >= threshold
+    g = votes.groupBy(*by).agg(F.avg(F.coalesce(yes, F.lit(False)).cast("double")).alias("support"), F.array_sort(F.collect_set(F.when(yes, F.col(voter)))).alias("in_favour"), F.array_sort(F.collect_set(F.when(~F.coalesce(yes, F.lit(False)), F.col(voter)))).alias("against"))
+    return g
+
+
 def confidence(base: Column, parts: list[Column], low: float = 0.1, high: float = 0.95) -> Column:
     total = base
     for p in parts:

@@ -30,8 +30,8 @@ def daily_ic(panel: DataFrame, factor: str, target: str = "forward_return") -> D
 
 def daily_rank_ic(panel: DataFrame, factor: str, target: str = "forward_return") -> DataFrame:
     c = common(panel, factor, target)
-    ranked = c.select("date", cross.cs_rank(F.col("f")).alias("f"), cross.cs_rank(F.col("r")).alias("r"))
-    return ranked.groupBy("date").agg(pearson("f", "r").alias("ic"))
+    ranked = cross.with_columns(c, {"_rf": ("cs_rank", "f"), "_rr": ("cs_rank", "r")})
+    return ranked.groupBy("date").agg(pearson("_rf", "_rr").alias("ic"))
 
 
 def ic_score(daily: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ def icir_score(daily: DataFrame) -> DataFrame:
 
 
 def _moves(panel: DataFrame, factor: str) -> DataFrame:
-    weight = panel.select("symbol", "date", cross.abs_normalise(F.col(f"`{factor}`")).alias("w"))
+    weight = cross.with_columns(panel.select("symbol", "date", F.col(f"`{factor}`").alias("f")), {"w": ("abs_normalise", "f")})
     return weight.withColumn("t", F.abs(F.col("w") - F.lag("w").over(Window.partitionBy("symbol").orderBy("date"))))
 
 
@@ -60,12 +60,20 @@ def daily_turnover(panel: DataFrame, factor: str) -> DataFrame:
 def long_short(panel: DataFrame, factor: str, buckets: int = 5, target: str = "forward_return") -> DataFrame:
     """date, ls: mean return of the highest bucket less that of the lowest; a missing side counts 0, a date with neither is
     left out."""
-    c = common(panel, factor, target).withColumn("b", cross.bucket(F.col("f"), buckets))
+    c = cross.with_columns(common(panel, factor, target), {"b": ("bucket", "f", buckets)})
     side = lambda k: F.avg(F.when(F.col("b") == k, F.col("r")))
     d = c.groupBy("date").agg(side(buckets - 1).alias("hi"), side(0).alias("lo")).where("hi is not null or lo is not null")
     return d.select("date", (F.coalesce("hi", F.lit(0.0)) - F.coalesce("lo", F.lit(0.0))).alias("ls"))
 
 
+def long_short_many(long: DataFrame, buckets: int = 5) -> DataFrame:
+    """factor, date, ls of many factors in one pass over (factor, date, f, r)."""
+    c = cross.with_columns(long.where("f is not null and r is not null"), {"b": ("bucket", "f", buckets)}, ["factor", "date"])
+    side = lambda k: F.avg(F.when(F.col("b") == k, F.col("r")))
+    d = c.groupBy("factor", "date").agg(side(buckets - 1).alias("hi"), side(0).alias("lo")).where("hi is not null or lo is not null")
+    return d.select("factor", "date", (F.coalesce("hi", F.lit(0.0)) - F.coalesce("lo", F.lit(0.0))).alias("ls"))
+
+
 def equity(daily: DataFrame, value: str = "ls", share: float = 1.0) -> DataFrame:
     """date, ls, equity, drawdown with a share of the capital at work. One task, over daily aggregates only."""
     w = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
@@ -93,8 +101,7 @@ def scorecard(panel: DataFrame, factors: list[str], target: str = "forward_retur
     by (factor, date), so the cost grows with rows, not with jobs."""
     pairs = ", ".join(f"'{f}', `{f}`" for f in factors)
     long = panel.select("symbol", "date", F.col(f"`{target}`").alias("r"), F.expr(f"stack({len(factors)}, {pairs}) as (factor, f)"))
-    day = Window.partitionBy("factor", "date")
-    w = long.withColumn("w", F.col("f") / (F.sum(F.abs("f")).over(day) + TINY))
+    w = cross.with_columns(long, {"w": ("abs_normalise", "f")}, ["factor", "date"])
     w = w.withColumn("t", F.abs(F.col("w") - F.lag("w").over(Window.partitionBy("factor", "symbol").orderBy("date"))))
     both = F.col("f").isNotNull() & F.col("r").isNotNull()
     w = w.withColumns({"x": F.when(both, F.col("f")), "y": F.when(both, F.col("r"))})
@@ -134,14 +141,21 @@ def weight_fitness(cost_adjusted: Column, sharpe_: Column, ic: Column, turn: Col
     return F.when(turn > cap, F.lit(float("-inf"))).otherwise(score)
 
 
-def degenerate(panel: DataFrame, factor: str, null_share: float = 0.3, coverage: float = 0.5, spread: float = TINY) -> DataFrame:
-    """null_share, spread, coverage and whether the factor is degenerate."""
+def degenerate(panel: DataFrame, factor: str, null_share: float = 0.3, coverage: float | None = None, spread: float = TINY, sample: bool = False) -> DataFrame:
+    """null_share, spread, coverage and whether the factor is degenerate: too many nulls, hardly any spread (an empty factor has
+    none), or, where a coverage is asked for, too low a mean share of known values by date. The population takes the spread
+    over all values (sample=False), the library's cleaner that of a sample, 0.2 of nulls and a coverage of 0.5."""
     x = F.col(f"`{factor}`")
-    by_day = panel.groupBy("date").agg(F.avg(x.isNotNull().cast("double")).alias("c"), F.count("*").alias("n"), F.count(x).alias("k"), F.sum(x).alias("s"), F.sum(x * x).alias("q"))
-    a = by_day.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.avg("c").alias("coverage"))
-    var = F.col("q") / F.nullif(F.col("k"), F.lit(0)) - F.pow(F.col("s") / F.nullif(F.col("k"), F.lit(0)), 2)
-    a = a.select((1 - F.col("k") / F.nullif(F.col("n"), F.lit(0))).alias("null_share"), F.sqrt(F.greatest(var, F.lit(0.0))).alias("spread"), "coverage")
-    return a.withColumn("degenerate", (F.col("null_share") > null_share) | F.coalesce(F.col("spread") < spread, F.lit(True)) | (F.col("coverage") < coverage))
+    n, known = F.sum("n"), F.sum("k")
+    by_day = panel.groupBy("date").agg(F.count("*").alias("n"), F.count(x).alias("k"))
+    shares = by_day.agg((1 - known / F.nullif(n, F.lit(0))).alias("null_share"), F.avg(F.col("k") / F.col("n")).alias("coverage"))
+    # the deviation is merged from centred moments: sums of squares would find a spread in large constants
+    flat = panel.agg((F.stddev_samp(x) if sample else F.stddev_pop(x)).alias("spread"), (F.min(x) == F.max(x)).alias("constant"))
+    a = shares.crossJoin(F.broadcast(flat)).withColumn("spread", F.when(F.col("constant"), 0.0).otherwise(F.col("spread"))).drop("constant")  # one row each
+    bad = (F.col("null_share") > null_share) | F.coalesce(F.col("spread") < spread, F.lit(True))
+    if coverage is not None:
+        bad = bad | F.coalesce(F.col("coverage") < coverage, F.lit(True))
+    return a.select("null_share", "spread", "coverage", F.coalesce(bad, F.lit(True)).alias("degenerate"))
 
 
 def trend(series: DataFrame, order: str, value: str, last: int) -> DataFrame:
@@ -152,12 +166,15 @@ def trend(series: DataFrame, order: str, value: str, last: int) -> DataFrame:
 
 
 def combination_weights(table: DataFrame, how: str, ic: str = "ic", sharpe_: str = "sharpe", vol: str = "vol") -> DataFrame:
-    """table (a row for each factor) with weight: equal, ic, sharpe or risk_parity; equal where the weights cancel out."""
+    """table (a row for each factor) with weight: equal; or shares, of the sum of absolute values, of ic, of sharpe or of
+    inverse vol (risk_parity), the last two with the sign of ic. Equal where the shares cancel out; nulls count 0."""
     all_ = Window.partitionBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    raw = {"equal": F.lit(1.0), "ic": F.col(ic), "sharpe": F.col(sharpe_), "risk_parity": F.signum(F.col(ic)) / F.nullif(F.col(vol), F.lit(0.0))}[how]
-    out = table.withColumn("_raw", raw.cast("double"))
-    total = F.sum("_raw").over(all_)
-    return out.withColumn("weight", F.when(F.abs(total) < 1e-6, 1.0 / F.count("*").over(all_)).otherwise(F.col("_raw") / F.nullif(total, F.lit(0.0)))).drop("_raw")
+    sign = F.signum(F.col(ic))
+    raw = {"equal": F.lit(1.0), "ic": F.col(ic), "sharpe": sign * F.col(sharpe_), "risk_parity": sign / (F.col(vol) + 1e-12)}[how]
+    out = table.withColumn("_raw", F.coalesce(raw.cast("double"), F.lit(0.0)))
+    share = F.col("_raw") / (F.sum(F.abs("_raw")).over(all_) + 1e-12)
+    out = out.withColumn("_share", share)
+    return out.withColumn("weight", F.when(F.abs(F.sum("_share").over(all_)) < 1e-6, 1.0 / F.count("*").over(all_)).otherwise(F.col("_share"))).drop("_raw", "_share")
 
 
 def ic_weights(table: DataFrame, ic: str = "ic") -> DataFrame:
@@ -169,8 +186,9 @@ def ic_weights(table: DataFrame, ic: str = "ic") -> DataFrame:
 def combine(panel: DataFrame, weights: dict[str, float], out: str = "combined", drop_incomplete: bool = False) -> DataFrame:
     """Weighted sum of z-scores; a null in any factor gives null, or drops the row before z-scores are taken."""
     p = panel.dropna(subset=list(weights)) if drop_incomplete else panel
+    z = cross.with_columns(p, {f"_z{k}": ("cs_zscore", f) for k, f in enumerate(weights)})
     total = None
-    for f, w in weights.items():
-        part = F.lit(float(w)) * cross.cs_zscore(F.col(f"`{f}`"))
+    for k, w in enumerate(weights.values()):
+        part = F.lit(float(w)) * F.col(f"_z{k}")
         total = part if total is None else total + part
-    return p.withColumn(out, total)
+    return z.withColumn(out, total).drop(*[f"_z{k}" for k in range(len(weights))])

@@ -9,6 +9,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def in_order(df: DataFrame, by: list[str], order: str, reads: list[str], extra: str, begin, step) -> DataFrame:
+    """df with columns (DDL in extra) that depend on all rows before in the group: step(state, row) gives the next state and
+    the new values; begin() gives a group's first state. For recursions that no window can say. Rows stream through sorted
+    partitions: a group is one task's, but never held."""
+    from pyspark.sql.types import StructType
+
+    given = df.repartition(*by).sortWithinPartitions(*by, order)
+    more = StructType.fromDDL(extra)
+    schema = StructType([*df.schema.fields, *more.fields])
+    keys, names = list(by), [f.name for f in more.fields]
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = [f.type for f in to_arrow_schema(more)]
+        now, state = None, None
+        for b in batches:
+            at = {c: b.column(b.schema.names.index(c)).to_pylist() for c in dict.fromkeys([*keys, *reads])}
+            made = []
+            for i in range(b.num_rows):
+                key = tuple(at[c][i] for c in keys)
+                if now is None or key != now:
+                    now, state = key, begin()
+                state, new = step(state, {c: at[c][i] for c in reads})
+                made.append(new)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([m[n] for m in made], k) for n, k in zip(names, kinds, strict=True))], names=[*b.schema.names, *names])
+
+    return given.mapInArrow(run, schema)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, broadcast if a count proves that it has at most so many rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
@@ -56,6 +87,13 @@ def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int, ran
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def top_by_metrics(df: DataFrame, by: list[str], metrics: list[str], ties: list[Column], k: int) -> DataFrame:
+    """The k greatest of each group by each metric: df with metric, value and rank. One pass and one exchange for all
+    metrics."""
+    long = df.select("*", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])).alias("_m")).select(*df.columns, "_m.*")
+    return top_per_group(long, [*by, "metric"], [F.col("value").desc_nulls_last(), *ties], k)
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row of each key: the first in a written order (dropDuplicates would take any)."""
     return top_per_group(df, keys, order, 1, "_rn").drop("_rn")
@@ -70,41 +108,63 @@ def compare_periods(a: DataFrame, b: DataFrame, keys: list[str], values: list[st
     return out.withColumns(change)
 
 
-def pareto_front(df: DataFrame, objectives: list[str], block: int = 4096) -> DataFrame:
+def pareto_front(df: DataFrame, objectives: list[str], fan_in: int = 8) -> DataFrame:
     """Rows that no other row beats on one objective without losing on another; nulls count 0.
 
-    Rows are first thinned inside blocks of equal size, each by its own sort and scan; only survivors of all blocks meet.
-    Equal rows don't beat each other."""
+    A tree of fronts: every task thins its own rows, then fan_in tasks' survivors meet in one, level by level; only fronts
+    are exchanged. Equal rows don't beat each other."""
     vector = F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in objectives])
-    v = df.withColumn("_v", vector).withColumn("_key", F.xxhash64(*objectives))
-    distinct = v.select("_v").distinct()
+    v = df.withColumn("_v", vector)
+    width = len(objectives)
 
     def front_of(batches):
         import numpy as np
         import pyarrow as pa
 
-        held = np.zeros((0, len(objectives)))
+        held = np.zeros((0, width))
         for b in batches:
-            rows = np.array(b.column(0).to_pylist(), np.float64).reshape(-1, len(objectives))
+            rows = np.array(b.column(0).to_pylist(), np.float64).reshape(-1, width)
             held = _front(np.concatenate([held, rows]))
         yield pa.RecordBatch.from_arrays([pa.array(held.tolist(), pa.list_(pa.float64()))], names=["_v"])
 
-    local = distinct.mapInArrow(front_of, "_v array<double>")
-    final = local.coalesce(1).mapInArrow(front_of, "_v array<double>")  # survivors of every task only
-    return v.join(final, "_v", "left_semi").select(*df.columns)
+    front, n = v.select("_v").mapInArrow(front_of, "_v array<double>"), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:
+        front = front.repartition(n).mapInArrow(front_of, "_v array<double>")
+        if n == 1:
+            return v.join(front, "_v", "left_semi").select(*df.columns)
+        n = -(-n // fan_in)
 
 
-def _front(rows):
+def _front(rows, block: int = 256):
     import numpy as np
 
     rows = np.unique(rows, axis=0)
-    order = np.argsort(-rows.sum(axis=1), kind="stable")
-    rows, keep = rows[order], []
-    for i in range(len(rows)):  # only rows of a greater sum can beat a row
-        best = rows[keep]
-        if not len(best) or not ((best >= rows[i]).all(axis=1) & (best > rows[i]).any(axis=1)).any():
-            keep.append(i)
-    return rows[keep]
+    rows = rows[np.argsort(-rows.sum(axis=1), kind="stable")]  # only rows of a greater sum can beat a row
+    keep = rows[:0]
+    for a in range(0, len(rows), block):
+        some = rows[a : a + block]
+        for by in (keep, some):
+            if len(by) and len(some):
+                beaten = ((by[None] >= some[:, None]).all(axis=2) & (by[None] > some[:, None]).any(axis=2)).any(axis=1)
+                some = some[~beaten]
+        keep = np.concatenate([keep, some])
+    return keep
+
+
+def ranked(df: DataFrame, key: Column, ties: list[Column], name: str = "rank", pieces: int = 256) -> DataFrame:
+    """df with its place (from 1) by descending key, then ties; nulls last. No task sees all rows: keys are cut at quantiles
+    (approximate ones: any cut is right), pieces are counted, and each is numbered by itself from its offset. Rows of one
+    key stay together."""
+    cuts = df.agg(F.percentile_approx(key.cast("double"), [k / pieces for k in range(1, pieces)], 20 * pieces).alias("c")).first().c or []
+    cuts = sorted(set(cuts), reverse=True)  # fewer than `pieces` numbers
+    listed = F.array(*[F.lit(float(c)) for c in cuts]) if cuts else F.array().cast("array<double>")
+    at = F.when(key.isNull(), len(cuts) + 1).otherwise(F.size(F.filter(listed, lambda c: c > key)))
+    x = df.withColumns({"_key": key, "_piece": at})
+    counts = x.groupBy("_piece").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)  # over the pieces alone
+    offsets = counts.select("_piece", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_piece").orderBy(F.col("_key").desc_nulls_last(), *ties))
+    return x.withColumn(name, own).join(F.broadcast(offsets), "_piece").withColumn(name, F.col(name) + F.col("_before")).drop("_key", "_piece", "_before")  # at most pieces + 1 offsets
 
 
 def islands(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:

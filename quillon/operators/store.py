@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .shapes import in_order
 
 
 def latest(store: DataFrame, keys: list[str], version: str = "version") -> DataFrame:
@@ -29,22 +30,29 @@ def against_parent(scores: DataFrame, keys: list[str], version: str, parent: str
 
 
 def weighted_score(metrics: DataFrame, by: list[str], value: str, weight: str, threshold: float) -> DataFrame:
-    """Sum of weighted values clamped to [0, 1] over the sum of weights (0: equal weights); a null value counts 0 and fails."""
+    """Sum of weighted values clamped to [0, 1] over the sum of weights (score 0 if that is 0); a null value counts 0 and fails."""
     v, w = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.coalesce(value, F.lit(0.0)))), F.col(weight)
     out = metrics.groupBy(*by).agg(F.sum(v * w).alias("_s"), F.sum(w).alias("_w"), F.bool_and(F.col(value).isNotNull()).alias("_ok"))
     out = out.withColumn("score", F.col("_s") / F.when(F.col("_w") == 0, 1.0).otherwise(F.col("_w")))
     return out.withColumn("passed", F.col("_ok") & (F.col("score") + 1e-9 >= threshold)).drop("_s", "_w", "_ok")
 
 
-def triggers(runs: DataFrame, by: list[str], order: str, failed: Column, pattern: Column, cooldown: int) -> DataFrame:
-    """Runs that should start an evolution: failed, the pattern not failed before, and no trigger candidate in the last
-    cooldown runs."""
-    w = Window.partitionBy(*by).orderBy(order)
-    seen = Window.partitionBy(*by, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    x = runs.withColumns({"_f": failed, "_p": pattern})
-    x = x.withColumn("_new", F.col("_f") & (F.coalesce(F.max(F.col("_f").cast("int")).over(seen), F.lit(0)) == 0))
-    recent = F.coalesce(F.max(F.col("_new").cast("int")).over(w.rowsBetween(-cooldown, -1)), F.lit(0))
-    return x.withColumn("trigger", F.col("_new") & (recent == 0)).drop("_f", "_p", "_new")
+def triggers(runs: DataFrame, by: list[str], order: str, failed: Column, pattern: Column, cooldown: int, committed: Column | None = None) -> DataFrame:
+    """Runs that start an evolution: failed, at least cooldown runs after the last start (or the beginning), with a pattern
+    that no committed evolution was started for. A suppressed run leaves no trace: its pattern stays new. Nulls in failed or
+    committed count as no; a null pattern is a pattern.
+
+    A start depends on the starts before it, so the runs of a key are read in order by one task."""
+    x = runs.withColumns({"_f": F.coalesce(failed, F.lit(False)), "_p": F.coalesce(pattern.cast("string"), F.lit("")), "_c": F.coalesce(F.lit(True) if committed is None else committed, F.lit(False))})
+
+    def step(state, row):
+        since, seen = state[0] + 1, state[1]
+        start = row["_f"] and since >= cooldown and row["_p"] not in seen
+        if start and row["_c"]:
+            seen = seen | {row["_p"]}
+        return (0 if start else since, seen), {"trigger": start}
+
+    return in_order(x, by, order, ["_f", "_p", "_c"], "trigger boolean", lambda: (0, frozenset()), step).drop("_f", "_p", "_c")
 
 
 def degrees(nodes: DataFrame, edges: DataFrame, node: str = "node", src: str = "src", dst: str = "dst") -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .shapes import small, top_per_group
+from .shapes import top_per_group
 
 # Characters stripped from query terms; words of the critic; phrases of the safety gate.
 STRIPPED = ".,:;!?()[]{}"
@@ -101,12 +102,61 @@ def identifier(text: Column) -> Column:
     return F.btrim(F.lower(F.regexp_replace(text, r"[^\p{L}\p{N}]", "_")), F.lit("_"))
 
 
-def retrieve(queries: DataFrame, passages: DataFrame, query_id: str, query_text: str, source: str, passage_id: str, keywords: str, k: int = 2) -> DataFrame:
-    """The k passages of each source that share most terms with a query; ties to the greater id. An inverted index: terms
-    and keywords meet in an equi-join, so only passages that share a term are ever paired. Few query terms are broadcast:
-    then passages stay where they are, however often a term occurs in them."""
+def retrieve(queries: DataFrame, passages: DataFrame, query_id: str, query_text: str, source: str, passage_id: str, keywords: str, k: int = 2, most_terms: int = 200_000) -> DataFrame:
+    """The k passages of each source that share most terms with a query; ties to the greater id.
+
+    Up to most_terms query terms go to the workers as an index of terms; each counts its passages' overlaps where they are and
+    hands on its k best of every query and source, so what is exchanged doesn't grow with the passages that share a common
+    word. More query terms meet the keywords in an equi-join instead, so only passages that share a term are ever paired."""
     q = queries.select(F.col(query_id).alias("q"), F.explode(terms(F.col(query_text))).alias("term"))
-    p = passages.select(F.col(source).alias("s"), F.col(passage_id).alias("p"), F.explode(F.array_distinct(F.col(keywords))).alias("term"))
-    hits = p.join(small(q, 200_000), "term").groupBy("q", "s", "p").agg(F.count("*").alias("overlap"))
+    p = passages.select(F.col(source).alias("s"), F.col(passage_id).alias("p"), F.array_distinct(F.col(keywords)).alias("words"))
+    few = q.limit(most_terms + 1).toPandas()
+    if len(few) > most_terms:
+        hits = p.select("s", "p", F.explode("words").alias("term")).join(q, "term").groupBy("q", "s", "p").agg(F.count("*").alias("overlap"))
+    else:
+        hits = _local_best(p, few, q, k)
     best = top_per_group(hits, ["q", "s"], [F.col("overlap").desc(), F.col("p").desc()], k)
     return best.select(F.col("q").alias(query_id), F.col("s").alias(source), F.col("p").alias(passage_id), "overlap", "rank")
+
+
+def _local_best(p: DataFrame, terms_: object, q: DataFrame, k: int) -> DataFrame:
+    """q, s, p, overlap: each task's k best passages of every query and source."""
+    index: dict[str, list[int]] = {}
+    ids = terms_["q"].drop_duplicates().tolist()
+    place = {x: i for i, x in enumerate(ids)}
+    for x, t in zip(terms_["q"].tolist(), terms_["term"].tolist(), strict=True):
+        index.setdefault(t, []).append(place[x])
+    held = p.sparkSession.sparkContext.broadcast((index, ids))
+    schema = StructType([q.schema["q"], p.schema["s"], p.schema["p"], StructField("overlap", LongType())])
+
+    def run(batches):
+        from collections import Counter
+        from heapq import heappushpop, heappush
+
+        import pyarrow as pa
+
+        lookup, names = held.value
+        get, best = lookup.get, {}
+        kinds = None
+        for b in batches:
+            kinds = b.schema
+            for s, own, words_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if own is None:
+                    continue
+                counts: Counter = Counter()
+                for w in words_ or ():
+                    if found := get(w):
+                        counts.update(found)
+                for i, n in counts.items():
+                    heap = best.setdefault((i, s), [])
+                    if len(heap) < k:
+                        heappush(heap, (n, own))
+                    elif heap[0] < (n, own):
+                        heappushpop(heap, (n, own))
+        rows = [(names[i], s, own, n) for (i, s), heap in best.items() for n, own in heap]
+        if rows:
+            columns = list(zip(*rows, strict=True))
+            types = [None, kinds.field(0).type, kinds.field(1).type, pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["q", "s", "p", "overlap"])
+
+    return p.mapInArrow(run, schema)

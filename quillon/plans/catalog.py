@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import base, extras, factors, relational
+from . import audits, base, extras, factors, portfolio, relational
 
-MODULES = [factors, relational, extras]
+MODULES = [factors, relational, extras, audits, portfolio]
 QUERIES, ORACLES = base.QUERIES, base.ORACLES
 FLAGSHIP = "factor_reversal_ic"

@@ -9,7 +9,7 @@ from ..functions import dsl
 from ..operators import calendars, cross, nested, quality
 from ..sources import panels, readers
 from .base import SUPPLIER_MONTH, USER_DAY, W, last, query, rounded, table
-from .factors import _IC, FACTORS
+from .factors import _IC, FACTORS, scorecard_sql
 
 
 @query("audit_count_spread", "with c as (select user_id, event_type, count(*) as n from events group by 1, 2), s as (select user_id, max(n) - min(n) as spread, count(*) as kinds from c group by 1) select spread, count(*) as users, max(kinds) as kinds from s group by 1")
@@ -62,20 +62,37 @@ def decay_summary(spark, sf_dir):
     return rounded(a.crossJoin(F.broadcast(b)).withColumn("decaying", F.col("slope_3") < -0.005))  # one row each
 
 
-_PARITY = " union all ".join(f"select '{n}' as factor, symbol, date, {c} as f, forward_return as r from x" for n, c in (("mean_5", "a"), ("last", "b"), ("spread", "c")))
+_LONG = " union all ".join(f"select '{n}' as factor, symbol, date, {c} as f, forward_return as r from x" for n, c in (("mean_5", "a"), ("last", "b"), ("spread", "c"), ("fall", "-b")))
 
 
-@query("combination_risk_parity", f"""with {USER_DAY}, x as (select *, avg("return") over {last(5)} as a, close as b, high - low as c from p), l as ({_PARITY}), k as (select * from l where f is not null and r is not null),
- i as (select factor, date, case when min(f) <> max(f) and min(r) <> max(r) then covar_samp(f, r) / nullif(stddev_samp(f) * stddev_samp(r), 0) end as ic, avg(case when f > 0 then r end) as up from k group by 1, 2),
- s as (select factor, avg(ic) as ic, stddev_samp(up) as vol from i group by 1), w as (select *, sign(ic) / nullif(vol, 0) as raw from s), t as (select *, sum(raw) over () as total, count(*) over () as n from w)
- select factor, round(ic, 6) + 0.0 as ic, round(case when abs(total) < 1e-6 then 1.0 / n else raw / nullif(total, 0) end, 4) + 0.0 as weight from t""")
-def risk_parity(spark, sf_dir):
-    p = dsl.evaluate(panels.user_day(spark, sf_dir), {"a": "ts_mean(return, 5)", "b": "close", "c": "sub(high, low)"})
-    long = p.select("symbol", "date", F.col("forward_return").alias("r"), F.expr("stack(3, 'mean_5', a, 'last', b, 'spread', c) as (factor, f)")).where("f is not null and r is not null")
-    daily = long.groupBy("factor", "date").agg(quality.pearson("f", "r").alias("ic"), F.avg(F.when(F.col("f") > 0, F.col("r"))).alias("up"))
-    s = daily.groupBy("factor").agg(F.avg("ic").alias("ic"), F.stddev_samp("up").alias("vol"))
-    out = quality.combination_weights(s, "risk_parity").select("factor", "ic", "weight")
-    return rounded(out).withColumn("weight", F.round("weight", 4) + 0.0)
+def _share(x: str) -> str:
+    return f"{x} / (sum(abs({x})) over () + 1e-12)"
+
+
+@query("combination_weights", f"""with {USER_DAY}, x as (select *, avg("return") over {last(5)} as a, close as b, high - low as c from p), l as ({_LONG}), k as (select * from l where f is not null and r is not null),
+ i as (select factor, date, case when min(f) <> max(f) and min(r) <> max(r) then covar_samp(f, r) / nullif(stddev_samp(f) * stddev_samp(r), 0) end as ic from k group by 1, 2),
+ b0 as (select *, list_sort(list_distinct(quantile_cont(f, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) over (partition by factor, date))) as e from k), b as (select *, case when len(e) > 1 then greatest(0, len(list_filter(e, lambda y: y < f)) - 1) end as q from b0),
+ d as (select factor, date, avg(case when q = 4 then r end) as hi, avg(case when q = 0 then r end) as lo from b group by 1, 2), ls as (select factor, coalesce(hi, 0) - coalesce(lo, 0) as ls from d where hi is not null or lo is not null),
+ v as (select factor, stddev_samp(ls) as vol, avg(ls) / (stddev_samp(ls) + 1e-8) * sqrt(252) as sharpe from ls group by 1), s as (select factor, avg(ic) as ic from i group by 1),
+ w as (select factor, ic, sign(ic) * sharpe as rs, sign(ic) / (vol + 1e-12) as rp, count(*) over () as n from s join v using (factor)),
+ t as (select factor, n, {_share("ic")} as wi, {_share("rs")} as ws, {_share("rp")} as wp from w), u as (select *, sum(wi) over () as ti, sum(ws) over () as ts, sum(wp) over () as tp from t)
+ select factor, round(1.0::double / n, 6) as equal, round(case when abs(ti) < 1e-6 then 1.0 / n else wi end, 5) + 0.0 as by_ic, round(case when abs(ts) < 1e-6 then 1.0 / n else ws end, 5) + 0.0 as by_sharpe, round(case when abs(tp) < 1e-6 then 1.0 / n else wp end, 5) + 0.0 as by_risk from u""")
+def combination_weights(spark, sf_dir):
+    """All four ways, from daily information coefficients and long-short series of four factors."""
+    p = dsl.evaluate(panels.user_day(spark, sf_dir), {"a": "ts_mean(return, 5)", "b": "close", "c": "sub(high, low)", "d": "neg(close)"})
+    long = p.select("symbol", "date", F.col("forward_return").alias("r"), F.expr("stack(4, 'mean_5', a, 'last', b, 'spread', c, 'fall', d) as (factor, f)")).where("f is not null and r is not null")
+    ic = long.groupBy("factor", "date").agg(quality.pearson("f", "r").alias("ic")).groupBy("factor").agg(F.avg("ic").alias("ic"))
+    ls = quality.long_short_many(long).groupBy("factor").agg(F.stddev_samp("ls").alias("vol"), quality.sharpe("ls").alias("sharpe"))
+    out = ic.join(ls, "factor")
+    for how, name in (("equal", "equal"), ("ic", "by_ic"), ("sharpe", "by_sharpe"), ("risk_parity", "by_risk")):
+        out = quality.combination_weights(out, how).withColumn(name, F.round("weight", 6 if how == "equal" else 5) + 0.0).drop("weight")
+    return out.select("factor", "equal", "by_ic", "by_sharpe", "by_risk")
+
+
+@query("combination_signed_ic", scorecard_sql() + ", q as (select factor, ic, sum(abs(ic)) over () as size from s) select factor, round(ic / (size + 1e-8), 6) + 0.0 as signed from q")
+def signed_ic(spark, sf_dir):
+    s = quality.scorecard(dsl.evaluate(panels.user_day(spark, sf_dir), FACTORS), list(FACTORS)).select("factor", "ic")
+    return quality.ic_weights(s).select("factor", (F.round("weight", 6) + 0.0).alias("signed"))
 
 
 @query("source_forward_returns", f"with {SUPPLIER_MONTH} select symbol, date, round(lead(close, 3) over ({W}) / nullif(close, 0) - 1, 6) + 0.0 as forward_return from p")
@@ -94,8 +111,8 @@ def overlap_recall(spark, sf_dir):
  b as (select *, case when market_cap is not null then x end as u, case when x is not null then ln(market_cap) end as v from a) select symbol, date, round(u - v * (covar_samp(u, v) over (partition by date) / nullif(var_samp(v) over (partition by date), 0)), 6) + 0.0 as value from b""")
 def neutral_both(spark, sf_dir):
     """Sector first, then size."""
-    p = panels.supplier_month(spark, sf_dir).withColumn("x", cross.sector_neutral(F.col("return"), F.col("sector")))
-    return rounded(p.select("symbol", "date", cross.cap_neutral(F.col("x"), F.col("market_cap")).alias("value")))
+    out = cross.neutralise(panels.supplier_month(spark, sf_dir), "return", "value", sector="sector", cap="market_cap")
+    return rounded(out.select("symbol", "date", "value"))
 
 
 @query("dedup_by_key", "select user_id, ts::date as day, min(event_id) as event_id from events group by 1, 2")

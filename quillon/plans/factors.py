@@ -94,17 +94,39 @@ def smoothed_clip(spark, sf_dir):
 # --- cross-section ---------------------------------------------------------------------------------------------------
 
 _CS = {
-    "abs_normalise": (lambda: cross.abs_normalise(F.col("close")), "close / (sum(abs(close)) over (partition by date) + 1e-8)"),
-    "sector_neutral": (lambda: cross.sector_neutral(F.col("return"), F.col("sector")), 'case when sector is not null then "return" - avg("return") over (partition by date, sector) end'),
-    "cap_neutral": (lambda: cross.cap_neutral(F.col("return"), F.col("market_cap")), "u - v * (covar_samp(u, v) over (partition by date) / nullif(var_samp(v) over (partition by date), 0))"),
-    "bucket": (lambda: cross.bucket(F.col("close")).cast("double"), "case when len(e) > 1 then greatest(0, len(list_filter(e, lambda b: b < close)) - 1) end"),
+    "abs_normalise": (("abs_normalise", "close"), "close / (sum(abs(close)) over (partition by date) + 1e-8)"),
+    "sector_neutral": (("sector_neutral", "return", "sector"), 'case when sector is not null then "return" - avg("return") over (partition by date, sector) end'),
+    "cap_neutral": (("cap_neutral", "return", "market_cap"), "u - v * (covar_samp(u, v) over (partition by date) / nullif(var_samp(v) over (partition by date), 0))"),
+    "bucket": (("bucket", "close", 5), "case when len(e) > 1 then greatest(0, len(list_filter(e, lambda b: b < close)) - 1) end"),
 }
-for _name, (_col, _sql) in _CS.items():
+for _name, (_item, _sql) in _CS.items():
     _more = ', q0 as (select *, case when market_cap is not null then "return" end as u, case when "return" is not null then ln(market_cap) end as v, quantile_cont(close, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) over (partition by date) as qs from p), q as (select *, list_sort(list_distinct(qs)) as e from q0)'
 
     @query(f"cs_{_name}", f"with {SUPPLIER_MONTH}{_more} select symbol, date, round(({_sql})::double, 6) + 0.0 as value from q")
-    def _cs(spark, sf_dir, col=_col):
-        return rounded(panels.supplier_month(spark, sf_dir).select("symbol", "date", col().alias("value")))
+    def _cs(spark, sf_dir, item=_item):
+        out = cross.with_columns(panels.supplier_month(spark, sf_dir), {"value": item})
+        return rounded(out.select("symbol", "date", F.col("value").cast("double").alias("value")))
+
+
+@query("cs_rank_pieces", f"with {USER_DAY} select symbol, date, round({rank_sql('volume')}, 6) as rank_volume, round({rank_sql('close')}, 6) as rank_close from p")
+def rank_pieces(spark, sf_dir):
+    """Ranks as they are made beyond what one task may order: each date in pieces, with a value that many rows share."""
+    out = cross.with_columns(panels.user_day(spark, sf_dir), {"rank_volume": ("cs_rank", "volume"), "rank_close": ("cs_rank", "close")}, wide=True)
+    return rounded(out.select("symbol", "date", "rank_volume", "rank_close"))
+
+
+@query("cs_quantile_pieces", f"""with {USER_DAY}, q as (select *, list_sort(list_distinct(quantile_cont(volume, [0, 0.2, 0.4, 0.6, 0.8, 1.0]) over (partition by date))) as e from p)
+ select symbol, date, round(least(greatest(close, quantile_cont(close, 0.05) over (partition by date)), quantile_cont(close, 0.95) over (partition by date)), 6) as clipped, case when len(e) > 1 then greatest(0, len(list_filter(e, lambda b: b < volume)) - 1) end::int as bucket from q""")
+def quantile_pieces(spark, sf_dir):
+    out = cross.with_columns(panels.user_day(spark, sf_dir), {"clipped": ("winsorize", "close", 0.05, 0.95), "bucket": ("bucket", "volume", 5)}, wide=True)
+    return rounded(out.select("symbol", "date", "clipped", F.col("bucket").cast("int").alias("bucket")))
+
+
+@query("cs_neutral_where_known", f"with {SUPPLIER_MONTH} select symbol, date, round(case when sector is not null then close - avg(close) over (partition by date, sector) end, 6) + 0.0 as value from p")
+def neutral_where_known(spark, sf_dir):
+    """Steps whose column the panel has: here the sector, as the cap isn't there."""
+    p = panels.supplier_month(spark, sf_dir).drop("market_cap")
+    return rounded(cross.neutralise(p, "close", "value", sector="sector", cap="market_cap").select("symbol", "date", "value"))
 
 
 @query("cs_coverage", f'with {USER_DAY}, d as (select date, avg(("return" is not null)::int::double) as c from p group by 1) select round(avg(c), 6) as coverage, count(*) as days from d')
@@ -176,14 +198,25 @@ def backtest(spark, sf_dir):
     return rounded(quality.backtest(_reversal(spark, sf_dir), "f", share=0.01), 5)
 
 
-@query("quality_degenerate", f"""with {_REV}, d as (select date, avg((f is not null)::int::double) as c, count(*) as n, count(f) as k, sum(f) as s, sum(f * f) as q from f0 group by 1),
- a as (select sum(n) as n, sum(k) as k, sum(s) as s, sum(q) as q, avg(c) as coverage from d),
- b as (select (1 - k / nullif(n, 0))::double as null_share, sqrt(greatest(q / k - pow(s / k, 2), 0)) as spread, coverage from a)
- select round(null_share, 6) as null_share, round(spread, 6) as spread, round(coverage, 6) as coverage, null_share > 0.3 or coalesce(spread < 1e-8, true) or coverage < 0.5 as degenerate from b""")
+def _degenerate_sql(x: str, source: str) -> str:
+    return f"""d as (select date, count(*) as n, count({x}) as k from {source} group by 1), a as (select (1 - sum(k) / nullif(sum(n), 0))::double as null_share, avg(k / n) as coverage from d),
+ v as (select case when min({x}) = max({x}) then 0 else stddev_pop({x}) end as pop, case when min({x}) = max({x}) then 0 else stddev_samp({x}) end as samp from {source})"""
+
+
+@query("quality_degenerate", f"""with {_REV}, {_degenerate_sql("f", "f0")}
+ select round(null_share, 6) as null_share, round(pop, 6) as spread, round(coverage, 6) as coverage, null_share > 0.3 or coalesce(pop < 1e-8, true) as degenerate from a, v""")
 def degenerate(spark, sf_dir):
     return rounded(quality.degenerate(_reversal(spark, sf_dir), "f"))
 
 
+@query("quality_degenerate_constant", f"""with {USER_DAY}, c as (select date, case when volume > 1 then 99999.9 end as f from p), {_degenerate_sql("f", "c")}
+ select round(null_share, 6) as null_share, round(samp, 6) as spread, round(coverage, 6) as coverage, null_share > 0.2 or coalesce(samp < 1e-8, true) or coverage < 0.5 as degenerate from a, v""")
+def degenerate_constant(spark, sf_dir):
+    """The cleaner's rule on a large constant with gaps: it must have no spread."""
+    p = panels.user_day(spark, sf_dir).withColumn("f", F.when(F.col("volume") > 1, F.lit(99999.9)))
+    return rounded(quality.degenerate(p, "f", 0.2, 0.5, sample=True))
+
+
 @query("quality_ic_trend", f"with {_IC}, l as (select * from ic order by date desc limit 5), x as (select ic, row_number() over (order by date) - 1 as x from l) select round(case when count(ic) >= 5 then coalesce(regr_slope(ic, x), 0) else 0 end, 6) + 0.0 as slope, round(case when count(ic) >= 5 then coalesce(regr_slope(ic, x), 0) else 0 end, 6) < -0.005 as decaying from x")
 def ic_trend(spark, sf_dir):
     out = quality.trend(quality.daily_ic(_reversal(spark, sf_dir), "f"), "date", "ic", 5)
@@ -252,16 +285,6 @@ def leaderboard(spark, sf_dir):
     return top.select(F.row_number().over(Window.orderBy(F.abs("ic").desc(), "factor")).alias("rank"), "factor", "ic")
 
 
-@query("combination_weights", scorecard_sql() + """, q as (select factor, ic, sum(ic) over () as total, sum(abs(ic)) over () as size, count(*) over () as n from s)
- select factor, round(1.0::double / n, 6) as equal, round(case when abs(total) < 1e-6 then 1.0 / n else ic / total end, 5) + 0.0 as by_ic, round(ic / (size + 1e-8), 6) + 0.0 as signed from q""")
-def weights(spark, sf_dir):
-    s = quality.scorecard(dsl.evaluate(panels.user_day(spark, sf_dir), FACTORS), list(FACTORS)).select("factor", "ic")
-    equal = quality.combination_weights(s, "equal").withColumnRenamed("weight", "equal")
-    by_ic = quality.combination_weights(equal, "ic").withColumnRenamed("weight", "by_ic")
-    out = quality.ic_weights(by_ic).withColumnRenamed("weight", "signed")
-    return out.select("factor", F.round("equal", 6).alias("equal"), (F.round("by_ic", 5) + 0.0).alias("by_ic"), (F.round("signed", 6) + 0.0).alias("signed"))
-
-
 def _z(x: str) -> str:
     return f"({x} - avg({x}) over (partition by date)) / (stddev_samp({x}) over (partition by date) + 1e-8)"
 
@@ -342,9 +365,20 @@ def atr(spark, sf_dir):
     return rounded(indicators.atr(panels.supplier_month(spark, sf_dir)).select("symbol", "date", "atr_14"), 5)
 
 
-@query("indicator_macd_adx")
+def _seeded_sql(source: str, x: str, rate: float, n: int, first: int) -> str:
+    """The mean of rows first .. first + n - 1, then rate * x + (1 - rate) * the value before, written out."""
+    at = first + n - 1
+    return f"""select a.symbol, a.rn, case when a.rn >= {at} then max(case when b.rn = {at} then b.seed end) * pow({1 - rate!r}, a.rn - {at}) + {rate!r} * coalesce(sum(case when b.rn > {at} then b.x * pow({1 - rate!r}, a.rn - b.rn) end), 0) end as y
+  from (select symbol, rn from {source}) a join (select symbol, rn, {x} as x, avg({x}) over (partition by symbol order by rn rows between {n - 1} preceding and current row) as seed from {source}) b on a.symbol = b.symbol and b.rn <= a.rn group by a.symbol, a.rn"""
+
+
+@query("indicator_macd_adx", f"""with {SUPPLIER_MONTH}, n as (select *, row_number() over ({W}) as rn, lag(close) over ({W}) as c, high - lag(high) over ({W}) as up, lag(low) over ({W}) - low as dn from p),
+ m as (select symbol, date, rn, close, case when c is not null then greatest(high - low, abs(high - c), abs(low - c)) end as tr, case when up is not null then case when up > dn and up > 0 then up else 0 end end as mp, case when dn is not null then case when dn > up and dn > 0 then dn else 0 end end as mq from n),
+ ef as ({_seeded_sql("m", "close", 2 / 13, 12, 15)}), es as ({_seeded_sql("m", "close", 2 / 27, 26, 1)}), mm as (select symbol, rn, ef.y - es.y as macd from ef join es using (symbol, rn)), sg as ({_seeded_sql("mm", "macd", 2 / 10, 9, 26)}),
+ st as ({_seeded_sql("m", "tr", 1 / 14, 14, 2)}), sp as ({_seeded_sql("m", "mp", 1 / 14, 14, 2)}), sq as ({_seeded_sql("m", "mq", 1 / 14, 14, 2)}),
+ pq as (select symbol, rn, sp.y / nullif(st.y, 0) as p, sq.y / nullif(st.y, 0) as q from st join sp using (symbol, rn) join sq using (symbol, rn)), dx as (select symbol, rn, coalesce(100 * abs(p - q) / nullif(p + q, 0), 0) as dx from pq), ax as ({_seeded_sql("dx", "dx", 1 / 14, 14, 15)})
+ select m.symbol, date, round(macd, 5) + 0.0 as macd, round(sg.y, 5) + 0.0 as macd_signal, round(macd - sg.y, 5) + 0.0 as macd_hist, round(ax.y, 5) + 0.0 as adx_14 from m join mm using (symbol, rn) join sg using (symbol, rn) join ax using (symbol, rn)""")
 def macd_adx(spark, sf_dir):
-    """Checked against a plain recursion in the tests."""
     out = indicators.adx(indicators.macd(panels.supplier_month(spark, sf_dir)))
     return rounded(out.select("symbol", "date", "macd", "macd_signal", "macd_hist", "adx_14"), 5)
 

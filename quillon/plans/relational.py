@@ -104,16 +104,21 @@ def unordered_pairs(spark, sf_dir):
     return p.groupBy(shapes.pair_key(F.col("t"), F.col("u")).alias("pair")).agg(F.count("*").alias("n"))
 
 
-@query("join_circular_aspects", """with b as (select s_suppkey as i, s_nationkey as g, abs(s_acctbal) % 360 as a from supplier), a(o, angle) as (values (1, 0), (2, 60), (3, 90), (4, 120), (5, 180)),
- p as (select x.i, y.i as j, least(abs(x.a - y.a) % 360, 360 - abs(x.a - y.a) % 360) as d from b x join b y on x.g = y.g and x.i < y.i)
- select i, j, first(angle order by o)::int as angle, round(any_value(d), 4) as distance from p join a on abs(d - angle) <= 6 group by i, j""")
+# The angles that count, in order, and how far off a pair may be.
+ASPECTS, ORB = [0, 60, 90, 120, 180], 6
+
+
+@query("join_circular_aspects", f"""with b as (select l_orderkey as g, l_linenumber as i, max((l_extendedprice / 100) % 360) as a from lineitem group by 1, 2), a(o, angle) as (values {', '.join(f'({k}, {x})' for k, x in enumerate(ASPECTS))}),
+ p as (select x.g, x.i, y.i as j, least(abs(x.a - y.a) % 360, 360 - abs(x.a - y.a) % 360) as d from b x join b y on x.g = y.g and x.i < y.i)
+ select g as l_orderkey, i, j, first(angle order by o)::int as angle, round(any_value(d), 4) as distance from p join a on abs(d - angle) <= {ORB} group by g, i, j""")
 def circular_aspects(spark, sf_dir):
-    """Unordered pairs of a group at one of five angles, within six degrees; the first angle counts."""
-    b = table(spark, sf_dir, "supplier").select("s_nationkey", F.col("s_suppkey").alias("i"), (F.abs("s_acctbal") % 360).alias("a"))
-    c = b.select("s_nationkey", F.col("i").alias("j"), F.col("a").alias("b"))
-    p = b.join(c, "s_nationkey").where("i < j").withColumn("distance", calendars.angle_between(F.col("a"), F.col("b")))
-    hit = F.get(F.filter(F.array(*[F.lit(x) for x in (0, 60, 90, 120, 180)]), lambda x: F.abs(F.col("distance") - x) <= 6), 0)
-    return p.select("i", "j", hit.alias("angle"), F.round("distance", 4).alias("distance")).where("angle is not null")
+    """Unordered pairs of an order's lines (a dozen at most) at one of five angles, within six degrees; the first angle counts."""
+    b = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("i")).agg(F.max((F.col("l_extendedprice") / 100) % 360).alias("a")).select("l_orderkey", F.struct("i", "a").alias("p"))
+    lines = F.array_sort(F.collect_list("p"))
+    pairs = F.flatten(F.transform(F.col("s"), lambda x: F.transform(F.filter(F.col("s"), lambda y: y["i"] > x["i"]), lambda y: F.struct(x["i"].alias("i"), y["i"].alias("j"), calendars.angle_between(x["a"], y["a"]).alias("d")))))
+    p = b.groupBy("l_orderkey").agg(lines.alias("s")).select("l_orderkey", F.explode(pairs).alias("p")).select("l_orderkey", "p.*")
+    hit = F.get(F.filter(F.array(*[F.lit(x) for x in ASPECTS]), lambda x: F.abs(F.col("d") - x) <= ORB), 0)
+    return p.select("l_orderkey", "i", "j", hit.alias("angle"), F.round("d", 4).alias("distance")).where("angle is not null")
 
 
 @query("join_template_grid", "select n_name, t.y as year, 'events of ' || n_name || ' in ' || t.y as text from nation, (values (1995), (1996), (1997)) t(y)")
@@ -163,11 +168,10 @@ def top_per_group(spark, sf_dir):
     return shapes.top_per_group(c, ["n_regionkey"], [F.col("c_acctbal").desc(), F.col("c_custkey")], 10).select("n_regionkey", "c_custkey", "c_acctbal", "rank")
 
 
-@query("rank_global", "select s_suppkey, row_number() over (order by abs(s_acctbal) desc, s_suppkey)::int as rank from supplier")
+@query("rank_global", "select c_custkey, row_number() over (order by abs(c_acctbal) desc, c_custkey)::bigint as rank from customer")
 def rank_global(spark, sf_dir):
-    """A rank over all rows goes through one task; it is meant for aggregates (here the supplier dimension)."""
-    s = table(spark, sf_dir, "supplier")
-    return s.select("s_suppkey", F.row_number().over(Window.orderBy(F.abs("s_acctbal").desc(), "s_suppkey")).alias("rank"))
+    """A place over all rows, numbered piece by piece."""
+    return shapes.ranked(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), F.abs("c_acctbal"), [F.col("c_custkey")]).select("c_custkey", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query("rank_extremes", "select c_mktsegment, arg_max(c_custkey, c_acctbal) as richest, arg_min(c_custkey, abs(c_acctbal)) as nearest_zero from customer group by 1")
@@ -273,9 +277,9 @@ def count_map(spark, sf_dir):
     return m.select("source", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",").alias("counts"))
 
 
-@query("nested_inventory", "with o as (select doc_id as id, count(*) as n from labels where toxic = 1 group by 1) select coalesce(d.doc_id, o.id) as id, d.doc_id is not null as defined, o.id is not null as observed, coalesce(n, 0) as n from (select distinct doc_id from documents where doc_id % 2 = 0) d full join o on o.id = d.doc_id")
+@query("nested_inventory", "with o as (select doc_id as id, count(*) as n from labels where toxic = 1 group by 1) select coalesce(d.doc_id, o.id) as id, d.doc_id is not null as defined, o.id is not null as observed, coalesce(n, 0) as n from (select distinct doc_id from documents) d full join o on o.id = d.doc_id")
 def inventory(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
     return nested.inventory(d, table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("id")), "id")
 
 
@@ -318,16 +322,17 @@ def fingerprint(spark, sf_dir):
     return n.select("n_nationkey", nested.fingerprint(["n_nationkey", "n_name", "n_regionkey"]).alias("fingerprint"), nested.short_id(F.col("n_name")).alias("short_id"))
 
 
-@query("nested_hash_chain", "select user_id, count(*) as rows, count(*) filter (event_id % 97 = 0) as broken from (select user_id, event_id, row_number() over (partition by user_id order by event_id) as rn from events) where rn <= 2 group by 1")
+def chained_events(spark, sf_dir) -> DataFrame:
+    """All events of each user as a chained log (previous, hash), every 97th payload changed afterwards."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("value").cast("string").alias("payload"))
+    return nested.link(e, ["user_id"], "event_id", "payload").withColumn("payload", F.when(F.col("event_id") % 97 == 0, F.concat("payload", F.lit("x"))).otherwise(F.col("payload")))
+
+
+@query("nested_hash_chain", "select user_id, count(*) as rows, count(*) filter (event_id % 97 = 0) as broken from events group by 1")
 def hash_chain(spark, sf_dir):
-    """Chains of two entries, with every 97th entry tampered with."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("value").cast("string").alias("payload"), F.row_number().over(w).alias("seq")).where("seq <= 2")
-    h1 = F.sha2(F.concat_ws("|", F.lit(""), "payload"), 256)
-    e = e.withColumn("previous", F.when(F.col("seq") == 1, "").otherwise(F.lag(h1).over(w)))
-    e = e.withColumn("hash", F.sha2(F.concat_ws("|", "previous", "payload"), 256))
-    e = e.withColumn("payload", F.when(F.col("event_id") % 97 == 0, F.concat("payload", F.lit("x"))).otherwise(F.col("payload")))
-    c = nested.chain(e, ["user_id"], "seq", F.col("payload"), "previous", "hash")
+    """The whole log of each user is chained and verified; a changed payload breaks its own entry alone, as the entries
+    behind it hold the hash that was stored."""
+    c = nested.chain(chained_events(spark, sf_dir), ["user_id"], "event_id", F.col("payload"), "previous", "hash")
     return c.groupBy("user_id").agg(F.count("*").alias("rows"), F.count(F.when(~F.col("ok"), 1)).alias("broken"))
 
 
@@ -356,18 +361,20 @@ def identifiers(spark, sf_dir):
 
 
 def tagged(spark, sf_dir) -> DataFrame:
-    """case_id, domain, topic, year (a day), is_event, hit, strict over every topic and day of a case."""
+    """case_id, domain, topic, year (a day), is_event, hit, strict over every topic that occurs and every day of a case up to
+    the last day of all."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), F.col("event_type").alias("topic"), F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")).alias("year")).distinct()
-    topics = F.array(*[F.lit(t) for t in ("click", "error", "purchase", "signup", "view")])
-    grid = e.select("case_id").distinct().select("case_id", F.posexplode(topics).alias("t", "topic")).select("*", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("year"))
+    span = e.agg(F.array_sort(F.collect_set("topic")).alias("topics"), F.max("year").alias("last"))  # one row: kinds of events and a day
+    grid = e.select("case_id").distinct().crossJoin(F.broadcast(span)).select("case_id", "last", F.posexplode("topics").alias("t", "topic")).select("case_id", "t", "topic", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("year"))
     out = grid.join(e.withColumn("is_event", F.lit(True)), ["case_id", "topic", "year"], "left").fillna(False, ["is_event"])
     m = F.col("case_id") * 7 + F.col("year") * 3 + F.col("t") * 5
     return out.select("case_id", (F.col("case_id") % 4).cast("int").alias("domain"), "topic", "year", "is_event", (m % 4 == 0).alias("hit"), (m % 8 == 0).alias("strict"))
 
 
-_TAGGED = """e as (select distinct user_id as case_id, event_type as topic, (ts::date - date '2024-01-01')::int as year from events), ts(t, topic) as (values (0, 'click'), (1, 'error'), (2, 'purchase'), (3, 'signup'), (4, 'view')),
- g as (select c.case_id, (c.case_id % 4)::int as domain, ts.topic, y.year::int as year, e.case_id is not null as is_event, (c.case_id * 7 + y.year * 3 + t * 5) % 4 = 0 as hit, (c.case_id * 7 + y.year * 3 + t * 5) % 8 = 0 as strict
- from (select distinct case_id from e) c cross join ts cross join range(0, 30) y(year) left join e on e.case_id = c.case_id and e.topic = ts.topic and e.year = y.year)"""
+_TAGGED = """e as (select distinct user_id as case_id, event_type as topic, (ts::date - date '2024-01-01')::int as year from events), ts as (select topic, row_number() over (order by topic) - 1 as t from (select distinct topic from e)),
+ ys as (select unnest(range(0, (select max(year) from e) + 1))::int as year),
+ g as (select c.case_id, (c.case_id % 4)::int as domain, ts.topic, y.year as year, e.case_id is not null as is_event, (c.case_id * 7 + y.year * 3 + t * 5) % 4 = 0 as hit, (c.case_id * 7 + y.year * 3 + t * 5) % 8 = 0 as strict
+ from (select distinct case_id from e) c cross join ts cross join ys y left join e on e.case_id = c.case_id and e.topic = ts.topic and e.year = y.year)"""
 _RATE = "coalesce(round(case when {d} > 0 then {n}::double / {d} end, 3), 0)"
 
 
@@ -447,10 +454,24 @@ def blockers(spark, sf_dir):
     return d.groupBy("source").agg(F.when(F.size(all_) > 0, F.array_join(all_, ",")).alias("reasons"))
 
 
-@query("calibration_metric_means", "with m as (select user_id, event_type as metric, avg(value) as v from events where event_id % 3 = 0 group by 1, 2), t as (select count(distinct user_id) as n from m) select metric, round(sum(v) / max(n), 6) as mean, round(sum(v) / max(n), 6) < 20 as below_floor from m, t group by 1")
+# Fixed values of the query: the least mean that each metric must reach.
+FLOORS = {"click": 20.0, "error": 19.0, "purchase": 25.0, "refund": 1.0, "view": 10.0}
+
+
+@query("calibration_metric_means", "with m as (select user_id, event_type as metric, avg(value) as v from events group by 1, 2), t as (select count(distinct user_id) as n from m), a as (select metric, sum(v) / max(n) as mean from m, t group by 1) select metric, round(mean, 6) as mean from a")
 def metric_means(spark, sf_dir):
-    m = table(spark, sf_dir, "events").where("event_id % 3 = 0").groupBy("user_id", F.col("event_type").alias("metric")).agg(F.avg("value").alias("v"))
-    return rounded(calibration.mean_with_absent(m, "user_id", "metric", "v")).withColumn("below_floor", F.col("mean") < 20)
+    """Means over all users; a user without the metric counts 0."""
+    m = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("metric")).agg(F.avg("value").alias("v"))
+    return rounded(calibration.mean_with_absent(m, "user_id", "metric", "v"))
+
+
+_FLOORS = ", ".join(f"('{k}', {v!r}::double)" for k, v in FLOORS.items())
+
+
+@query("calibration_floor_rejections", f"with m as (select user_id, event_type as metric, avg(value) as v from events group by 1, 2), t as (select count(distinct user_id) as n from m), a as (select metric, sum(v) / max(n) as mean from m, t group by 1), f(metric, floor) as (values {_FLOORS}) select metric, floor, round(coalesce(mean, 0), 6) as mean, metric || ' below floor ' || floor || ': ' || printf('%.3f', coalesce(mean, 0)) as rejection from f left join a using (metric) where coalesce(mean, 0) < floor")
+def floor_rejections(spark, sf_dir):
+    m = table(spark, sf_dir, "events").groupBy("user_id", F.col("event_type").alias("metric")).agg(F.avg("value").alias("v"))
+    return rounded(calibration.floor_rejections(calibration.mean_with_absent(m, "user_id", "metric", "v"), FLOORS))
 
 
 @query("calibration_zero_filled", "with l(lang) as (values ('de'), ('en'), ('es'), ('fr'), ('it'), ('pt')) select lang, coalesce(n, 0) as n from l left join (select lang, count(*) as n from documents group by 1) using (lang)")
@@ -459,10 +480,11 @@ def zero_filled(spark, sf_dir):
     return shapes.zero_filled(c, "lang", "n", ["de", "en", "es", "fr", "it", "pt"])
 
 
-@query("calibration_missing_fields", "select f as field, count(*) as n from (select unnest([case when value < 5 then 'value' end, case when event_type = 'error' then 'type' end, case when user_id % 10 = 0 then 'user' end]) as f from events) where f is not null group by 1")
+@query("calibration_missing_fields", "select f as field, count(*) as n from (select unnest([case when value < 5 then 'value' end, case when event_type = 'error' then 'type' end, case when user_id % 10 = 0 then 'user' end]) as f from events) where f is not null group by 1 order by n desc, field")
 def missing_fields(spark, sf_dir):
+    """The most frequent first, ties by name."""
     miss = shapes.all_failures([(F.col("value") < 5, "value"), (F.col("event_type") == "error", "type"), (F.col("user_id") % 10 == 0, "user")])
-    return table(spark, sf_dir, "events").select(F.explode(miss).alias("field")).groupBy("field").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "events").select(F.explode(miss).alias("field")).groupBy("field").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "field")
 
 
 @query("calibration_votes", "with v as (select doc_id, 0.4 + 0.1 * quality + 0.35 * toxic + (doc_id % 5) / 20.0 as s from labels), c as (select doc_id, least(greatest(round(s, 2), 0.1), 0.95) as confidence from v) select (doc_id % 20)::int as school, round(avg(confidence), 4) as mean_confidence, count(*) filter (confidence >= 0.66) as support, round(count(*) filter (confidence >= 0.66)::double / count(*), 3) >= 0.35 as consensus, count(*) filter (confidence >= 0.70) as primary_votes from c group by 1")
@@ -652,18 +674,23 @@ def weighted_score(spark, sf_dir):
     return rounded(store.weighted_score(m, ["user_id"], "v", "w", 0.5))
 
 
-@query("store_triggers", """with x as (select user_id, event_id, event_type = 'error' as f, (event_id % 7)::int as p from events), a as (select *, f and coalesce(max(f::int) over (partition by user_id, p order by event_id rows between unbounded preceding and 1 preceding), 0) = 0 as fresh from x)
- select user_id, event_id, fresh and coalesce(max(fresh::int) over (partition by user_id order by event_id rows between 5 preceding and 1 preceding), 0) = 0 as trigger from a""")
+@query("store_triggers", """with recursive x as (select user_id, event_id, event_type = 'error' as f, (event_id % 7)::varchar as p, event_id % 3 <> 0 as c, row_number() over (partition by user_id order by event_id)::int as n from events),
+ s as (select user_id, 0 as last, []::varchar[] as seen from (select distinct user_id from events)
+  union all select user_id, n, case when c then list_append(seen, p) else seen end from (select s.user_id, seen, n, p, c, row_number() over (partition by s.user_id order by n) as r from s join x on x.user_id = s.user_id and f and n - last >= 5 and not list_contains(seen, p)) where r = 1)
+ select x.user_id, event_id, s.last is not null as trigger from x left join s on s.user_id = x.user_id and s.last = n""")
 def store_triggers(spark, sf_dir):
+    """Starts at least five runs apart; every third evolution isn't committed, so its pattern stays new."""
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
-    return store.triggers(e, ["user_id"], "event_id", F.col("event_type") == "error", F.col("event_id") % 7, 5).select("user_id", "event_id", "trigger")
+    found = store.triggers(e, ["user_id"], "event_id", F.col("event_type") == "error", F.col("event_id") % 7, 5, F.col("event_id") % 3 != 0)
+    return found.select("user_id", "event_id", "trigger")
 
 
-@query("store_degrees", "with e as (select distinct o_custkey % 50 as src, l_suppkey % 60 as dst from orders join lineitem on l_orderkey = o_orderkey where o_custkey % 50 < l_suppkey % 60 and l_quantity > 40), n as (select src as node from e union select dst from e) select node, coalesce(i, 0) as predecessors, coalesce(o, 0) as successors, coalesce(o, 0) = 0 as terminal from n left join (select dst, count(*) as i from e group by 1) on dst = node left join (select src, count(*) as o from e group by 1) on src = node")
+@query("store_degrees", "with e as (select distinct 'c' || o_custkey as src, 's' || l_suppkey as dst from orders join lineitem on l_orderkey = o_orderkey), n as (select src as node from e union select dst from e) select node, coalesce(i, 0) as predecessors, coalesce(o, 0) as successors, coalesce(o, 0) = 0 as terminal from n left join (select dst, count(*) as i from e group by 1) on dst = node left join (select src, count(*) as o from e group by 1) on src = node")
 def store_degrees(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 50).alias("src"))
-    li = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select("l_orderkey", (F.col("l_suppkey") % 60).alias("dst"))
-    e = li.join(o, "l_orderkey").where("src < dst").select("src", "dst").distinct()
+    """Customers and the suppliers that they ordered from."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"))
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
+    e = li.join(o, "l_orderkey").select("src", "dst").distinct()
     nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node")))
     return store.degrees(nodes, e)
 

@@ -23,17 +23,44 @@ FORBIDDEN_FIELDS = ["full_text", "raw_text", "content"]
 
 
 def config(text: str) -> dict:
-    """A flat "key: value" document; values are JSON scalars or plain text, # begins a comment."""
-    out = {}
-    for line in text.splitlines():
-        line = line.split(" #", 1)[0].strip()
-        if line and not line.startswith("#"):
+    """A "key: value" document of the plain kind of YAML: nested by indentation, lists by "- ", scalars as JSON or plain text,
+    # begins a comment."""
+    rows = []
+    for raw in text.splitlines():
+        line = raw.split(" #", 1)[0].rstrip()
+        if line.strip() and not line.lstrip().startswith("#"):
+            rows.append((len(line) - len(line.lstrip()), line.strip()))
+
+    def scalar(x: str):
+        x = x.strip()
+        if x in ("", "~"):
+            return None
+        try:
+            return json.loads(x)
+        except ValueError:
+            return {"yes": True, "no": False, "True": True, "False": False}.get(x, x.strip("'\""))
+
+    def block(at: int, depth: int):
+        out: dict | list | None = None
+        while at < len(rows) and rows[at][0] >= depth:
+            own, line = rows[at]
+            if own > depth:
+                raise ValueError(f"indented without a key: {line}")
+            if line.startswith("- ") or line == "-":
+                out = [] if out is None else out
+                out.append(scalar(line[1:]))
+                at += 1
+                continue
             key, _, value = line.partition(":")
-            try:
-                out[key.strip()] = json.loads(value.strip())
-            except ValueError:
-                out[key.strip()] = value.strip().strip("'\"") or None
-    return out
+            out = {} if out is None else out
+            at += 1
+            if value.strip() or at >= len(rows) or rows[at][0] < own or (rows[at][0] == own and not rows[at][1].startswith("-")):
+                out[key.strip()] = scalar(value)
+            else:
+                out[key.strip()], at = block(at, rows[at][0])
+        return out, at
+
+    return (block(0, rows[0][0])[0] or {}) if rows else {}
 
 
 def load(spark: SparkSession, cfg: dict) -> tuple[DataFrame, DataFrame]:
@@ -101,9 +128,18 @@ def sector_map(spark: SparkSession, path: str | None, symbols: DataFrame, sector
     return mapped.crossJoin(F.broadcast(mid)).select("symbol", F.coalesce("sector", F.lit("unknown")).alias("sector"), F.coalesce("market_cap", "_mid").alias("market_cap"))
 
 
-def formula_library(spark: SparkSession, path: str) -> tuple[list[str], list[tuple[str, str]]]:
+def universe(panel: DataFrame, top: int | None = None, keywords: list[str] | None = None) -> DataFrame:
+    """The panel of the `top` symbols of greatest market_cap (ties by symbol), or of those whose sector matches one of the
+    patterns."""
+    if keywords is not None:
+        return panel.where(F.coalesce("sector", F.lit("")).rlike("|".join(keywords)))
+    largest = panel.groupBy("symbol").agg(F.max("market_cap").alias("c")).orderBy(F.col("c").desc_nulls_last(), "symbol").limit(top or 0)
+    return panel.join(F.broadcast(largest.select("symbol")), "symbol", "left_semi")  # at most `top` symbols
+
+
+def formula_library(spark: SparkSession, path: str, least: int = 2) -> tuple[list[str], list[tuple[str, str]]]:
     """Formulas of a CSV with a column expression, and those that can't be read, with the reason. A library is small: it is
-    read by the driver."""
+    read by the driver. Fewer than `least` formulas that can be read are no library."""
     rows = [r.expression for r in spark.read.csv(path, header=True, quote='"').select("expression").collect()]
     good, bad = [], []
     for text in rows:
@@ -112,21 +148,33 @@ def formula_library(spark: SparkSession, path: str) -> tuple[list[str], list[tup
             good.append(text)
         except dsl.FormulaError as e:
             bad.append((text, str(e)))
+    if len(good) < least:
+        raise ValueError(f"{path} has {len(good)} formulas that can be read, of {least} needed")
     return good, bad
 
 
 def passages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Passages of a JSONL corpus, and rejected lines with file and reason. Blank lines are skipped, a BOM is cut off."""
-    lines = spark.read.text(path).select(F.regexp_replace(F.trim("value"), "^﻿", "").alias("line"), F.col("_metadata.file_path").alias("file")).where("line <> ''")
-    rows = lines.select("line", "file", F.from_json("line", PASSAGE).alias("p"))
-    checks = [F.when(F.col("p").isNull(), "not JSON"), *[F.when(F.col(f"p.{c}").isNull(), f"missing {c}") for c in PASSAGE_REQUIRED], *[F.when(F.get_json_object("line", f"$.{c}").isNotNull(), f"forbidden {c}") for c in FORBIDDEN_FIELDS]]
+    """Passages of a JSONL corpus, and rejected lines with file, number and reason. Blank lines are skipped but count, a BOM
+    is cut off. A file is one task's, as its lines are numbered: a corpus is many files."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("pos", "value"))
+    lines = text.select(F.regexp_replace(F.trim("value"), "^﻿", "").alias("line"), "file", (F.col("pos") + 1).alias("number")).where("line <> ''")
+    rows = lines.select("line", "file", "number", F.from_json("line", PASSAGE).alias("p"))
+    checks = [F.when(F.col("p").isNull() | ~F.coalesce(F.get_json_object("line", "$").startswith("{"), F.lit(False)), "not JSON"), *[F.when(F.col(f"p.{c}").isNull(), f"missing {c}") for c in PASSAGE_REQUIRED], *[F.when(F.get_json_object("line", f"$.{c}").isNotNull(), f"forbidden {c}") for c in FORBIDDEN_FIELDS]]
     rows = rows.withColumn("reason", F.coalesce(*checks))
     good = rows.where("reason is null").select("p.*").withColumn("provenance", F.coalesce("provenance", F.map_from_arrays(F.array(F.lit("status")), F.array(F.lit("unstated")))))
-    return good, rows.where("reason is not null").select("file", "line", "reason")
+    return good, rows.where("reason is not null").select("file", "number", "line", "reason")
 
 
 def ingest(manifest: DataFrame, path: str) -> DataFrame:
-    """Manifest rows as passages with lower-cased keywords and a content hash, written as JSONL and returned."""
+    """Manifest rows as passages with lower-cased keywords and a content hash, written as JSONL and returned. A manifest with a
+    field for whole texts, or with a row that lacks a required one, is refused before anything is written."""
+    if held := [c for c in manifest.columns if c.lower() in FORBIDDEN_FIELDS]:
+        raise ValueError(f"forbidden fields: {', '.join(held)}")
+    if lacking := [c for c in PASSAGE_REQUIRED if c not in manifest.columns]:
+        raise ValueError(f"missing fields: {', '.join(lacking)}")
+    empty = manifest.where(" or ".join(f"{c} is null" for c in PASSAGE_REQUIRED)).limit(1).collect()
+    if empty:
+        raise ValueError(f"a row lacks a required field: {empty[0].asDict()}")
     out = manifest.withColumn("keywords", F.transform("keywords", lambda k: F.lower(k))).withColumn("sha256", fingerprint(["source_id", "passage_id", "title", "summary"]))
     out.write.mode("overwrite").json(path)
     return manifest.sparkSession.read.schema(out.schema).json(path)
@@ -146,6 +194,36 @@ def log(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
         raise
 
 
+def save_version(doc: dict, root: str, kind: str, name: str, spark: SparkSession) -> int:
+    """doc as the next version of an entity: one JSON document under root/kind/name/vN. Returns N, from 1."""
+    now = versions(spark, root, kind, name)
+    n = (now[-1] if now else 0) + 1
+    spark.createDataFrame([(json.dumps(doc, sort_keys=True),)], "value string").coalesce(1).write.text(f"{root}/{kind}/{name}/v{n}")
+    return n
+
+
+def versions(spark: SparkSession, root: str, kind: str, name: str) -> list[int]:
+    """Versions of an entity, ascending; the number counts, not its spelling."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{kind}/{name}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return sorted(int(x[1:]) for x in names if x[:1] == "v" and x[1:].isdigit())
+
+
+def load_version(spark: SparkSession, root: str, kind: str, name: str, version: int | None = None) -> dict:
+    """An entity's document, by default the greatest version."""
+    have = versions(spark, root, kind, name)
+    wanted = have[-1] if version is None and have else version
+    if wanted not in have:
+        raise KeyError(f"{kind}/{name} has no version {version}")
+    return json.loads(spark.read.text(f"{root}/{kind}/{name}/v{wanted}", wholetext=True).first().value)
+
+
+def write_history(history: list[dict], path: str, spark: SparkSession) -> None:
+    """A search's generations (a few records) as JSON lines in one file."""
+    spark.createDataFrame([(json.dumps(h, sort_keys=True),) for h in history], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def write_report(df: DataFrame, path: str, form: str = "csv") -> None:
     """A table as CSV (with header) or JSON lines."""
     w = df.write.mode("overwrite")

@@ -105,15 +105,16 @@ def test_ema_of_a_long_series_crosses_blocks(spark):
     same(got, {"a": pd.Series(x, dtype=float).ewm(span=3, adjust=True).mean()})
 
 
-def test_cross_sections(spark):
+@pytest.mark.parametrize("wide_", [False, True])
+def test_cross_sections(spark, wide_):
     data = {f"s{k:02d}": [float(k % 7), 1.0, None if k % 3 else float(k), float(k)] for k in range(23)}
     p = panel(spark, {"x": data})
     wide = pd.DataFrame(data).T
-    same(values(p.withColumn("v", cross.cs_rank(F.col("x")))), wide.rank(pct=True).T.to_dict("list"))
-    same(values(p.withColumn("v", cross.cs_zscore(F.col("x")))), ((wide - wide.mean()) / (wide.std() + 1e-8)).T.to_dict("list"))
-    same(values(p.withColumn("v", cross.winsorize(F.col("x")))), wide.clip(wide.quantile(0.01), wide.quantile(0.99), axis=1).T.to_dict("list"))
+    same(values(cross.with_columns(p, {"v": ("cs_rank", "x")}, wide=wide_)), wide.rank(pct=True).T.to_dict("list"))
+    same(values(cross.with_columns(p, {"v": ("cs_zscore", "x")}, wide=wide_)), ((wide - wide.mean()) / (wide.std() + 1e-8)).T.to_dict("list"))
+    same(values(cross.with_columns(p, {"v": ("winsorize", "x")}, wide=wide_)), wide.clip(wide.quantile(0.01), wide.quantile(0.99), axis=1).T.to_dict("list"))
     buckets = wide.apply(lambda c: pd.qcut(c, 5, labels=False, duplicates="drop") if c.nunique() > 1 else c * np.nan)
-    same(values(p.withColumn("v", cross.bucket(F.col("x")).cast("double"))), buckets.T.to_dict("list"))
+    same(values(cross.with_columns(p, {"v": ("bucket", "x", 5)}, wide=wide_).withColumn("v", F.col("v").cast("double"))), buckets.T.to_dict("list"))
 
 
 def test_one_symbol_and_one_date(spark):
