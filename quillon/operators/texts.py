@@ -17,6 +17,17 @@ BOUNDARIES = [
     ["cultural research", "文化研究"], ["entertainment", "娱乐参考"], ["do not use", "不应用于", "不能替代", "不替代"], ["medical", "医疗"], ["investment", "投资"], ["marriage", "婚姻", "婚恋"],
 ]
 
+# Tokens of an event's subtype, by marker; the industries of domains.
+MARKERS = {
+    "release": ["release", "album", "single", "film", "television", "series", "screen", "video", "tour", "publication"],
+    "award_or_recognition": ["award", "recognition", "nominated", "winning", "hall_of_fame", "number_one", "record", "title", "prize"],
+    "commercial_or_chart": ["chart", "global", "box_office", "ratings", "commercial", "breakthrough_album"],
+    "media_or_publicity": ["public", "fame", "media", "broadcast", "attention", "image", "cultural"],
+    "competition": ["grand_slam", "slam", "olympic", "medal", "championship", "competition", "ranking", "title", "season", "peak", "comeback"],
+    "industry_project": ["contract", "entry", "role", "production", "launch", "debut", "relaunch", "selection", "founding"],
+}
+INDUSTRIES = {"film_or_television": ["影视", "影视武术"], "music": ["歌手"], "sports": ["体育"]}
+
 
 def words(text: Column) -> Column:
     """Distinct lower-cased words between white space."""
@@ -62,6 +73,30 @@ def latin_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[A-Za-z]"))
 
 
+def subtype_flags(domain: Column, topic: Column, subtype: Column) -> dict[str, Column]:
+    """industry, a flag for each marker (any of its tokens in the subtype; industry projects only of that topic), whether there is
+    any of them, and what a domain takes as evidence of fame, of a project or of a peak: null outside that domain."""
+    s = F.lower(F.coalesce(subtype, F.lit("")))
+    industry = F.lit("general")
+    for name, domains in INDUSTRIES.items():
+        industry = F.when(domain.isin(domains), name).otherwise(industry)
+    has = {k: F.exists(F.array(*[F.lit(t) for t in tokens]), lambda t: F.contains(s, t)) for k, tokens in MARKERS.items()}
+    of = lambda t: F.coalesce(topic == t, F.lit(False))
+    has["industry_project"] = of("career_project") & has["industry_project"]
+    any_ = F.lit(False)
+    for c in has.values():
+        any_ = any_ | c
+    only = lambda name, c: F.when(industry == name, c)
+    return {
+        "industry": industry, **{f"has_{k}": c for k, c in has.items()}, "has_project": of("career_project"), "has_fame": of("public_fame"), "has_domain_specific": any_,
+        "film_fame": only("film_or_television", of("public_fame") & (has["release"] | has["award_or_recognition"] | has["media_or_publicity"])),
+        "film_project": only("film_or_television", of("career_project") & (has["release"] | has["award_or_recognition"] | has["industry_project"])),
+        "music_fame": only("music", of("public_fame") & (has["commercial_or_chart"] | has["award_or_recognition"] | has["media_or_publicity"])),
+        "music_project": only("music", of("career_project") & has["release"]),
+        "sports_peak": only("sports", of("sports_peak") & (has["competition"] | has["award_or_recognition"])),
+    }
+
+
 def lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 

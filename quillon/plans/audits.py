@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dsl, registry
-from ..operators import calendars, calibration, nested, shapes
+from ..operators import calendars, calibration, nested, shapes, texts
 from ..sources import panels, readers
 from .base import SUPPLIER_MONTH, USER_DAY, query, rounded, table
 from .relational import _TAGGED, tagged
@@ -271,3 +271,31 @@ def synthetic(spark, sf_dir):
     inside = (F.col("high") >= F.greatest("open", "close")) & (F.col("low") <= F.least("open", "close"))
     out = p.agg(F.count_distinct("symbol").alias("symbols"), F.count_distinct("date").alias("days"), F.count("*").alias("rows"), F.bool_and(inside).alias("ordered"), F.bool_and(~F.dayofweek("date").isin(1, 7)).alias("weekdays"), F.count(F.when(F.col("return").isNull(), 1)).alias("without_return"))
     return out.crossJoin(F.broadcast(same))  # one row each
+
+
+# --- subtypes --------------------------------------------------------------------------------------------------------
+
+# Fixed values of the query.
+SUBTYPES = ["Film_release", "olympic_medal", "breakthrough_album", "contract", "hall_of_fame", "nothing", "public_image", "world_tour", "title_defence", "debut", "box_office", "season_opening"]
+DOMAINS, TOPICS = ["影视", "歌手", "体育", "商业", "影视武术"], ["career_project", "public_fame", "sports_peak"]
+
+
+def _subtype_sql() -> str:
+    has = {k: "(" + " or ".join(f"contains(s, '{t}')" for t in tokens) + ")" for k, tokens in texts.MARKERS.items()}
+    has["industry_project"] = f"(topic = 'career_project' and {has['industry_project']})"
+    industry = " ".join(f"when domain in ({', '.join(repr(d) for d in ds)}) then '{n}'" for n, ds in texts.INDUSTRIES.items())
+    flags = ", ".join(f"{c} as has_{k}" for k, c in has.items())
+    one = lambda name, cond: f"case when industry = '{name}' then {cond} end"
+    return f"""with e as (select event_id, ({DOMAINS})[event_id % 5 + 1] as domain, ({TOPICS})[event_id % 3 + 1] as topic, lower(({SUBTYPES})[event_id % 12 + 1]) as s from events),
+ f as (select *, case {industry} else 'general' end as industry, {flags}, topic = 'career_project' as has_project, topic = 'public_fame' as has_fame, {' or '.join(has.values())} as has_domain_specific from e)
+ select event_id, industry, {', '.join(f'has_{k}' for k in has)}, has_project, has_fame, has_domain_specific, {one('film_or_television', "topic = 'public_fame' and (has_release or has_award_or_recognition or has_media_or_publicity)")} as film_fame,
+ {one('film_or_television', "topic = 'career_project' and (has_release or has_award_or_recognition or has_industry_project)")} as film_project, {one('music', "topic = 'public_fame' and (has_commercial_or_chart or has_award_or_recognition or has_media_or_publicity)")} as music_fame,
+ {one('music', "topic = 'career_project' and has_release")} as music_project, {one('sports', "topic = 'sports_peak' and (has_competition or has_award_or_recognition)")} as sports_peak from f"""
+
+
+@query("text_subtype_flags", _subtype_sql())
+def subtype_flags(spark, sf_dir):
+    """Markers of an event's subtype, and what its domain makes of them."""
+    pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (F.col("event_id") % n).cast("int"))
+    e = table(spark, sf_dir, "events").select("event_id", pick(DOMAINS, 5).alias("domain"), pick(TOPICS, 3).alias("topic"), pick(SUBTYPES, 12).alias("subtype"))
+    return e.select("event_id", *[c.alias(k) for k, c in texts.subtype_flags(F.col("domain"), F.col("topic"), F.col("subtype")).items()])
