@@ -70,6 +70,56 @@ def mutate(node: Node, rng: random.Random, variables: list[str] | None = None) -
     return out if not dsl.problems(out) and out.op != "var" else node
 
 
+def _leaf(rng: random.Random, variables: list[str] | None) -> Node:
+    return Node("var", value=rng.choice(variables or VARIABLES)) if rng.random() < 0.8 else Node("const", value=round(rng.uniform(0.5, 3.0), 3))
+
+
+def _same_shape(op: str) -> list[str]:
+    """Operators that can stand where op stands."""
+    if op in dsl.ROLLING or op in dsl.ROLLING_PAIR:
+        return dsl.ROLLING if op in dsl.ROLLING else dsl.ROLLING_PAIR
+    return [x for x, n in dsl.ARITY.items() if n == dsl.ARITY.get(op)]
+
+
+def _rewindow(node: Node, rng: random.Random, variables: list[str] | None) -> Node:
+    some = [n for n in node.walk() if n.value is not None and n.args]
+    return _replace(node, old := rng.choice(some), Node(old.op, old.args, rng.choice(WINDOWS))) if some else node
+
+
+def _reop(node: Node, rng: random.Random, variables: list[str] | None) -> Node:
+    some = [n for n in node.walk() if n.args]
+    return _replace(node, old := rng.choice(some), Node(rng.choice(_same_shape(old.op)), old.args, old.value)) if some else node
+
+
+def _join(node: Node, rng: random.Random, variables: list[str] | None) -> Node:
+    pair = (node, _leaf(rng, variables))
+    return Node(rng.choice(BINARY), pair if rng.random() < 0.5 else pair[::-1])
+
+
+#: Edits of a formula by name.
+EDITS = {
+    "wrap": lambda n, rng, v: Node(rng.choice(UNARY), (n,)),
+    "join": _join,
+    "window": _rewindow,
+    "operator": _reop,
+    "subtree": lambda n, rng, v: _replace(n, rng.choice(list(n.walk())), grow(rng, 2, v)),
+    "lag": lambda n, rng, v: Node("ts_shift", (n,), rng.choice([1, 2, 3, 5])),
+    "signed scale": lambda n, rng, v: Node("mul", (Node("sign", (n,)), Node("const", value=round(rng.uniform(0.5, 3.0), 3)))),
+}
+
+
+def edit(node: Node, rng: random.Random, variables: list[str] | None = None, kind: str | None = None) -> Node:
+    """One edit, drawn or named; the formula itself where the result is too large or degenerate."""
+    out = EDITS[kind or rng.choice(list(EDITS))](node, rng, variables)
+    return out if not dsl.problems(out) and out.op not in ("var", "const") else node
+
+
+def perturb_constant(node: Node, rng: random.Random, scale: float = 0.1) -> Node:
+    """One constant moved by at most that share of itself."""
+    consts = [n for n in node.walk() if n.op == "const"]
+    return _replace(node, old := rng.choice(consts), Node("const", value=round(old.value * (1 + rng.uniform(-scale, scale)), 4))) if consts else node
+
+
 def cross(a: Node, b: Node, rng: random.Random) -> Node:
     """A subtree of b in place of one of a (not the root)."""
     inner = list(a.walk())[1:]
@@ -89,6 +139,7 @@ class Search:
     elite: int = 2
     patience: int = 3
     target: str = "forward_return"
+    mutator: str = "mutate"  # or "edit"
     population: list[Node] = field(default_factory=list)
     history: list[dict] = field(default_factory=list)
 
@@ -117,7 +168,8 @@ class Search:
         tries = 0
         while len(nxt) < self.size:
             a, b = (self.rng.choice(ranked[: max(2, self.size // 2)]) for _ in range(2))
-            child = mutate(cross(a, b, self.rng) if self.rng.random() < 0.5 else a, self.rng)
+            change = edit if self.mutator == "edit" else mutate
+            child = change(cross(a, b, self.rng) if self.rng.random() < 0.5 else a, self.rng)
             tries += 1
             if child not in nxt or tries > 20 * self.size:
                 nxt.append(child if child not in nxt else valid(self.rng))

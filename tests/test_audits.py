@@ -2,12 +2,14 @@
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.functions import dsl
 from quillon.operators import calibration, cross, nested, quality, shapes, store
-from quillon.plans import portfolio
+from quillon.plans import portfolio, search
 from quillon.sources import panels, readers
 
 
@@ -36,8 +38,6 @@ def brute_triggers(runs, cooldown):
 
 @pytest.mark.parametrize("cooldown", [1, 2, 5])
 def test_triggers_forget_suppressed_runs(spark, cooldown):
-    import random
-
     r = random.Random(cooldown)
     runs = [[(r.random() < 0.7, r.choice("ABC"), r.random() < 0.8) for _ in range(40)] for _ in range(5)] + [[(True, x, True) for x in "ABBBB"], [(None, "A", True), (True, "A", None)]]
     rows = [(k, i, f, p, c) for k, some in enumerate(runs) for i, (f, p, c) in enumerate(some)]
@@ -132,6 +132,20 @@ def test_portfolios_breed_and_rank(spark):
         portfolio.PortfolioSearch(train, test, library[:1])
 
 
+def test_edits_of_formulas():
+    rng = random.Random(5)
+    node = dsl.parse("add(cs_rank(ts_mean(close, 5)), mul(volume, 2.0))")
+    for kind in search.EDITS:
+        made = {str(search.edit(node, rng, kind=kind)) for _ in range(30)}
+        assert len(made - {str(node)}) > 0 and all(not dsl.problems(dsl.parse(x)) for x in made)
+        if kind == "window":
+            assert all(x.startswith("add(cs_rank(ts_mean(close, ") for x in made)
+        if kind == "lag":
+            assert all(x.startswith("ts_shift(add(") or x == str(node) for x in made)
+    moved = search.perturb_constant(node, rng)
+    assert 1.8 <= next(n.value for n in moved.walk() if n.op == "const") <= 2.2 and search.perturb_constant(dsl.parse("close"), rng) == dsl.parse("close")
+
+
 def test_cleaning_with_a_validation_fold(spark):
     p = panels.synthetic(spark, 15, 40, seed=2)
     a, b, c = panels.three_way(p, "2020-01-20", "2020-02-10")
