@@ -69,3 +69,65 @@ select page_id, host, path, case {rule} end as rule,
   coalesce(case {said} end, case when m - {z} * sqrt(m * (1 - m) / (weight + 1)) >= {threshold} then 'allow' else 'block' end) as verdict
 from p left join hp using (host)
 """
+
+
+# --- SimHash: XXH64 in unsigned integers of 64 bits, products taken modulo 2 ** 64 in wider ones ----------------------
+
+# The primes of XXH64.
+_PRIMES = [11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261]
+_WORD = "18446744073709551616::uhugeint"
+
+
+def _times(a: str, b: str | int) -> str:
+    return f"((({a})::uhugeint * ({b})::uhugeint) % {_WORD})::ubigint"
+
+
+def _plus(a: str, b: str | int) -> str:
+    return f"((({a})::uhugeint + ({b})::uhugeint) % {_WORD})::ubigint"
+
+
+def _turn(name: str, bits: int) -> str:
+    return f"xor((({name}::uhugeint * {1 << bits}::uhugeint) % {_WORD})::ubigint, {name} >> {64 - bits})"
+
+
+def _little_endian(place: str, size: int) -> str:
+    """Bytes from a place (0, 1, ...) on, of the text whose hex digits are in hx."""
+    return "('0x' || " + " || ".join(f"substr(hx, 2 * ({place}) + {1 + 2 * k}, 2)" for k in reversed(range(size))) + ")::ubigint"
+
+
+def simhash(seed: int, words: int, radius: int) -> str:
+    """Fingerprints and components as the contract defines them. Recursions: 32 bytes a step (s32), then 8, 4 or 1 (tail), and
+    from fingerprint to fingerprint (reach)."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    word = 1 << 64
+    text = f"regexp_extract_all(translate(text, {_AZ}), '[^\\x20\\x09-\\x0D]+')"
+    four = (1, 2, 3, 4)
+    begin = ", ".join(f"{v % word}::ubigint as v{i}" for i, v in zip(four, (seed + p1 + p2, seed + p2, seed, seed - p1), strict=True))
+    lanes = ", ".join(f"{_plus(f'v{i}', _times(_little_endian(f'pos + {8 * (i - 1)}', 8), p2))} as x{i}" for i in four)
+    turned = ", ".join(f"{_turn(f'x{i}', 31)} as r{i}" for i in four)
+    merged = ", ".join(
+        f"b{i} as (select g, hx, n, pos, v1, v2, v3, v4, {_plus(_times(f'xor(h, {_times(_turn(f'm{i}', 31), p1)})', p1), p4)} as h from (select *, {_times(f'v{i}', p2)} as m{i} from b{i - 1}))" for i in four
+    )
+    shingle = " || ' ' || ".join(f"w[i + {k}]" for k in range(words))
+    half = lambda first: f"coalesce(list_sum(list_transform(range(32), lambda b: case when 2 * k[b + {first + 1}] > m then 1::bigint << b else 0::bigint end)), 0)::hugeint"
+    return f"""
+with recursive d as (select doc_id, coalesce({text}, []) as w from documents),
+s as (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < {words} then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - {words - 2}), lambda i: {shingle}) end) as g from d),
+u as (select g, hex(encode(g)) as hx, octet_length(encode(g))::bigint as n from (select distinct g from s)),
+s32 as (select g, hx, n, 0::bigint as pos, {begin} from u where n >= 32
+  union all select g, hx, n, pos + 32, {", ".join(_times(f"r{i}", p1) for i in four)} from (select g, hx, n, pos, {turned} from (select g, hx, n, pos, {lanes} from s32 where n - pos >= 32))),
+b0 as (select g, hx, n, pos, v1, v2, v3, v4, {_plus(_plus(_turn("v1", 1), _turn("v2", 7)), _plus(_turn("v3", 12), _turn("v4", 18)))} as h from s32 where n - pos < 32),
+{merged},
+tail as (select g, hx, n, pos, {_plus("h", "n")} as h from (select g, hx, n, pos, h from b4 union all select g, hx, n, 0, {(seed + p5) % word}::ubigint from u where n < 32)
+  union all select g, hx, n, pos + k, case k when 8 then {_plus(_times(_turn("y", 27), p1), p4)} when 4 then {_plus(_times(_turn("y", 23), p2), p3)} else {_times(_turn("y", 11), p1)} end from
+    (select g, hx, n, pos, k, case k when 8 then xor(h, {_times(_turn("z", 31), p1)}) when 4 then xor(h, {_times("z", p1)}) else xor(h, {_times("z", p5)}) end as y from
+      (select g, hx, n, pos, h, k, case k when 8 then {_times(_little_endian("pos", 8), p2)} when 4 then {_little_endian("pos", 4)} else {_little_endian("pos", 1)} end as z from
+        (select *, case when n - pos >= 8 then 8 when n - pos >= 4 then 4 else 1 end as k from tail where pos < n)))),
+f1 as (select g, {_times("xor(h, h >> 33)", p2)} as h from tail where pos = n), f2 as (select g, {_times("xor(h, h >> 29)", p3)} as h from f1), f as (select g, xor(h, h >> 32) as h from f2),
+c as (select doc_id, [{", ".join(f"sum((h >> {b}) & 1::ubigint)" for b in range(64))}] as k, count(*) as m from s join f using (g) group by 1),
+p as (select doc_id, ({half(32)} * 4294967296::hugeint + {half(0)})::ubigint as fp from d left join c using (doc_id)),
+e as (select distinct fp from p), l as (select x.fp as a, y.fp as b from e x, e y where bit_count(xor(x.fp, y.fp)::hugeint) <= {radius}),
+reach as (select fp, fp as to_ from e union select reach.fp, l.b from reach join l on l.a = to_),
+least as (select reach.fp, min(doc_id) as component_id from reach join p on p.fp = to_ group by 1)
+select doc_id, lpad(lower(to_hex(fp)), 16, '0') as fingerprint, component_id from p join least using (fp)
+"""

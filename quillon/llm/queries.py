@@ -124,5 +124,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op1_top_k": oracles.TOP_K,
     "op2_decontaminate": oracles.DECONTAMINATE,
+    "op6_simhash": oracles.simhash(42, 3, 3),
     "op3_url_reputation": oracles.url_reputation(URL_RULES, urls.TWO_LABEL_SUFFIXES, urls.Z, urls.THRESHOLD, urls.WEAKEST, urls.STRONGEST),
 }

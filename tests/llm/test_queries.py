@@ -61,6 +61,32 @@ def test_op5_on_the_held_out_fold(spark):
     assert len(held) > 50 and np.mean([r.predicted == r.toxic for r in held]) > 0.93
 
 
+def plain_toxicity(model, text):
+    """The score written out: a word's weight is the mean over its distinct 3- to 5-grams and itself, marked at its ends; a
+    text's logit the bias and the mean over its words, repeated ones weighing the root of their number, and 20 empty ones."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = re.findall(r"(?:[a-z0-9']|[^\x00-\x7f])+", low)
+    total, size = 0.0, 20.0
+    for w in sorted(set(words)):
+        assert len(w) <= 64
+        marked = f"<{w}>"
+        grams = {marked} | {marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)}
+        own = sum(model.weight.get(zlib.crc32(g.encode()) % model.buckets, 0.0) for g in grams) / len(grams)
+        times = words.count(w) ** 0.5
+        total, size = total + own * times, size + times
+    return 1 / (1 + np.exp(-(model.bias + total / size)))
+
+
+def test_op5_by_plain_sums(spark, duck):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    got = {r.doc_id: r for r in queries.op5_toxicity(spark, SF).collect()}
+    some = [(i, t or "") for i, t in documents(duck) if not re.search(r"(?:[A-Za-z0-9']|[^\x00-\x7f]){65}", t or "")]
+    assert len(some) > 150 and len(got) == len(documents(duck))
+    for i, t in some:
+        assert abs(got[i].score - plain_toxicity(model, t)) < 1e-9 and got[i].predicted == int(got[i].score >= 0.5)
+
+
 def test_op6_by_brute_force(spark, duck):
     docs = documents(duck)
     fps = [brute_fingerprint(t) for _, t in docs]
