@@ -137,9 +137,9 @@ def universe(panel: DataFrame, top: int | None = None, keywords: list[str] | Non
     return panel.join(F.broadcast(largest.select("symbol")), "symbol", "left_semi")  # at most `top` symbols
 
 
-def formula_library(spark: SparkSession, path: str, least: int = 2) -> tuple[list[str], list[tuple[str, str]]]:
+def formula_library(spark: SparkSession, path: str, least: int = 0) -> tuple[list[str], list[tuple[str, str]]]:
     """Formulas of a CSV with a column expression, and those that can't be read, with the reason. A library is small: it is
-    read by the driver. Fewer than `least` formulas that can be read are no library."""
+    read by the driver. Fewer than `least` formulas that can be read raise (a portfolio needs two)."""
     rows = [r.expression for r in spark.read.csv(path, header=True, quote='"').select("expression").collect()]
     good, bad = [], []
     for text in rows:

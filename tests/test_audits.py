@@ -175,5 +175,5 @@ def test_configs_stores_and_corpora(spark, tmp_path):
     assert readers.ingest(manifest.drop("full_text"), str(tmp_path / "out")).first().keywords == ["k"]
     (tmp_path / "lib.csv").write_text('expression\n"neg(close)"\n"broken("\n')
     with pytest.raises(ValueError):
-        readers.formula_library(spark, str(tmp_path / "lib.csv"))
-    assert readers.formula_library(spark, str(tmp_path / "lib.csv"), 1)[0] == ["neg(close)"]
+        readers.formula_library(spark, str(tmp_path / "lib.csv"), 2)
+    assert readers.formula_library(spark, str(tmp_path / "lib.csv"))[0] == ["neg(close)"]
