@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import LongType, StructField, StructType
 
 from .shapes import top_per_group
@@ -154,44 +159,38 @@ def retrieve(queries: DataFrame, passages: DataFrame, query_id: str, query_text:
     return best.select(F.col("q").alias(query_id), F.col("s").alias(source), F.col("p").alias(passage_id), "overlap", "rank")
 
 
-def _local_best(p: DataFrame, terms_: object, q: DataFrame, k: int) -> DataFrame:
-    """q, s, p, overlap: each task's k best passages of every query and source."""
-    index: dict[str, list[int]] = {}
-    ids = terms_["q"].drop_duplicates().tolist()
-    place = {x: i for i, x in enumerate(ids)}
-    for x, t in zip(terms_["q"].tolist(), terms_["term"].tolist(), strict=True):
-        index.setdefault(t, []).append(place[x])
-    held = p.sparkSession.sparkContext.broadcast((index, ids))
+def _local_best(p: DataFrame, index: pd.DataFrame, q: DataFrame, k: int) -> DataFrame:
+    """q, s, p, overlap: each task's k best passages of every query and source. index: q and term. Words are looked up as Arrow
+    arrays, overlaps counted as numbers; a task holds k rows for each query and source, and one batch."""
+    codes, ids = pd.factorize(index["q"])
+    term, words_ = pd.factorize(index["term"])
+    order = np.argsort(term, kind="stable")
+    first = np.searchsorted(term[order], np.arange(len(words_) + 1))
+    held = p.sparkSession.sparkContext.broadcast((pa.array(words_, pa.string()), codes[order], first, list(ids)))
     schema = StructType([q.schema["q"], p.schema["s"], p.schema["p"], StructField("overlap", LongType())])
 
-    def run(batches):
-        from collections import Counter
-        from heapq import heappushpop, heappush
-
-        import pyarrow as pa
+    def best_of(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows.sort_values(["q", "s", "n", "p"], ascending=[True, True, False, False], kind="stable").groupby(["q", "s"], sort=False, dropna=False).head(k)
 
-        lookup, names = held.value
-        get, best = lookup.get, {}
-        kinds = None
+    def run(batches):
+        listed, posting, start, names = held.value
+        kept, kinds = None, None
         for b in batches:
-            kinds = b.schema
-            for s, own, words_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if own is None:
-                    continue
-                counts: Counter = Counter()
-                for w in words_ or ():
-                    if found := get(w):
-                        counts.update(found)
-                for i, n in counts.items():
-                    heap = best.setdefault((i, s), [])
-                    if len(heap) < k:
-                        heappush(heap, (n, own))
-                    elif heap[0] < (n, own):
-                        heappushpop(heap, (n, own))
-        rows = [(names[i], s, own, n) for (i, s), heap in best.items() for n, own in heap]
-        if rows:
-            columns = list(zip(*rows, strict=True))
-            types = [None, kinds.field(0).type, kinds.field(1).type, pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["q", "s", "p", "overlap"])
+            kinds, lists = b.schema, b.column(2)
+            place = pc.index_in(lists.flatten(), value_set=listed)
+            found = pc.is_valid(place).to_numpy(zero_copy_only=False)
+            doc = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)[found].astype(np.int64)
+            t = place.drop_null().to_numpy(zero_copy_only=False)
+            n = start[t + 1] - start[t]
+            at = np.repeat(start[t] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            pair, count = np.unique(np.repeat(doc, n) * len(names) + posting[at], return_counts=True)
+            doc = pair // max(1, len(names))
+            rows = pd.DataFrame({"q": pair % max(1, len(names)), "s": b.column(0).take(pa.array(doc)).to_pandas(), "p": b.column(1).take(pa.array(doc)).to_pandas(), "n": count})
+            rows = rows[rows["p"].notna()]
+            kept = best_of(rows if kept is None else pd.concat([kept, best_of(rows)], ignore_index=True))
+        if kept is not None and len(kept):
+            q_type = to_arrow_type(schema["q"].dataType)
+            columns = [pa.array([names[i] for i in kept["q"]], q_type), pa.array(kept["s"], kinds.field(0).type, from_pandas=True), pa.array(kept["p"], kinds.field(1).type, from_pandas=True), pa.array(kept["n"], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["q", "s", "p", "overlap"])
 
     return p.mapInArrow(run, schema)

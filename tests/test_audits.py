@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import dsl
-from quillon.operators import calibration, cross, nested, quality, shapes, store
+from quillon.operators import calibration, cross, nested, quality, shapes, store, texts
 from quillon.plans import portfolio, search
 from quillon.sources import panels, readers
 
@@ -132,6 +132,18 @@ def test_portfolios_breed_and_rank(spark):
         portfolio.PortfolioSearch(train, test, library[:1])
 
 
+def test_retrieval_is_the_same_both_ways(spark):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(30)]
+    q = spark.createDataFrame([(k, " ".join(rng.sample(words, 5))) for k in range(12)] + [(99, None), (98, "nowhere")], "q int, t string")
+    rows = [(rng.choice(["a", "b", None]), f"p{k}", rng.sample(words, rng.randint(0, 12))) for k in range(300)] + [("a", "none", None), ("a", None, words), ("b", "twice", ["w1", "w1", "w2"])]
+    p = spark.createDataFrame(rows, "s string, p string, k array<string>").repartition(5)
+    for k in (1, 3):
+        one, other = (sorted(map(str, texts.retrieve(q, p.where("p is not null"), "q", "t", "s", "p", "k", k, most_terms=n).collect())) for n in (0, 1000))
+        assert one == other and len(one) > 12 * k
+    assert texts.retrieve(q, p.limit(0), "q", "t", "s", "p", "k").count() == 0
+
+
 def test_edits_of_formulas():
     rng = random.Random(5)
     node = dsl.parse("add(cs_rank(ts_mean(close, 5)), mul(volume, 2.0))")
