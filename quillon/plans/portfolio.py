@@ -82,7 +82,7 @@ def leaderboard(train: DataFrame, test: DataFrame, portfolios: dict[str, Portfol
 @dataclass
 class PortfolioSearch:
     """Generations of portfolios from a library; the best by test Sharpe breed by changed weights and added, removed or swapped
-    formulas, as in the method that this follows. Only a few figures for each candidate reach the driver."""
+    formulas. Only a few figures for each candidate reach the driver."""
 
     train: DataFrame
     test: DataFrame
