@@ -95,7 +95,7 @@ _JSON = """'"doc_id"{s}' || doc_id || '{c}"lang"{s}' || coalesce(to_json(lang)::
 @query("nested_canonical_hash", "with d as (select doc_id, lang, nullif(left(text, 40), '') as text from documents where regexp_full_match(coalesce(left(text, 40), ''), '[\\x20-\\x7E]*')), j as (select doc_id, '{' || " + _JSON.format(c=",", s=":") + " || '}' as tight, '{' || " + _JSON.format(c=", ", s=": ") + " || '}' as wide from d) select doc_id, sha256(tight) as receipt, sha256(wide) as record, sha256(tight) as stable from j")
 def canonical_hash(spark, sf_dir):
     """The three written forms of one object; on ASCII texts two of them agree (others are tested against the json module)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.nullif(F.left("text", F.lit(40)), F.lit("")).alias("text")).where(F.coalesce("text", F.lit("")).rlike("^[\\x20-\\x7E]*$"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.nullif(F.left("text", F.lit(40)), F.lit("")).alias("text")).where(F.coalesce("text", F.lit("")).rlike("^[\\x20-\\x7E]*\\z"))  # $ would let a line break at the end pass
     c = {x: F.col(x) for x in ("doc_id", "lang", "text")}
     return d.select("doc_id", nested.content_hash(c).alias("receipt"), nested.content_hash(c, spaced=True).alias("record"), nested.content_hash(c, ascii_only=False).alias("stable"))
 

@@ -4,12 +4,14 @@ import hashlib
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.functions import dsl
 from quillon.operators import calibration, cross, nested, quality, shapes, store, texts
-from quillon.plans import portfolio, search
+from quillon.plans import audits, portfolio, search
+from quillon.plans.base import ORACLES
 from quillon.sources import panels, readers
 
 
@@ -69,6 +71,16 @@ def test_canonical_json_equals_the_module(spark):
                 assert r[f"h{spaced}{ascii_only}"] == hashlib.sha256(text.encode()).hexdigest()
 
 
+def test_hashed_texts_end_where_the_class_ends(spark, tmp_path):
+    """A line break as the 40th character isn't printable ASCII, so the SQL leaves such a text out."""
+    rows = [(1, "en", "a" * 39 + "\nmore"), (2, "en", "a" * 40 + "\n"), (3, "de", "short\n"), (4, "de", "b" * 39 + "\u2028"), (5, "fr", None), (6, None, ""), (7, "en", "c" * 39 + "\r\n")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in audits.canonical_hash(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert [r[0] for r in got] == [2, 5, 6] and got == sorted(con.execute(ORACLES["nested_canonical_hash"]).fetchall())
+
+
 def test_chains_are_verified_to_the_end(spark):
     rows = [(k, i, f"p{i}") for k in range(3) for i in range(50)] + [(9, 0, None)]
     linked = nested.link(spark.createDataFrame(rows, "log int, i int, payload string"), ["log"], "i", "payload")
