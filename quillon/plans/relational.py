@@ -176,7 +176,11 @@ def rank_global(spark, sf_dir):
 
 @query("rank_extremes", "select c_mktsegment, arg_max(c_custkey, c_acctbal) as richest, arg_min(c_custkey, abs(c_acctbal)) as nearest_zero from customer group by 1")
 def extremes(spark, sf_dir):
-    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.max_by("c_custkey", "c_acctbal").alias("richest"), F.min_by("c_custkey", F.abs("c_acctbal")).alias("nearest_zero"))
+    """Of rows that tie the least key, which is what the SQL gives in one thread over rows in the order of their keys; rows
+    without key or balance take no part."""
+    k, b = F.col("c_custkey"), F.col("c_acctbal")
+    both = lambda *by: F.when(k.isNotNull() & b.isNotNull(), F.struct(*by))
+    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.max_by(k, both(b, -k)).alias("richest"), F.min_by(k, both(F.abs(b), k)).alias("nearest_zero"))
 
 
 @query("distinct_keep_first", "select user_id, event_type, event_id from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import dsl
 from quillon.operators import calibration, cross, nested, quality, shapes, store, texts
-from quillon.plans import audits, portfolio, search
+from quillon.plans import audits, portfolio, relational, search
 from quillon.plans.base import ORACLES
 from quillon.sources import panels, readers
 
@@ -81,6 +81,18 @@ def test_hashed_texts_end_where_the_class_ends(spark, tmp_path):
     assert [r[0] for r in got] == [2, 5, 6] and got == sorted(con.execute(ORACLES["nested_canonical_hash"]).fetchall())
 
 
+def test_extremes_that_tie_are_the_least_key(spark, tmp_path):
+    nan = float("nan")
+    rows = [(1, "a", 5.0), (2, "a", 9.0), (3, "a", 9.0), (4, "a", -1.0), (5, "a", 1.0), (None, "a", 99.0), (None, "a", 0.0), (6, "b", None), (7, "c", -0.0), (8, "c", 0.0), (9, "d", nan), (10, "d", nan), (11, "d", 3.0), (12, None, 2.0), (13, None, 2.0)]
+    spark.createDataFrame(rows, "c_custkey long, c_mktsegment string, c_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    got = {r.c_mktsegment: (r.richest, r.nearest_zero) for r in relational.extremes(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute("set threads = 1")
+    con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    want = {a: (b, c) for a, b, c in con.execute(ORACLES["rank_extremes"]).fetchall()}
+    assert got == want == {"a": (2, 4), "b": (None, None), "c": (7, 7), "d": (9, 11), None: (12, 12)}
+
+
 def test_chains_are_verified_to_the_end(spark):
     rows = [(k, i, f"p{i}") for k in range(3) for i in range(50)] + [(9, 0, None)]
     linked = nested.link(spark.createDataFrame(rows, "log int, i int, payload string"), ["log"], "i", "payload")
