@@ -4,7 +4,8 @@ Fingerprints come from whole texts in one Arrow pass. Equal fingerprints are one
 Candidates share a band key (pigeonhole: with more bands than the radius, some combination of whole bands is equal), and
 are compared bit-sliced: 64 bit planes stored vertically, carry-save counters for 64 pairs a machine word, blocks left as
 soon as every lane is past the radius. Each block reports a forest of links, never all pairs. deduplicate() looks further:
-pairs come from masks of sampled bits and a wider radius, and each is checked on its shingles. Components of the links are found by alternating large and small stars, written to the shared folder.
+pairs come from masks of sampled bits and a wider radius, and each is checked on its shingles. What fingerprints tell apart
+or no mask meets is then looked for between the classes found, by an exact join on prefixes of the shingle sets. Components of the links are found by alternating large and small stars, written to the shared folder.
 Nothing but counts reaches the driver.
 """
 
@@ -27,6 +28,8 @@ RADIUS, SHINGLE = 3, 3
 SIMILARITY, COPY_SHINGLE, COPY_RADII, MISS = 0.8, 5, (3, 5, 7, 9, 12), 0.01
 #: Independent fingerprints of a text that the masks are dealt over, so that one unlucky fingerprint hides no pair.
 PRINTS = 4
+#: Cells that shingles are counted in to order them, and the most that are told apart as frequent. Pairs don't depend on them.
+CELL_BITS, OFTEN = 20, 50_000
 #: Rows of one side of a comparison; a larger bucket is dealt out as pairs of such blocks.
 BLOCK = 1536
 #: Each byte's bits as eight byte-wide counters of one word, high bit first.
@@ -222,9 +225,9 @@ def small_links(fp: np.ndarray, group: np.ndarray, radii: tuple[int, ...] = (RAD
 
 def bucket_links(batches, radii: tuple[int, ...] = (RADIUS,), small: int = 48, rows: int = 50_000):
     """Links of whole buckets; input sorted by bucket (columns bucket, fp, node), batches of any length. For each radius a
-    forest, or little more: never all pairs. Large buckets have paths enough: there the middle and the last radius do."""
+    forest, or little more: never all pairs. In large buckets the middle and the last radius do: of copies what this or a
+    mask leaves out is found by missed()."""
     coarse = tuple(dict.fromkeys((radii[len(radii) // 2], radii[-1])))
-    held: list[list[np.ndarray]] = [[], [], []]
 
     def flush(k: np.ndarray, f: np.ndarray, node: np.ndarray):
         if not len(k):
@@ -243,16 +246,23 @@ def bucket_links(batches, radii: tuple[int, ...] = (RADIUS,), small: int = 48, r
         if len(a):
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["src", "dst"])
 
+    for k, f, node in whole_buckets(batches, rows):
+        yield from flush(k, f, node)
+
+
+def whole_buckets(batches, rows: int):
+    """Columns of batches that are sorted by the first one, as arrays of whole buckets, cut where about so many rows are held."""
+    held: list[list[np.ndarray]] = []
     for batch in batches:
-        for h, c in zip(held, batch.columns, strict=True):
-            h.append(c.to_numpy(zero_copy_only=False))
-        if sum(map(len, held[0])) >= rows:
-            k, f, node = map(np.concatenate, held)
+        held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        if sum(len(x[0]) for x in held) >= rows:
+            found = [np.concatenate(x) for x in zip(*held, strict=True)]
+            k = found[0]
             last = int(np.flatnonzero(k != k[-1])[-1]) + 1 if k[0] != k[-1] else 0
-            yield from flush(k[:last], f[:last], node[:last])
-            held = [[k[last:]], [f[last:]], [node[last:]]]
-    if held[0]:
-        yield from flush(*map(np.concatenate, held))
+            yield [x[:last] for x in found]
+            held = [[x[last:] for x in found]]
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def band_keys(fp: Column, n_rows: int, radius: int = RADIUS) -> Column:
@@ -304,13 +314,18 @@ def links(nodes: DataFrame, keys: Column, radii: tuple[int, ...] = (RADIUS,), bl
     """Links (src > dst) of nodes that connect exactly what all pairs within a radius that share one of the keys
     (bucket and fingerprint) connect, for each of the radii."""
     keyed = nodes.select("node", F.explode(keys).alias("k")).select("node", "k.bucket", "k.fp")
+    return dealt(keyed, ["fp", "node"], block).mapInArrow(lambda it: bucket_links(it, radii), "src long, dst long")
+
+
+def dealt(keyed: DataFrame, columns: list[str], block: int = BLOCK) -> DataFrame:
+    """Rows of keyed (bucket, node, more) as bucket and columns, sorted by bucket, so that any two rows of a bucket meet in one."""
     large = keyed.groupBy("bucket").count().where(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("k"))
     pairs = keyed.join(broadcast_below(staged(large, "large-buckets"), 200_000), "bucket", "left").withColumn("k", F.coalesce("k", F.lit(1)))
     own = F.pmod(F.xxhash64(F.lit(7), "node"), F.col("k").cast("long")).cast("int")
     # a large bucket: block i meets block j in the pair (least, greatest); its rows go to k pairs
-    dealt = pairs.select("node", "fp", "bucket", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
-    dealt = dealt.select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), "fp", "node")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda it: bucket_links(it, radii), "src long, dst long")
+    out = pairs.select(*columns, "bucket", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("j"))
+    out = out.select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("bucket"), *columns)
+    return out.repartition("bucket").sortWithinPartitions("bucket")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -360,15 +375,15 @@ def classes(slim: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def shingles(text: bytes, n: int = COPY_SHINGLE) -> np.ndarray:
-    """Sorted distinct 32-bit hashes (XXH32) of the word shingles of a text, words as in fingerprint(); fewer words than n
+    """Sorted distinct 64-bit hashes (XXH3) of the word shingles of a text, words as in fingerprint(); fewer words than n
     are one shingle, none have none."""
     words = text.lower().split()
-    if len(words) <= n:
-        return np.array([xxhash.xxh32_intdigest(b" ".join(words))] if words else [], np.uint32).view(np.int32)
     joined = b" ".join(words)
-    digest = xxhash.xxh32_digest
+    if len(words) <= n:
+        return np.array([xxhash.xxh3_64_intdigest(joined)] if words else [], np.uint64)
+    digest = xxhash.xxh3_64_digest
     raw = b"".join([digest(joined[a:b]) for a, b in _cuts(words, n)])
-    return np.unique(np.frombuffer(raw, "<u4")).view(np.int32)
+    return np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
 
 
 def agreement(similarity: float, n: int = COPY_SHINGLE, m: int = SHINGLE) -> float:
@@ -381,7 +396,7 @@ def agreement(similarity: float, n: int = COPY_SHINGLE, m: int = SHINGLE) -> flo
 def copies(marked: DataFrame, text: str, keys: list[str], similarity: float, n: int, radii: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
     """node, root of the texts of marked that a chain of texts, each at least that similar to the next, connects; and
     all nodes with the least keys of their rows. keys tell different rows apart. A forest for each of the radii is checked, so
-    that a close pair is seldom left out for a path through a text that turns out too different."""
+    that a close pair is seldom left out for a path through a text that turns out too different; missed() finds the others."""
     prepare(marked.sparkSession)
 
     def marks(b: pa.RecordBatch):
@@ -396,19 +411,115 @@ def copies(marked: DataFrame, text: str, keys: list[str], similarity: float, n:
     masks = tables(first.count(), agreement(similarity, n))
     found = staged(links(first, table_keys([F.col(x) for x in fps], masks), radii).where("src <> dst").distinct(), "near")
     drop_staged(slim)
+    close = staged(alike(found, first, marked, text, keys, similarity, n), "alike")
+    drop_staged(found)
+    return missed(close, first, marked, text, keys, similarity, n), first
+
+
+def alike(found: DataFrame, first: DataFrame, marked: DataFrame, text: str, keys: list[str], similarity: float, n: int) -> DataFrame:
+    """Pairs of found (src, dst) whose shingle sets are that similar."""
     ends = found.select(F.col("src").alias("node")).unionByName(found.select(F.col("dst").alias("node"))).distinct()
     chosen = first.join(ends, "node", "left_semi").select("node", *[F.col(f"of.`{k}`").alias(k) for k in keys])
     held = marked.select(*keys, F.col(f"`{text}`").alias("held_text")).join(broadcast_below(chosen, 500_000), keys)
 
     def sets(b: pa.RecordBatch):
-        return [pa.array([shingles(x, n) for x in texts(b.column(1))], pa.list_(pa.int32()))]
+        return [pa.array([shingles(x, n).view(np.int64) for x in texts(b.column(1))], pa.list_(pa.int64()))]
 
-    of = staged(arrow_map(held.select("node", "held_text"), ["node"], "words array<int>", sets, ("held_text",)).dropDuplicates(["node"]), "shingles")
+    of = staged(arrow_map(held.select("node", "held_text"), ["node"], "words array<long>", sets, ("held_text",)).dropDuplicates(["node"]), "shingles")
     both = found.join(of.select(F.col("node").alias("src"), F.col("words").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("words").alias("b")), "dst")
     shared = F.size(F.array_intersect("a", "b"))
-    alike = staged(both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("src", "dst"), "alike")
-    drop_staged(found, of)
-    return connected(alike), first
+    return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("src", "dst")
+
+
+def frequent(marked: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of hashes that hold many more shingles than others, ascending, and their counts over all texts. They only set
+    the order of shingles: whatever it is, the same pairs are found, but rare shingles first make small buckets."""
+
+    def run(batches):
+        seen = np.zeros(1 << CELL_BITS, np.int64)
+        for b in batches:
+            for x in texts(b.column(0)):
+                np.add.at(seen, shingles(x, n) >> np.uint64(64 - CELL_BITS), 1)
+        hot = np.flatnonzero(seen > 8 + 8 * seen.mean())
+        yield pa.RecordBatch.from_arrays([pa.array(hot), pa.array(seen[hot])], names=["cell", "n"])
+
+    cells = marked.select(F.col(f"`{text}`")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    most = cells.orderBy(F.col("n").desc(), "cell").limit(OFTEN).toPandas().sort_values("cell")
+    return most["cell"].to_numpy(np.uint64), most["n"].to_numpy(np.int64)
+
+
+def missed(close: DataFrame, first: DataFrame, marked: DataFrame, text: str, keys: list[str], similarity: float, n: int) -> DataFrame:
+    """node, root of all texts that a chain of texts, each at least that similar to the next, connects; close: links known.
+
+    Sets of s shingles that are that similar share one of the first s - ceil(similarity s) + 1 shingles in any common order.
+    Texts of different classes that share one, whose sizes and places of it allow the similarity, are checked."""
+    cells, often = frequent(marked, text, n)
+
+    def begin(b: pa.RecordBatch):
+        nodes, sizes, same, prefix = [], [], [], []
+        for x in texts(b.column(b.schema.names.index(text))):
+            s = shingles(x, n)
+            nodes.append(xxhash.xxh3_64_intdigest(b" ".join(x.lower().split())))
+            sizes.append(len(s))
+            same.append(xxhash.xxh3_64_intdigest(s.tobytes()))
+            cell = s >> np.uint64(64 - CELL_BITS)
+            at = np.searchsorted(cells, cell)
+            weight = np.where(cells[at % len(cells)] == cell, often[at % len(cells)], 0) if len(cells) else np.zeros(len(s), np.int64)
+            keep = len(s) - math.ceil(similarity * len(s) - 1e-6) + 1 if len(s) else 0
+            prefix.append(s[np.lexsort((s, weight))[:keep]].view(np.int64))
+        long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+        return [long(nodes), pa.array(sizes, pa.int32()), long(same), pa.array(prefix, pa.list_(pa.int64()))]
+
+    sets = staged(arrow_map(marked, [], "node long, size int, same long, prefix array<long>", begin, (text,)).dropDuplicates(["node"]), "prefixes")
+    equal = sets.groupBy("same").agg(F.min("node").alias("dst"), F.count("*").alias("k")).where("k > 1").join(sets.select("same", F.col("node").alias("src")), "same")
+    roots = staged(connected(close.unionByName(equal.where("src <> dst").select("src", "dst"))), "classes")
+    own = sets.select("node", "size", "prefix").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    keyed = own.select("node", "root", "size", F.posexplode("prefix").alias("place", "bucket"))
+    pairs = dealt(keyed, ["node", "root", "size", "place"]).mapInArrow(lambda it: prefix_pairs(it, similarity), "src long, dst long")
+    found = staged(pairs.distinct(), "missed")
+    more = staged(alike(found, first, marked, text, keys, similarity, n), "more")
+    drop_staged(sets, found)
+    if not more.limit(1).count():
+        return roots
+    return connected(roots.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")).unionByName(more))
+
+
+def prefix_pairs(batches, similarity: float, rows: int = 50_000):
+    """Pairs (src > dst) of nodes of different roots that share a bucket and may be that similar by size and place (columns
+    bucket, node, root, size, place; sorted by bucket): lane i is compared with lane i + s for each shift s, over all buckets
+    at once. A pair is found at least in the bucket of its first common shingle."""
+    for bucket, *rest in whole_buckets(batches, rows):
+        if not len(bucket):
+            continue
+        _, inverse, count = np.unique(bucket, return_inverse=True, return_counts=True)
+        order = np.lexsort((inverse, -count[inverse]))
+        order = order[: int((count[inverse] > 1).sum())]
+        group, many = inverse[order], count[inverse][order]
+        node, root, size, place = (x[order] for x in rest)
+        size, left = size.astype(np.int64), size.astype(np.int64) - place
+        a, b, held = [], [], 0
+        for s in range(1, int(many[0]) if len(many) else 0):
+            m = int(np.searchsorted(-many, -s, side="left"))  # rows in buckets of more than s
+            if m <= s:
+                break
+            i = np.flatnonzero((group[: m - s] == group[s:m]) & (root[: m - s] != root[s:m]))
+            j = i + s
+            low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            good = (low >= similarity * high - 1e-6) & (np.minimum(left[i], left[j]) >= similarity / (1 + similarity) * (low + high) - 1e-6)
+            a.append(node[i[good]])
+            b.append(node[j[good]])
+            held += int(good.sum())
+            if held > 200_000:
+                yield _pairs(a, b)
+                a, b, held = [], [], 0
+        if held:
+            yield _pairs(a, b)
+
+
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    x, y = np.concatenate(a), np.concatenate(b)
+    both = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["src", "dst"])
 
 
 def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, n: int = COPY_SHINGLE, radii: tuple[int, ...] = COPY_RADII) -> DataFrame:
@@ -417,7 +528,8 @@ def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", similarit
     Two texts are linked if the Jaccard similarity of their n-word shingles is at least `similarity`, transitively. Pairs to
     compare come from SimHash fingerprints: equal under one of several bit masks and at most the greater of radii bits apart (bit-sliced);
     each is then checked on the shingles themselves, so dissimilar texts never fall together. Masks are as many as miss at
-    most MISS of the pairs at the threshold; closer ones are missed less. Null and empty texts are one class. Rows with null
+    most MISS of the pairs at the threshold; links between the classes so found come from an exact join on shingles, so none is
+    left out. Null and empty texts are one class. Rows with null
     ids count as after all others. The columns of df are returned as they are; an empty table stays empty."""
     names = []
     for k in range(3):

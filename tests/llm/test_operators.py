@@ -192,6 +192,28 @@ def test_copies_near_the_threshold_are_found_and_no_others(spark):
     assert want <= got and len(got - want) <= 0.04 * (len(rows) - len(want))
 
 
+def test_copies_that_fingerprints_tell_apart_are_linked(spark):
+    """Repeats weigh in a fingerprint but not in a set; a few words of a short text at the threshold; buckets of many rows."""
+    r, rows = random.Random(6), []
+    for k in range(40):
+        w, turn = base_words(80, 900 + k), base_words(6, 7000 + k)
+        rows += [(10 * k + c, " ".join([*w, *turn * times])) for c, times in enumerate((2, 60))]
+        rows += [(10 * k + 2, " ".join(v := base_words(r.randint(13, 60), 8000 + k))), (10 * k + 3, " ".join([*v[:-1], "other"])), (10 * k + 4, " ".join([*v, *base_words(len(v) // 4 - 1, 50 + k)]))]
+    rows += [(1000 + k, " ".join(base_words(12, 3) + base_words(4, 100 + k))) for k in range(60)]  # alike, but no copies
+    comp = brute_copies([t for _, t in rows])
+    want = sorted(min(rows[i][0] for i, c in enumerate(comp) if c == k) for k in set(comp))
+    assert len(want) < len(rows) - 60 and sorted(x.doc_id for x in simhash.deduplicate(frame(spark, rows)).collect()) == want
+
+
+def test_prefix_pairs_over_blocks(spark):
+    """Every pair that shares a bucket, however its rows are dealt out, and none inside a class."""
+    rows = [(int(b), int(x), int(x) // 3 * 3, 10, 0) for b, n in ((1, 70), (2, 5), (3, 1)) for x in range(1000 * b, 1000 * b + n)]
+    keyed = spark.createDataFrame(rows, "bucket long, node long, root long, size int, place int")
+    pairs = simhash.dealt(keyed, ["node", "root", "size", "place"], 16).mapInArrow(lambda it: simhash.prefix_pairs(it, 0.8), "src long, dst long")
+    want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[1] > y[1] and x[2] != y[2]}
+    assert {tuple(x) for x in pairs.collect()} == want
+
+
 def test_masks_use_all_bits_and_grow_with_the_rows():
     few, many = simhash.tables(1000, 0.88), simhash.tables(10**9, 0.88)
     assert {m.bit_count() for m in few} == {6} and {m.bit_count() for m in many} == {26} and len(many) > len(few)
