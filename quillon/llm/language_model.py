@@ -3,7 +3,8 @@
 A window network (position-wise embeddings of the four neighbours, a tanh layer, a softmax) is trained in numpy. Its softmax
 over the vocabulary has two exact levels: over classes of words that stand in like contexts, and over the words of the class.
 The vocabulary is the most frequent words, and buckets by the end of the word for all others; which word of a bucket it is
-comes from counts over all whole texts. A document is scored under the rest of the corpus: its own words are taken out of
+comes from counts over all whole texts. The network is fitted to every window of every text: begun on the driver, then carried on
+where the texts lie, each task by itself, and averaged. A document is scored under the rest of the corpus: its own words are taken out of
 those counts, so a document is expected where its rare words occur elsewhere. The counts of the most frequent words go with
 the network; those of all others stay in a table that is joined, however many there are.
 """
@@ -19,18 +20,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, free, prepare, staged, texts
+from .common import arrow_map, drop_staged, free, prepare, staged, texts
 
 #: Classes of as many outputs each; buckets among the outputs; words whose counts go with the network (the others are joined).
 CLASSES, SIZE, BUCKETS, SHARED = 64, 64, 64, 100_000
 OUTPUTS = CLASSES * SIZE
 WORDS = OUTPUTS - BUCKETS
 HIDDEN, EPOCHS, RATE, BATCH = 32, 3, 0.15, 512
-#: Documented bound of the fit: so many windows, drawn over all texts by the hash of the text and the place.
-WINDOWS = 200_000
+#: The fit begins with about so many windows, drawn over all texts by the hash of the text and the place (a corpus of no more
+#: is fitted there); then all windows follow, so many a step.
+WINDOWS, FULL_BATCH = 200_000, 16384
+#: Neighbours that classes are told by, and groups that counts and networks of tasks are added up in.
+NEAR, GROUPS = 512, 16
 #: What a word that occurs nowhere else counts, and words counted in a worker before their counts are handed on.
 SMOOTH, _HELD = 0.5, 200_000
 _CHUNK = 1 << 15
@@ -82,9 +87,9 @@ class Network:
     def hidden(self, around: list[np.ndarray]) -> np.ndarray:
         """tanh layer, and a last column of ones."""
         h = np.ones((len(around[0]), HIDDEN + 1), np.float32)
-        s = self.embed[0][around[0]]
+        s = np.take(self.embed[0], around[0], axis=0)
         for e, x in zip(self.embed[1:], around[1:], strict=True):
-            s += e[x]
+            s += np.take(e, x, axis=0)
         s += self.bias
         np.tanh(s, out=h[:, :HIDDEN])
         return h
@@ -106,17 +111,21 @@ def _log_share(z: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
     if not small:
         z -= z.max(axis=1, keepdims=True)
     own = z[np.arange(len(z)), at]
-    return own - np.log(np.exp(z, out=z).sum(axis=1))
+    return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
 
 
-def classes(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def neighbours(windows: np.ndarray) -> np.ndarray:
+    """How often each of the most frequent outputs stands before and behind each output in windows."""
+    seen = np.zeros((OUTPUTS, 2 * NEAR), np.float32)
+    for k, side in ((1, 0), (3, NEAR)):
+        some = windows[:, k] < NEAR  # the most frequent ones come first
+        np.add.at(seen, (windows[some, 2], side + windows[some, k]), 1)
+    return seen
+
+
+def classes(seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class and place of each output: outputs in the order of the first principal component of their neighbours, cut into
     classes of equal size."""
-    near = 512
-    seen = np.zeros((OUTPUTS, 2 * near), np.float32)
-    for k, side in ((1, 0), (3, near)):
-        some = windows[:, k] < near  # the most frequent ones come first
-        np.add.at(seen, (windows[some, 2], side + windows[some, k]), 1)
     seen = np.log1p(seen)
     seen /= np.sqrt((seen**2).sum(axis=1, keepdims=True)) + 1e-6
     seen -= seen.mean(axis=0)
@@ -130,11 +139,60 @@ def classes(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank // SIZE, rank % SIZE
 
 
-def fit(windows: np.ndarray, counts: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 11) -> Network:
-    """A network fitted by AdaGrad to windows (n x 5 outputs, edges OUTPUTS). counts: of each output over all texts; they set
-    the biases that the fit begins with. The same input gives the same network."""
+class Fit:
+    """A network, moved by AdaGrad."""
+
+    def __init__(self, network: Network, sums: list[np.ndarray] | None = None, rate: float = RATE):
+        self.network, self.rate = network, rate
+        self.sums = sums or [np.full(x.shape, 0.01, np.float32) for x in self.weights()]
+
+    def weights(self) -> list[np.ndarray]:
+        return [self.network.embed, self.network.bias, self.network.to_class, self.network.to_word]
+
+    def step(self, around: list[np.ndarray], target: np.ndarray):
+        """One step by the mean gradient of windows."""
+        net, n, rate = self.network, len(target), self.rate
+
+        def move(x, s, g):
+            s += g * g
+            x -= rate * g / np.sqrt(s)
+
+        net.__post_init__()
+        h, cls = net.hidden(around), net.class_of[target]
+        dz = _softmax(h @ net.to_class, net.small)
+        dz[np.arange(n), cls] -= 1
+        dh = dz @ net.to_class.T
+        order = np.argsort(cls.astype(np.uint16), kind="stable")
+        cut = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+        by_class, place, back = h[order], net.place[target[order]], np.empty_like(h)
+        for c in range(CLASSES):
+            a, b = cut[c], cut[c + 1]
+            if a < b:
+                w = net.to_word[c]
+                dy = _softmax(by_class[a:b] @ w, net.small)
+                dy[np.arange(b - a), place[a:b]] -= 1
+                back[a:b] = dy @ w.T
+                move(w, self.sums[3][c], by_class[a:b].T @ dy / n)
+        dh[order] += back
+        move(net.to_class, self.sums[2], h.T @ dz / n)
+        ds = dh[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
+        move(net.bias, self.sums[1], ds.mean(axis=0))
+        for e, total, x in zip(net.embed, self.sums[0], around, strict=True):
+            order = np.argsort(x.astype(np.uint16), kind="stable")
+            own = x[order]
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            grad = np.add.reduceat(ds[order], first) / n
+            rows = own[first]
+            s = total[rows] + grad * grad
+            total[rows] = s
+            e[rows] -= rate * grad / np.sqrt(s)
+
+
+def begin(windows: np.ndarray, counts: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 11, seen: np.ndarray | None = None) -> Fit:
+    """A network fitted to windows (n x 5 outputs, edges OUTPUTS). counts: of each output over all texts; they set the biases
+    that the fit begins with. seen: neighbours over all texts (else those of windows). The same input gives the same network."""
     rng = np.random.default_rng(seed)
-    class_of, place = classes(windows)
+    class_of, place = classes(neighbours(windows) if seen is None else seen)
     mass = counts.astype(np.float64) + 1
     by_class = np.bincount(class_of, mass, minlength=CLASSES)
     embed = (rng.standard_normal((4, OUTPUTS + 1, HIDDEN)) * 0.1).astype(np.float32)
@@ -145,52 +203,27 @@ def fit(windows: np.ndarray, counts: np.ndarray, epochs: int = EPOCHS, rate: flo
     to_word[:, :HIDDEN] = rng.standard_normal((CLASSES, HIDDEN, SIZE)) * 0.1
     to_class[HIDDEN] = np.log(by_class / mass.sum())
     to_word[class_of, HIDDEN, place] = np.log(mass / by_class[class_of])
-    net = Network(embed, bias, to_class, to_word, class_of, place)
-    if not len(windows):
-        return net
-    sums = [np.full(x.shape, 0.01, np.float32) for x in (embed, bias, to_class, to_word)]
-
-    def move(x, s, g):
-        s += g * g
-        x -= rate * g / np.sqrt(s)
-
+    made = Fit(Network(embed, bias, to_class, to_word, class_of, place), rate=rate)
     for _ in range(epochs):
         order = rng.permutation(len(windows))
         for a in range(0, len(order), BATCH):
             w = windows[order[a : a + BATCH]]
-            n, around, target = len(w), [w[:, k] for k in (0, 1, 3, 4)], w[:, 2]
-            h, cls = net.hidden(around), class_of[target]
-            dz = _softmax(h @ to_class)
-            dz[np.arange(n), cls] -= 1
-            weight = to_word[cls]  # n x (HIDDEN + 1) x SIZE
-            dy = _softmax(np.matmul(h[:, None, :], weight)[:, 0])
-            dy[np.arange(n), place[target]] -= 1
-            dh = dz @ to_class.T + np.matmul(weight, dy[:, :, None])[:, :, 0]
-            ds = dh[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
-            move(to_class, sums[2], h.T @ dz / n)
-            used, own = np.unique(cls, return_inverse=True)
-            grad = np.zeros((len(used), HIDDEN + 1, SIZE), np.float32)
-            for k in range(len(used)):
-                grad[k] = h[own == k].T @ dy[own == k] / n
-            s = sums[3][used] + grad * grad
-            sums[3][used] = s
-            to_word[used] -= rate * grad / np.sqrt(s)
-            move(bias, sums[1], ds.mean(axis=0))
-            for e, total, x in zip(embed, sums[0], around, strict=True):
-                rows, own = np.unique(x, return_inverse=True)
-                grad = np.zeros((len(rows), HIDDEN), np.float32)
-                np.add.at(grad, own, ds / n)
-                s = total[rows] + grad * grad
-                total[rows] = s
-                e[rows] -= rate * grad / np.sqrt(s)
-    net.__post_init__()
-    return net
-
-
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+            made.step([w[:, k] for k in (0, 1, 3, 4)], w[:, 2])
+    made.network.__post_init__()
+    return made
+
+
+def fit(windows: np.ndarray, counts: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 11) -> Network:
+    """The network of begin()."""
+    return begin(windows, counts, epochs, rate, seed).network
+
+
+def _softmax(z: np.ndarray, small: bool) -> np.ndarray:
+    """small: no entry can overflow."""
+    if not small:
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
     return z
 
 
@@ -305,12 +338,116 @@ def most_frequent(words: DataFrame, most: int) -> pd.DataFrame:
     return some.toPandas().sort_values(["n", "key"], ascending=[False, True], kind="stable")
 
 
+def coded(docs: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
+    """codes: outputs of the texts of a batch (unsigned 16 bits), two edges before, between and after them; and as rows of
+    their own what a task has counted of neighbours: group, cells and their counts."""
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by OUTPUTS and SHARED
+
+    def run(batches):
+        seen, edge, look = np.zeros(OUTPUTS * 2 * NEAR, np.int32), np.full(2, OUTPUTS, np.uint16), held.value.look
+        names = ["codes", "group", "cells", "n"]
+        for b in batches:
+            parts = [edge]
+            for x in texts(b.column(0)):
+                words = tokens(x)
+                if words:
+                    of = {w: look(w)[0] for w in set(words)}
+                    parts += [np.fromiter(map(of.__getitem__, words), np.uint16, len(words)), edge]
+            p = np.concatenate(parts)
+            wide = p.astype(np.int64)
+            for target, near, side in ((wide[1:], wide[:-1], 0), (wide[:-1], wide[1:], NEAR)):
+                some = (near < NEAR) & (target < OUTPUTS)
+                np.add.at(seen, target[some] * 2 * NEAR + side + near[some], 1)
+            if len(parts) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()), *[pa.array([None], t) for t in (pa.int32(), pa.binary(), pa.binary())]], names=names)
+        size = len(seen) // GROUPS
+        for g in range(GROUPS):
+            own = seen[g * size : (g + 1) * size]
+            if len(at := np.flatnonzero(own)):
+                yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([g], pa.int32()), pa.array([(at + g * size).astype(np.int32).tobytes()], pa.binary()), pa.array([own[at].tobytes()], pa.binary())], names=names)
+
+    return docs.select(F.col(f"`{text}`")).mapInArrow(run, "codes binary, group int, cells binary, n binary")
+
+
+def all_neighbours(rows: DataFrame) -> np.ndarray:
+    """neighbours() of all texts, added up by group where the rows lie."""
+
+    def run(batches):
+        of: dict[int, np.ndarray] = {}
+        size = OUTPUTS * 2 * NEAR // GROUPS
+        for b in batches:
+            for g, cells, n in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                total = of.setdefault(g, np.zeros(size, np.int64))
+                total[np.frombuffer(cells, np.int32) - g * size] += np.frombuffer(n, np.int32)
+        for g, total in of.items():
+            yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["group", "n"])
+
+    made = rows.where("group is not null").select("group", "cells", "n").repartition(GROUPS, "group").mapInArrow(run, "group int, n binary")
+    seen = np.zeros((GROUPS, OUTPUTS * 2 * NEAR // GROUPS), np.float32)
+    for r in made.toLocalIterator():
+        seen[r.group] = np.frombuffer(r.n, np.float32)
+    return seen.reshape(OUTPUTS, 2 * NEAR)
+
+
+def carry_on(made: Fit, rows: DataFrame) -> Network:
+    """The network fitted on to all windows of rows (codes), each once. Every task moves a copy; what the copies have moved is
+    averaged, each input's row and each class by how many windows of a task had it. The same tasks give the same network."""
+    held = rows.sparkSession.sparkContext.broadcast((made.network, made.sums, made.rate))
+
+    def run(batches):
+        network, sums, rate = held.value
+        copy = lambda x: x.copy()
+        own = Fit(Network(copy(network.embed), copy(network.bias), copy(network.to_class), copy(network.to_word), network.class_of, network.place), [x.copy() for x in sums], rate)
+        inputs, outputs = np.zeros((4, OUTPUTS + 1)), np.zeros(CLASSES)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                p = np.frombuffer(x, np.uint16).astype(np.int64)
+                real = np.flatnonzero(p != OUTPUTS)
+                for a in range(0, len(real), FULL_BATCH):
+                    at = real[a : a + FULL_BATCH]
+                    around, target = [p[at + k] for k in (-2, -1, 1, 2)], p[at]
+                    own.step(around, target)
+                    for k in range(4):
+                        inputs[k] += np.bincount(around[k], minlength=OUTPUTS + 1)
+                    outputs += np.bincount(network.class_of[target], minlength=CLASSES)
+        if outputs.any():
+            new, old = own.weights(), [network.embed, network.bias, network.to_class, network.to_word]
+            moved = [(x.astype(np.float64) - y) * w for x, y, w in zip(new, old, (inputs[:, :, None], outputs.sum(), outputs.sum(), outputs[:, None, None]), strict=True)]
+            yield _row(int(TaskContext.get().partitionId()), np.concatenate([*[m.ravel() for m in moved], inputs.ravel(), outputs]))
+
+    def add(batches):
+        found = sorted(((i, x) for b in batches for i, x in zip(*[c.to_pylist() for c in b.columns], strict=True)), key=lambda r: r[0])
+        if found:
+            total = np.frombuffer(found[0][1]).copy()
+            for _, x in found[1:]:
+                total += np.frombuffer(x)
+            yield _row(found[0][0], total)
+
+    tasks = staged(rows.where("codes is not null").select("codes").mapInArrow(run, "id int, total binary"), "networks")
+    added = sorted(tasks.repartition(GROUPS, "id").mapInArrow(add, "id int, total binary").collect())  # at most GROUPS
+    if not added:
+        return made.network
+    total = sum(np.frombuffer(x.total) for x in added)
+    old = made.weights()
+    cut = np.cumsum([*[x.size for x in old], 4 * (OUTPUTS + 1)])
+    *moved, inputs, outputs = np.split(total, cut)
+    inputs = inputs.reshape(4, OUTPUTS + 1)
+    counts = (np.maximum(1, inputs)[:, :, None], outputs.sum(), outputs.sum(), np.maximum(1, outputs)[:, None, None])
+    new = [(x + m.reshape(x.shape) / w).astype(np.float32) for x, m, w in zip(old, moved, counts, strict=True)]
+    return Network(*new, made.network.class_of, made.network.place)
+
+
+def _row(i: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["id", "total"])
+
+
 def train(docs: DataFrame, text: str = "text", windows: int = WINDOWS) -> Model:
-    """Counts of words are over all documents. To the driver come the SHARED most frequent ones, totals by bucket and about
-    `windows` windows. A corpus without words gives a model that knows none."""
+    """Counts of words, neighbours and the network's fit are over all documents. To the driver come the SHARED most frequent
+    words, totals by bucket, counts of neighbours, at most GROUPS networks and about `windows` windows. A corpus without words gives a model that knows none."""
     prepare(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     rows = staged(corpus_rows(docs, text, min(1.0, 6 * windows / max(1, size))), "corpus")
+    whole = size <= 6 * windows  # all windows are among the rows
     words = rows.where("window is null").select("key", "bucket", "n")
     top = most_frequent(words, SHARED)
     keys, counts = top["key"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
@@ -321,11 +458,17 @@ def train(docs: DataFrame, text: str = "text", windows: int = WINDOWS) -> Model:
     mass -= np.bincount(own, counts[:WORDS], minlength=BUCKETS)
     types -= np.bincount(own, minlength=BUCKETS)
     vocabulary = Vocabulary(keys, counts, mass, types)
-    sample = sorted(bytes(r.window) for r in rows.where("window is not null").select("window").toLocalIterator())
-    coded = np.array([[vocabulary.look(w)[0] if w else OUTPUTS for w in x.split(b"\n")] for x in sample], np.int64).reshape(-1, 5)
+    first = sorted((bytes(r.window), r.n) for r in rows.where("window is not null").select("window", "n").toLocalIterator())
+    some = np.array([[vocabulary.look(w)[0] if w else OUTPUTS for w in x.split(b"\n")] for x, _ in first], np.int64).reshape(-1, 5)
+    some = np.repeat(some, [n for _, n in first], axis=0)
     vocabulary.known.clear()
     of_outputs = np.concatenate([counts[:WORDS], np.zeros(WORDS - len(own), np.int64), mass])
-    return Model(fit(coded, of_outputs), vocabulary, words)
+    if whole:
+        return Model(fit(some, of_outputs), vocabulary, words)
+    outputs = staged(coded(docs, text, vocabulary), "outputs")
+    network = carry_on(begin(some, of_outputs, seen=all_neighbours(outputs)), outputs)
+    drop_staged(outputs)
+    return Model(network, vocabulary, words)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str] | None = None, inside: bool = True) -> DataFrame:

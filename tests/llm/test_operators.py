@@ -847,6 +847,21 @@ def test_both_sides_are_read():
             assert p > 0.8
 
 
+def test_every_window_is_fitted(spark, monkeypatch):
+    """Words that the few windows to begin with don't hold are learnt from the whole corpus; neighbours are counted whole."""
+    rows = [(k, " ".join(f"left{c} mid{c} right{c} ." for c in [(7 * k + j) % 40 for j in range(20)])) for k in range(400)] + [(900, None), (901, " ")]
+    df = frame(spark, rows)
+    monkeypatch.setattr(language_model, "FULL_BATCH", 32)
+    models = [language_model.train(df, windows=20), language_model.train(df)]
+    few, whole = [language_model.score(df, m, inside=False).agg(F.sum("log_likelihood"), F.sum("n_tokens")).first() for m in models]
+    assert few[1] == whole[1] == 32000 and few[0] / few[1] > -2.5 and whole[0] / whole[1] > -2.5, (few, whole)  # by counts alone about -4.3
+    v = models[0].vocabulary
+    seen = language_model.all_neighbours(language_model.coded(df, "text", v))
+    out = [[v.look(w)[0] for w in language_model.tokens((t or "").encode())] for _, t in rows]
+    want = Counter((x[i + d], side + x[i]) for x in out for i in range(len(x)) for d, side in ((1, 0), (-1, language_model.NEAR)) if 0 <= i + d < len(x))
+    assert {(int(a), int(b)): int(seen[a, b]) for a, b in np.argwhere(seen)} == want
+
+
 def test_scores_prefer_text_like_the_corpus(spark):
     phrase = "the quick brown fox jumps over the lazy dog and runs away . "
     df = frame(spark, [(k, phrase * 5) for k in range(60)] + [(100, None), (101, " ")])
