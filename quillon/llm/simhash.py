@@ -28,8 +28,9 @@ RADIUS, SHINGLE = 3, 3
 SIMILARITY, COPY_SHINGLE, COPY_RADII, MISS = 0.8, 5, (3, 5, 7, 9, 12), 0.01
 #: Independent fingerprints of a text that the masks are dealt over, so that one unlucky fingerprint hides no pair.
 PRINTS = 4
-#: Cells that shingles are counted in to order them, and the most that are told apart as frequent. Pairs don't depend on them.
-CELL_BITS, OFTEN = 20, 50_000
+#: Cells that a task counts shingles in to order them, and the most that are told apart as frequent; least number of parts that
+#: prefixes are dealt by. Pairs don't depend on them.
+CELL_BITS, OFTEN, PARTS = 24, 50_000, 256
 #: Rows of one side of a comparison; a larger bucket is dealt out as pairs of such blocks.
 BLOCK = 1536
 #: Each byte's bits as eight byte-wide counters of one word, high bit first.
@@ -417,77 +418,185 @@ def copies(marked: DataFrame, text: str, keys: list[str], similarity: float, n:
 
 
 def alike(found: DataFrame, first: DataFrame, marked: DataFrame, text: str, keys: list[str], similarity: float, n: int) -> DataFrame:
-    """Pairs of found (src, dst) whose shingle sets are that similar."""
+    """Pairs of found (src, dst) whose shingle sets are that similar. Outlines of 256 counts rule out most of the others before whole
+    sets are put beside pairs."""
+    found = staged(possible(found, of_ends(found, first, marked, text, keys, "counts binary", lambda x: pa.array([outline(shingles(s, n)) for s in x], pa.binary())), similarity), "possible")
+    sets = lambda x: pa.array([shingles(s, n).view(np.int64) for s in x], pa.list_(pa.int64()))
+    of = of_ends(found, first, marked, text, keys, "words array<long>", sets)
+    both = found.join(of.select(F.col("node").alias("src"), F.col("words").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("words").alias("b")), "dst")
+    shared = F.size(F.array_intersect("a", "b"))
+    return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("src", "dst")
+
+
+def of_ends(found: DataFrame, first: DataFrame, marked: DataFrame, text: str, keys: list[str], column: str, make) -> DataFrame:
+    """node and a column that make gives for texts, for each node of found; staged."""
     ends = found.select(F.col("src").alias("node")).unionByName(found.select(F.col("dst").alias("node"))).distinct()
     chosen = first.join(ends, "node", "left_semi").select("node", *[F.col(f"of.`{k}`").alias(k) for k in keys])
-    held = marked.select(*keys, F.col(f"`{text}`").alias("held_text")).join(broadcast_below(chosen, 500_000), keys)
+    held = marked.select(*keys, F.col(f"`{text}`").alias("held_text")).join(broadcast_below(chosen, 500_000), keys).select("node", "held_text")
+    return staged(arrow_map(held, ["node"], column, lambda b: [make(texts(b.column(1)))], ("held_text",)).dropDuplicates(["node"]), "shingles")
 
-    def sets(b: pa.RecordBatch):
-        return [pa.array([shingles(x, n).view(np.int64) for x in texts(b.column(1))], pa.list_(pa.int64()))]
 
-    of = staged(arrow_map(held.select("node", "held_text"), ["node"], "words array<long>", sets, ("held_text",)).dropDuplicates(["node"]), "shingles")
-    both = found.join(of.select(F.col("node").alias("src"), F.col("words").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("words").alias("b")), "dst")
-    shared = F.size(F.array_intersect("a", "b"))
-    return both.where(shared >= similarity * (F.size("a") + F.size("b") - shared)).select("src", "dst")
+def outline(s: np.ndarray) -> bytes:
+    """Counts of hashes by their last byte, 255 at most."""
+    return np.minimum(255, np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256)).astype(np.uint8).tobytes()
 
 
-def frequent(marked: DataFrame, text: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Cells of hashes that hold many more shingles than others, ascending, and their counts over all texts. They only set
-    the order of shingles: whatever it is, the same pairs are found, but rare shingles first make small buckets."""
+def possible(found: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of found but for those whose outlines show that they share too little: a cell holds at most the lesser count of
+    common hashes. Cells that are full on both sides show nothing."""
 
     def run(batches):
-        seen = np.zeros(1 << CELL_BITS, np.int64)
         for b in batches:
+            x, y = (np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, 256) for c in b.columns[2:])
+            most, total = np.minimum(x, y).sum(axis=1, dtype=np.int64), x.sum(axis=1, dtype=np.int64) + y.sum(axis=1, dtype=np.int64)
+            good = (most >= similarity / (1 + similarity) * total - 1e-6) | ((x == 255) & (y == 255)).any(axis=1)
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in b.columns[:2]], names=["src", "dst"])
+
+    both = found.join(of.select(F.col("node").alias("src"), F.col("counts").alias("a")), "src").join(of.select(F.col("node").alias("dst"), F.col("counts").alias("b")), "dst")
+    return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
+
+
+def sizes(marked: DataFrame, text: str, n: int) -> DataFrame:
+    """node, size and same (a hash of the set) of each text; and as rows of their own (with cell) the cells of hashes that hold
+    many more shingles of a task than others, and their counts."""
+
+    def run(batches):
+        seen, total = np.zeros(1 << CELL_BITS, np.int32), 0
+        names = ["node", "size", "same", "cell", "n"]
+        for b in batches:
+            nodes, many, same = [], [], []
             for x in texts(b.column(0)):
-                np.add.at(seen, shingles(x, n) >> np.uint64(64 - CELL_BITS), 1)
-        hot = np.flatnonzero(seen > 8 + 8 * seen.mean())
-        yield pa.RecordBatch.from_arrays([pa.array(hot), pa.array(seen[hot])], names=["cell", "n"])
+                s = shingles(x, n)
+                np.add.at(seen, s >> np.uint64(64 - CELL_BITS), 1)
+                nodes.append(node_of(x))
+                many.append(len(s))
+                same.append(xxhash.xxh3_64_intdigest(s.tobytes()))
+            total += sum(many)
+            none = pa.nulls(len(nodes), pa.int64())
+            yield pa.RecordBatch.from_arrays([_long(nodes), pa.array(many, pa.int32()), _long(same), none, none], names=names)
+        hot = np.flatnonzero(seen > 2 + 6 * total / len(seen))
+        none = pa.nulls(len(hot), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), none, pa.array(hot), pa.array(seen[hot].astype(np.int64))], names=names)
+
+    return marked.select(F.col(f"`{text}`")).mapInArrow(run, "node long, size int, same long, cell long, n long")
+
+
+def node_of(text: bytes) -> int:
+    """Equal texts are one node, whatever their case and spacing."""
+    return xxhash.xxh3_64_intdigest(b" ".join(text.lower().split()))
 
-    cells = marked.select(F.col(f"`{text}`")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+
+def _long(x: list[int]) -> pa.Array:
+    return pa.array(np.array(x, np.uint64).view(np.int64))
+
+
+def frequent(seen: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Cells that sizes() counted, ascending, and their counts over all texts. They only set the order of shingles: whatever it
+    is, the same pairs are found, but rare shingles first make small buckets."""
+    cells = seen.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n"))
     most = cells.orderBy(F.col("n").desc(), "cell").limit(OFTEN).toPandas().sort_values("cell")
     return most["cell"].to_numpy(np.uint64), most["n"].to_numpy(np.int64)
 
 
+def in_prefix(s: int, similarity: float) -> int:
+    """How many shingles of a set of s are its prefix: sets that are that similar share one of it, in any common order."""
+    return s - math.ceil(similarity * s - 1e-6) + 1 if s else 0
+
+
+def shared_prefixes(marked: DataFrame, text: str, n: int, similarity: float, cells: np.ndarray, often: np.ndarray) -> DataFrame:
+    """bucket, node of the shingles in prefixes that more than one node has in its prefix. Most shingles are in one text alone:
+    they go through the exchange as 4 bytes and a node, packed by a part of the hash range, and no further."""
+    size = marked.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    parts = max(PARTS, -(-size // (32 << 20)))
+
+    def run(batches):
+        held, nodes, many = [], [], 0
+
+        def flush():
+            hashes = np.concatenate(held)
+            owner = np.repeat(np.array(nodes, np.uint64), [len(x) for x in held])
+            part = ((hashes >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            low, owner, cut = hashes[order].astype(np.uint32), owner[order], np.searchsorted(part[order], np.arange(parts + 1))
+            some = np.flatnonzero(cut[1:] > cut[:-1]).tolist()
+            blobs = [[x[cut[k] : cut[k + 1]].tobytes() for k in some] for x in (low, owner)]
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(x, pa.binary()) for x in blobs]], names=["part", "low", "node"])
+
+        for b in batches:
+            for x in texts(b.column(0)):
+                s = shingles(x, n)
+                if len(s):
+                    cell = s >> np.uint64(64 - CELL_BITS)
+                    at = np.searchsorted(cells, cell) % max(1, len(cells))
+                    weight = np.where(cells[at] == cell, often[at], 0) if len(cells) else np.zeros(len(s), np.int64)
+                    held.append(s[np.lexsort((s, weight))[: in_prefix(len(s), similarity)]])
+                    nodes.append(node_of(x))
+                    many += len(held[-1])
+                if many > 2_000_000:
+                    yield flush()
+                    held, nodes, many = [], [], 0
+        if many:
+            yield flush()
+
+    def meet(batches):
+        def flush(part, low, node):
+            low, node = (np.frombuffer(b"".join(x), t) for x, t in ((low, np.uint32), (node, np.int64)))
+            order = np.lexsort((node, low))
+            low, node = low[order], node[order]
+            new = np.concatenate(([True], (low[1:] != low[:-1]) | (node[1:] != node[:-1])))  # copies are one node
+            low, node = low[new], node[new]
+            same = low[1:] == low[:-1]
+            at = np.flatnonzero(np.concatenate(([False], same)) | np.concatenate((same, [False])))
+            bucket = (np.int64(part) << np.int64(32)) | low[at].astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(node[at])], names=["bucket", "node"])
+
+        now, low, node = None, [], []
+        for b in batches:
+            for k, x, y in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if k != now:
+                    if low:
+                        yield flush(now, low, node)
+                    now, low, node = k, [], []
+                low.append(x)
+                node.append(y)
+        if low:
+            yield flush(now, low, node)
+
+    packed = marked.select(F.col(f"`{text}`")).mapInArrow(run, "part int, low binary, node binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "bucket long, node long")
+
+
 def missed(close: DataFrame, first: DataFrame, marked: DataFrame, text: str, keys: list[str], similarity: float, n: int) -> DataFrame:
     """node, root of all texts that a chain of texts, each at least that similar to the next, connects; close: links known.
 
     Sets of s shingles that are that similar share one of the first s - ceil(similarity s) + 1 shingles in any common order.
-    Texts of different classes that share one, whose sizes and places of it allow the similarity, are checked."""
-    cells, often = frequent(marked, text, n)
-
-    def begin(b: pa.RecordBatch):
-        nodes, sizes, same, prefix = [], [], [], []
-        for x in texts(b.column(b.schema.names.index(text))):
-            s = shingles(x, n)
-            nodes.append(xxhash.xxh3_64_intdigest(b" ".join(x.lower().split())))
-            sizes.append(len(s))
-            same.append(xxhash.xxh3_64_intdigest(s.tobytes()))
-            cell = s >> np.uint64(64 - CELL_BITS)
-            at = np.searchsorted(cells, cell)
-            weight = np.where(cells[at % len(cells)] == cell, often[at % len(cells)], 0) if len(cells) else np.zeros(len(s), np.int64)
-            keep = len(s) - math.ceil(similarity * len(s) - 1e-6) + 1 if len(s) else 0
-            prefix.append(s[np.lexsort((s, weight))[:keep]].view(np.int64))
-        long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-        return [long(nodes), pa.array(sizes, pa.int32()), long(same), pa.array(prefix, pa.list_(pa.int64()))]
-
-    sets = staged(arrow_map(marked, [], "node long, size int, same long, prefix array<long>", begin, (text,)).dropDuplicates(["node"]), "prefixes")
+    Texts of different classes that share as many of these as their sizes ask for are checked."""
+    seen = staged(sizes(marked, text, n), "sizes")
+    cells, often = frequent(seen)
+    sets = seen.where("node is not null").select("node", "size", "same").distinct()
     equal = sets.groupBy("same").agg(F.min("node").alias("dst"), F.count("*").alias("k")).where("k > 1").join(sets.select("same", F.col("node").alias("src")), "same")
     roots = staged(connected(close.unionByName(equal.where("src <> dst").select("src", "dst"))), "classes")
-    own = sets.select("node", "size", "prefix").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    keyed = own.select("node", "root", "size", F.posexplode("prefix").alias("place", "bucket"))
-    pairs = dealt(keyed, ["node", "root", "size", "place"]).mapInArrow(lambda it: prefix_pairs(it, similarity), "src long, dst long")
-    found = staged(pairs.distinct(), "missed")
+    own = sets.select("node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    shared = staged(shared_prefixes(marked, text, n, similarity, cells, often), "shared")
+    keyed = staged(shared.join(own, "node").select("bucket", "node", "root", "size", F.lit(0).alias("place")), "postings")
+    drop_staged(shared, seen)
+    pairs = dealt(keyed, ["node", "root", "size", "place"]).mapInArrow(lambda it: prefix_pairs(it, similarity, counted=True), "src long, dst long, n long, need long")
+    found = staged(pairs.groupBy("src", "dst").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("src", "dst"), "missed")
+    drop_staged(keyed)
     more = staged(alike(found, first, marked, text, keys, similarity, n), "more")
-    drop_staged(sets, found)
+    drop_staged(found)
     if not more.limit(1).count():
         return roots
     return connected(roots.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")).unionByName(more))
 
 
-def prefix_pairs(batches, similarity: float, rows: int = 50_000):
+def prefix_pairs(batches, similarity: float, rows: int = 50_000, counted: bool = False):
     """Pairs (src > dst) of nodes of different roots that share a bucket and may be that similar by size and place (columns
     bucket, node, root, size, place; sorted by bucket): lane i is compared with lane i + s for each shift s, over all buckets
-    at once. A pair is found at least in the bucket of its first common shingle."""
+    at once. A pair is found at least in the bucket of its first common shingle.
+
+    counted: n, in how many buckets (of block pairs) it was found here, and need, in how many it must be to be that similar:
+    of its common shingles at most one prefix's remainder, the greater one, lies in no common bucket. Places are all 0 then."""
     for bucket, *rest in whole_buckets(batches, rows):
         if not len(bucket):
             continue
@@ -497,7 +606,7 @@ def prefix_pairs(batches, similarity: float, rows: int = 50_000):
         group, many = inverse[order], count[inverse][order]
         node, root, size, place = (x[order] for x in rest)
         size, left = size.astype(np.int64), size.astype(np.int64) - place
-        a, b, held = [], [], 0
+        a, b, need, held = [], [], [], 0
         for s in range(1, int(many[0]) if len(many) else 0):
             m = int(np.searchsorted(-many, -s, side="left"))  # rows in buckets of more than s
             if m <= s:
@@ -508,18 +617,28 @@ def prefix_pairs(batches, similarity: float, rows: int = 50_000):
             good = (low >= similarity * high - 1e-6) & (np.minimum(left[i], left[j]) >= similarity / (1 + similarity) * (low + high) - 1e-6)
             a.append(node[i[good]])
             b.append(node[j[good]])
+            low, high = low[good], high[good]
+            need.append(np.ceil(similarity / (1 + similarity) * (low + high) - 1e-6).astype(np.int64) - np.ceil(similarity * high - 1e-6).astype(np.int64) + 1)
             held += int(good.sum())
             if held > 200_000:
-                yield _pairs(a, b)
-                a, b, held = [], [], 0
+                yield _pairs(a, b, need if counted else None)
+                a, b, need, held = [], [], [], 0
         if held:
-            yield _pairs(a, b)
+            yield _pairs(a, b, need if counted else None)
 
 
-def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+def _pairs(a: list[np.ndarray], b: list[np.ndarray], need: list[np.ndarray] | None = None) -> pa.RecordBatch:
+    """Each pair once; with need: its count and need."""
     x, y = np.concatenate(a), np.concatenate(b)
-    both = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["src", "dst"])
+    src, dst = np.maximum(x, y), np.minimum(x, y)
+    order = np.lexsort((dst, src))
+    src, dst = src[order], dst[order]
+    at = np.flatnonzero(np.concatenate(([True], (src[1:] != src[:-1]) | (dst[1:] != dst[:-1]))))
+    columns, names = [src[at], dst[at]], ["src", "dst"]
+    if need is not None:
+        columns += [np.diff(np.append(at, len(src))), np.concatenate(need)[order][at]]
+        names += ["n", "need"]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
 def deduplicate(df: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, n: int = COPY_SHINGLE, radii: tuple[int, ...] = COPY_RADII) -> DataFrame:

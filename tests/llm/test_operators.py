@@ -214,6 +214,26 @@ def test_prefix_pairs_over_blocks(spark):
     assert {tuple(x) for x in pairs.collect()} == want
 
 
+def test_passages_that_many_texts_share_make_no_candidates(spark):
+    """Texts that share a third of their shingles reach no exact comparison: counts in prefixes and outlines tell them apart,
+    whatever the order of shingles, and similar pairs pass both."""
+    shared = base_words(60, 1)
+    rows = [(k, " ".join([*base_words(60, 100 + k), *shared, *base_words(60, 5000 + k)])) for k in range(120)]
+    rows += [(500 + k, rows[k][1] + " more") for k in range(20)]
+    df = frame(spark, rows).select("doc_id", "text")
+    nodes = {int(np.uint64(simhash.node_of(t.encode())).astype(np.int64)): i for i, t in rows}
+    for often in ((np.array([], np.uint64), np.array([], np.int64)), simhash.frequent(simhash.sizes(df, "text", 5).cache())):
+        got = simhash.shared_prefixes(df, "text", 5, 0.8, *often).withColumns({"root": F.col("node"), "size": F.lit(len(rows[0][1].split()) - 4), "place": F.lit(0)})
+        met = simhash.dealt(got, ["node", "root", "size", "place"]).mapInArrow(lambda it: simhash.prefix_pairs(it, 0.8, counted=True), "src long, dst long, n long, need long")
+        met = met.groupBy("src", "dst").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").collect()
+        assert {tuple(sorted((nodes[x.src], nodes[x.dst]))) for x in met} == {(k, 500 + k) for k in range(20)}
+    sets = {i: simhash.shingles(t.encode()) for i, t in rows}
+    of = spark.createDataFrame([(i, bytearray(simhash.outline(s))) for i, s in sets.items()], "node long, counts binary")
+    pairs = spark.createDataFrame([(x, y) for x in sets for y in sets if x > y], "src long, dst long")
+    left = {tuple(x) for x in simhash.possible(pairs, of, 0.8).collect()}
+    assert {(500 + k, k) for k in range(20)} <= left and len(left) < 40
+
+
 def test_masks_use_all_bits_and_grow_with_the_rows():
     few, many = simhash.tables(1000, 0.88), simhash.tables(10**9, 0.88)
     assert {m.bit_count() for m in few} == {6} and {m.bit_count() for m in many} == {26} and len(many) > len(few)
