@@ -3,7 +3,7 @@
 A window network (position-wise embeddings of the four neighbours, a tanh layer, a softmax) is trained in numpy. Its softmax
 over the vocabulary has two exact levels: over classes of words that stand in like contexts, and over the words of the class.
 The vocabulary is the most frequent words, and buckets by the end of the word for all others; which word of a bucket it is
-comes from counts over all whole texts. The network is fitted to every window of every text: begun on the driver, then carried on
+comes from counts over all whole texts. The network is fitted to every window of every text: begun in one task, then carried on
 where the texts lie, each task by itself, and averaged. A document is scored under the rest of the corpus: its own words are taken out of
 those counts, so a document is expected where its rare words occur elsewhere. The counts of the most frequent words go with
 the network; those of all others stay in a table that is joined, however many there are.
@@ -11,6 +11,7 @@ the network; those of all others stay in a table that is joined, however many th
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -188,11 +189,11 @@ class Fit:
             e[rows] -= rate * grad / np.sqrt(s)
 
 
-def begin(windows: np.ndarray, counts: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 11, seen: np.ndarray | None = None) -> Fit:
+def begin(windows: np.ndarray, counts: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 11, of: tuple[np.ndarray, np.ndarray] | None = None) -> Fit:
     """A network fitted to windows (n x 5 outputs, edges OUTPUTS). counts: of each output over all texts; they set the biases
-    that the fit begins with. seen: neighbours over all texts (else those of windows). The same input gives the same network."""
+    that the fit begins with. of: class and place of each output (else by the neighbours in windows). The same input gives the same network."""
     rng = np.random.default_rng(seed)
-    class_of, place = classes(neighbours(windows) if seen is None else seen)
+    class_of, place = classes(neighbours(windows)) if of is None else of
     mass = counts.astype(np.float64) + 1
     by_class = np.bincount(class_of, mass, minlength=CLASSES)
     embed = (rng.standard_normal((4, OUTPUTS + 1, HIDDEN)) * 0.1).astype(np.float32)
@@ -369,8 +370,8 @@ def coded(docs: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
     return docs.select(F.col(f"`{text}`")).mapInArrow(run, "codes binary, group int, cells binary, n binary")
 
 
-def all_neighbours(rows: DataFrame) -> np.ndarray:
-    """neighbours() of all texts, added up by group where the rows lie."""
+def added_neighbours(rows: DataFrame) -> DataFrame:
+    """neighbours() of all texts, added up by group where the rows lie: group and its counts (32-bit floats)."""
 
     def run(batches):
         of: dict[int, np.ndarray] = {}
@@ -382,13 +383,57 @@ def all_neighbours(rows: DataFrame) -> np.ndarray:
         for g, total in of.items():
             yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["group", "n"])
 
-    made = rows.where("group is not null").select("group", "cells", "n").repartition(GROUPS, "group").mapInArrow(run, "group int, n binary")
+    return rows.where("group is not null").select("group", "cells", "n").repartition(GROUPS, "group").mapInArrow(run, "group int, n binary")
+
+
+def all_neighbours(rows: DataFrame) -> np.ndarray:
+    """neighbours() of all texts."""
+    return _whole((r.group, r.n) for r in added_neighbours(rows).toLocalIterator())
+
+
+def _whole(groups) -> np.ndarray:
     seen = np.zeros((GROUPS, OUTPUTS * 2 * NEAR // GROUPS), np.float32)
-    for r in made.toLocalIterator():
-        seen[r.group] = np.frombuffer(r.n, np.float32)
+    for g, n in groups:
+        seen[g] = np.frombuffer(n, np.float32)
     return seen.reshape(OUTPUTS, 2 * NEAR)
 
 
+def all_classes(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """classes() by the neighbours in all texts, told in one task from GROUPS rows; only the classes come to the driver."""
+
+    def run(batches):
+        of = classes(_whole((g, n) for b in batches for g, n in zip(*[c.to_pylist() for c in b.columns], strict=True)))
+        yield _row(0, np.concatenate(of))
+
+    found = added_neighbours(rows).repartition(1).mapInArrow(run, "id int, total binary").collect()
+    if not found:
+        return classes(_whole([]))
+    class_of, place = np.split(np.frombuffer(found[0].total, np.int64), 2)
+    return class_of, place
+
+
+def begin_there(windows: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, of: tuple[np.ndarray, np.ndarray] | None) -> Fit:
+    """begin() on windows (window: five words as lines, n), in one task: the driver gets the network and its sums alone."""
+    held = windows.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by OUTPUTS and SHARED
+
+    def run(batches):
+        look = held.value.look
+        first = sorted((w, n) for b in batches for w, n in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        some = np.array([[look(w)[0] if w else OUTPUTS for w in x.split(b"\n")] for x, _ in first], np.int64).reshape(-1, 5)
+        made = begin(np.repeat(some, [n for _, n in first], axis=0), counts, of=of)
+        weights = np.concatenate([x.ravel() for x in [*made.weights(), *made.sums]])
+        yield pa.RecordBatch.from_arrays([*[pa.array([x.tobytes()], pa.binary()) for x in (weights, made.network.class_of, made.network.place)]], names=["weights", "class_of", "place"])
+
+    found = windows.select("window", "n").repartition(1).mapInArrow(run, "weights binary, class_of binary, place binary").collect()
+    made = begin(np.zeros((0, 5), np.int64), counts, of=of)
+    if not found:
+        return made
+    shapes = [x.shape for x in [*made.weights(), *made.sums]]
+    cut = np.cumsum([math.prod(x) for x in shapes])[:-1]
+    own = [x.reshape(s).copy() for x, s in zip(np.split(np.frombuffer(found[0].weights, np.float32), cut), shapes, strict=True)]
+    return Fit(Network(*own[:4], *[np.frombuffer(x, np.int64) for x in (found[0].class_of, found[0].place)]), own[4:], made.rate)
+
+
 def carry_on(made: Fit, rows: DataFrame) -> Network:
     """The network fitted on to all windows of rows (codes), each once. Every task moves a copy; what the copies have moved is
     averaged, each input's row and each class by how many windows of a task had it. The same tasks give the same network."""
@@ -423,17 +468,26 @@ def carry_on(made: Fit, rows: DataFrame) -> Network:
                 total += np.frombuffer(x)
             yield _row(found[0][0], total)
 
+    def finish(batches):
+        total = next(iter(add(batches)), None)
+        if total is None:
+            return
+        total, old = np.frombuffer(total.column(1)[0].as_py()), Fit(*held.value).weights()
+        *moved, inputs, outputs = np.split(total, np.cumsum([*[x.size for x in old], 4 * (OUTPUTS + 1)]))
+        inputs = inputs.reshape(4, OUTPUTS + 1)
+        counts = (np.maximum(1, inputs)[:, :, None], outputs.sum(), outputs.sum(), np.maximum(1, outputs)[:, None, None])
+        new = [(x + m.reshape(x.shape) / w).astype(np.float32) for x, m, w in zip(old, moved, counts, strict=True)]
+        yield _row(0, np.concatenate([x.ravel() for x in new]))
+
     tasks = staged(rows.where("codes is not null").select("codes").mapInArrow(run, "id int, total binary"), "networks")
-    added = sorted(tasks.repartition(GROUPS, "id").mapInArrow(add, "id int, total binary").collect())  # at most GROUPS
-    if not added:
+    added = staged(tasks.repartition(GROUPS, "id").mapInArrow(add, "id int, total binary"), "added-networks")
+    found = added.repartition(1).mapInArrow(finish, "id int, total binary").collect()  # of at most GROUPS rows one
+    drop_staged(tasks, added)
+    if not found:
         return made.network
-    total = sum(np.frombuffer(x.total) for x in added)
     old = made.weights()
-    cut = np.cumsum([*[x.size for x in old], 4 * (OUTPUTS + 1)])
-    *moved, inputs, outputs = np.split(total, cut)
-    inputs = inputs.reshape(4, OUTPUTS + 1)
-    counts = (np.maximum(1, inputs)[:, :, None], outputs.sum(), outputs.sum(), np.maximum(1, outputs)[:, None, None])
-    new = [(x + m.reshape(x.shape) / w).astype(np.float32) for x, m, w in zip(old, moved, counts, strict=True)]
+    cut = np.cumsum([x.size for x in old])[:-1]
+    new = [x.reshape(y.shape).copy() for x, y in zip(np.split(np.frombuffer(found[0].total, np.float32), cut), old, strict=True)]
     return Network(*new, made.network.class_of, made.network.place)
 
 
@@ -443,7 +497,7 @@ def _row(i: int, total: np.ndarray) -> pa.RecordBatch:
 
 def train(docs: DataFrame, text: str = "text", windows: int = WINDOWS) -> Model:
     """Counts of words, neighbours and the network's fit are over all documents. To the driver come the SHARED most frequent
-    words, totals by bucket, counts of neighbours, at most GROUPS networks and about `windows` windows. A corpus without words gives a model that knows none."""
+    words, totals by bucket, classes and two networks; about `windows` windows meet in one task. A corpus without words gives a model that knows none."""
     prepare(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
     rows = staged(corpus_rows(docs, text, min(1.0, 6 * windows / max(1, size))), "corpus")
@@ -458,15 +512,12 @@ def train(docs: DataFrame, text: str = "text", windows: int = WINDOWS) -> Model:
     mass -= np.bincount(own, counts[:WORDS], minlength=BUCKETS)
     types -= np.bincount(own, minlength=BUCKETS)
     vocabulary = Vocabulary(keys, counts, mass, types)
-    first = sorted((bytes(r.window), r.n) for r in rows.where("window is not null").select("window", "n").toLocalIterator())
-    some = np.array([[vocabulary.look(w)[0] if w else OUTPUTS for w in x.split(b"\n")] for x, _ in first], np.int64).reshape(-1, 5)
-    some = np.repeat(some, [n for _, n in first], axis=0)
-    vocabulary.known.clear()
     of_outputs = np.concatenate([counts[:WORDS], np.zeros(WORDS - len(own), np.int64), mass])
+    some = rows.where("window is not null").select("window", "n")
     if whole:
-        return Model(fit(some, of_outputs), vocabulary, words)
+        return Model(begin_there(some, vocabulary, of_outputs, None).network, vocabulary, words)
     outputs = staged(coded(docs, text, vocabulary), "outputs")
-    network = carry_on(begin(some, of_outputs, seen=all_neighbours(outputs)), outputs)
+    network = carry_on(begin_there(some, vocabulary, of_outputs, all_classes(outputs)), outputs)
     drop_staged(outputs)
     return Model(network, vocabulary, words)
 

@@ -882,6 +882,27 @@ def test_every_window_is_fitted(spark, monkeypatch):
     assert {(int(a), int(b)): int(seen[a, b]) for a, b in np.argwhere(seen)} == want
 
 
+def test_fit_sends_the_driver_networks_alone(spark, monkeypatch):
+    """No windows and no counts of neighbours, and one network for all tasks."""
+    df = frame(spark, [(k, " ".join(f"left{c} mid{c} right{c} ." for c in [(7 * k + j) % 40 for j in range(20)])) for k in range(400)]).repartition(4)
+    kind, sent = type(df), []
+
+    def watched(get):
+        def run(self, *args, **more):
+            got = list(get(self, *args, **more))
+            sent.extend(len(x) for r in got for x in r if isinstance(x, (bytes, bytearray)))
+            return got
+
+        return run
+
+    for name in ("collect", "toLocalIterator"):
+        monkeypatch.setattr(kind, name, watched(getattr(kind, name)))
+    model = language_model.train(df, windows=20)
+    net = model.network
+    size = sum(x.nbytes for x in (net.embed, net.bias, net.to_class, net.to_word))
+    assert size < max(sent) and sum(sent) < 3.2 * size and len(sent) < 8, sent  # the begun network with its sums, the last one
+
+
 def test_scores_prefer_text_like_the_corpus(spark):
     phrase = "the quick brown fox jumps over the lazy dog and runs away . "
     df = frame(spark, [(k, phrase * 5) for k in range(60)] + [(100, None), (101, " ")])
