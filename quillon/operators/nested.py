@@ -68,22 +68,31 @@ def fingerprint(columns: list[str]) -> Column:
 
 
 def _ascii(text: Column) -> Column:
-    r"""Characters past 7F of JSON text as \\uXXXX, those past FFFF as two."""
+    r"""Characters from 7F on of JSON text as \\uXXXX, those past FFFF as two."""
     def one(c):
         code = F.ascii(c)
         pair = F.format_string("\\u%04x\\u%04x", F.lit(0xD800) + F.shiftright(code - 0x10000, 10), F.lit(0xDC00) + (code % 0x400))
-        return F.when(code < 128, c).when(code < 0x10000, F.format_string("\\u%04x", code)).otherwise(pair)
+        return F.when(code < 127, c).when(code < 0x10000, F.format_string("\\u%04x", code)).otherwise(pair)
 
-    return F.when(text.rlike("[^\\x00-\\x7F]"), F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)(.)"), 1), one), "")).otherwise(text)
+    runs = F.regexp_extract_all(text, F.lit("(?s)[\\x00-\\x7E]+|."), 0)
+    return F.when(text.rlike("[^\\x00-\\x7E]"), F.array_join(F.transform(runs, one), "")).otherwise(text)
+
+
+def _lower(text: Column) -> Column:
+    r"""JSON text whose \\u00XX of control characters have small letters, as the json module writes them."""
+    out = text
+    for code in ("0B", "0E", "0F", *[f"1{x}" for x in "ABCDEF"]):
+        out = F.regexp_replace(out, r"(?<!\\)((?:\\\\)*+)\\u00" + code, r"$1\\u00" + code.lower())
+    return F.when(text.rlike(r"\\u00[01][A-F]"), out).otherwise(text)
 
 
 def canonical(columns: dict[str, Column], spaced: bool = False, ascii_only: bool = True) -> Column:
     """A JSON object of the columns by sorted name, nulls included. spaced: ", " and ": " between its parts; ascii_only:
-    characters past 7F escaped. Text, whole numbers and booleans have one form; doubles are written as Spark does."""
+    characters from 7F on escaped. Text, whole numbers and booleans have one form; doubles are written as Spark does."""
     comma, colon = (", ", ": ") if spaced else (",", ":")
     parts = []
     for k in sorted(columns):
-        value = F.to_json(F.array(columns[k]), {"ignoreNullFields": "false"})
+        value = _lower(F.to_json(F.array(columns[k]), {"ignoreNullFields": "false"}))
         parts += [F.lit(("" if not parts else comma) + json.dumps(k, ensure_ascii=ascii_only) + colon), F.substring(value, 2, 1 << 30).substr(F.lit(1), F.length(value) - 2)]
     text = F.concat(F.lit("{"), *parts, F.lit("}"))
     return _ascii(text) if ascii_only else text

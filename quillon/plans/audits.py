@@ -89,13 +89,23 @@ def record_failures(spark, sf_dir):
 
 # --- hashes ----------------------------------------------------------------------------------------------------------
 
-_JSON = """'"doc_id"{s}' || doc_id || '{c}"lang"{s}' || coalesce(to_json(lang)::varchar, 'null') || '{c}"text"{s}' || coalesce(to_json(text)::varchar, 'null')"""
+#: A string as JSON: {plain} are the characters that stand as they are.
+_QUOTED = """'"' || coalesce(array_to_string([case when regexp_full_match(c, '(?s)[{plain}]+') then c when c = '"' then '\\"' when c = '\\' then '\\\\' when c = chr(8) then '\\b' when c = chr(9) then '\\t' when c = chr(10) then '\\n' when c = chr(12) then '\\f' when c = chr(13) then '\\r' when unicode(c) < 65536 then '\\u' || printf('%04x', unicode(c)) else '\\u' || printf('%04x', 55296 + (unicode(c) - 65536) // 1024) || '\\u' || printf('%04x', 56320 + unicode(c) % 1024) end for c in regexp_extract_all({x}, '(?s)[{plain}]+|.')], ''), '') || '"'"""
+_ASCII, _ANY = " !#-\\[\\]-~", " !#-\\[\\]-\\x{10FFFF}"
+_JSON = """'"doc_id"{s}' || doc_id || '{c}"lang"{s}' || coalesce({lang}, 'null') || '{c}"text"{s}' || coalesce({text}, 'null')"""
 
 
-@query("nested_canonical_hash", "with d as (select doc_id, lang, nullif(left(text, 40), '') as text from documents where regexp_full_match(coalesce(left(text, 40), ''), '[\\x20-\\x7E]*')), j as (select doc_id, '{' || " + _JSON.format(c=",", s=":") + " || '}' as tight, '{' || " + _JSON.format(c=", ", s=": ") + " || '}' as wide from d) select doc_id, sha256(tight) as receipt, sha256(wide) as record, sha256(tight) as stable from j")
+def _hash_sql() -> str:
+    quoted = ", ".join(f"case when {x} is not null then {_QUOTED.replace('{x}', x).replace('{plain}', plain)} end as {x}_{name}" for x in ("lang", "text") for name, plain in (("ascii", _ASCII), ("any", _ANY)))
+    forms = [("tight", "ascii", ",", ":"), ("wide", "ascii", ", ", ": "), ("stable", "any", ",", ":")]
+    made = ", ".join(f"sha256('{{' || {_JSON.format(c=c, s=s, lang=f'lang_{n}', text=f'text_{n}')} || '}}') as {x}" for x, n, c, s in forms)
+    return f"with d as (select doc_id, lang, nullif(text, '') as text from documents), q as (select doc_id, {quoted} from d), h as (select doc_id, {made} from q) select doc_id, tight as receipt, wide as record, stable from h"
+
+
+@query("nested_canonical_hash", _hash_sql())
 def canonical_hash(spark, sf_dir):
-    """The three written forms of one object; on ASCII texts two of them agree (others are tested against the json module)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.nullif(F.left("text", F.lit(40)), F.lit("")).alias("text")).where(F.coalesce("text", F.lit("")).rlike("^[\\x20-\\x7E]*\\z"))  # $ would let a line break at the end pass
+    """The three written forms of one object, of whole texts in any characters; on ASCII texts two of them agree."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.nullif("text", F.lit("")).alias("text"))
     c = {x: F.col(x) for x in ("doc_id", "lang", "text")}
     return d.select("doc_id", nested.content_hash(c).alias("receipt"), nested.content_hash(c, spaced=True).alias("record"), nested.content_hash(c, ascii_only=False).alias("stable"))
 

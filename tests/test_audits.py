@@ -81,6 +81,20 @@ def test_hashed_texts_end_where_the_class_ends(spark, tmp_path):
     assert [r[0] for r in got] == [2, 5, 6] and got == sorted(con.execute(ORACLES["nested_canonical_hash"]).fetchall())
 
 
+def test_whole_texts_of_any_characters_are_hashed(spark, tmp_path):
+    """Texts that differ after their 40th character, or in characters past ASCII, have hashes of their own, those of the json module."""
+    texts = ["a" * 50 + "b", "a" * 50 + "c", "Grüße\n" * 9, "人 😀\u2028\x7f\x80", "".join(map(chr, range(32))) + '"/\\', "\\u000B \\\\\x0b\x0b\x1f\\", None, "", " ", "\U0010ffff\ue000"]
+    rows = [(k, (None, "en", "é\"")[k % 3], x) for k, x in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in audits.canonical_hash(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    form = lambda o, a, c, s: hashlib.sha256(json.dumps(o, sort_keys=True, ensure_ascii=a, separators=(c, s)).encode()).hexdigest()
+    objects = [(k, {"doc_id": k, "lang": lang, "text": x or None}) for k, lang, x in rows]
+    want = [(k, form(o, True, ",", ":"), form(o, True, ", ", ": "), form(o, False, ",", ":")) for k, o in objects]
+    assert got == want and sorted(con.execute(ORACLES["nested_canonical_hash"]).fetchall()) == want
+
+
 def test_extremes_that_tie_are_the_least_key(spark, tmp_path):
     nan = float("nan")
     rows = [(1, "a", 5.0), (2, "a", 9.0), (3, "a", 9.0), (4, "a", -1.0), (5, "a", 1.0), (None, "a", 99.0), (None, "a", 0.0), (6, "b", None), (7, "c", -0.0), (8, "c", 0.0), (9, "d", nan), (10, "d", nan), (11, "d", 3.0), (12, None, 2.0), (13, None, 2.0)]
