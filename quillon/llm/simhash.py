@@ -31,6 +31,8 @@ PRINTS = 4
 #: Cells that a task counts shingles in to order them, and the most that are told apart as frequent; least number of parts that
 #: prefixes are dealt by. Pairs don't depend on them.
 CELL_BITS, OFTEN, PARTS = 24, 50_000, 256
+#: Rows of a bucket of prefixes from which on its pairs are told apart by sketches of so many bits; below, they are few a row.
+WIDE, SKETCH = 16, 2048
 #: Rows of one side of a comparison; a larger bucket is dealt out as pairs of such blocks.
 BLOCK = 1536
 #: Each byte's bits as eight byte-wide counters of one word, high bit first.
@@ -456,29 +458,47 @@ def possible(found: DataFrame, of: DataFrame, similarity: float) -> DataFrame:
     return both.select("src", "dst", "a", "b").mapInArrow(run, "src long, dst long")
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the counts of hashes by their last bits. Where sketches differ in a bit so do the sets in a hash: sets differ
+    by at least as many hashes as their sketches by bits."""
+    return np.packbits(np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH).astype(np.uint8) & 1).tobytes()
+
+
+def _apart(similarity: float) -> float:
+    """Sets of a and b hashes that are that similar differ by at most this share of a + b."""
+    return (1 - similarity) / (1 + similarity)
+
+
+def _words(sketches: np.ndarray) -> np.ndarray:
+    """A row of words for each sketch, zeros for none."""
+    none = bytes(SKETCH // 8)
+    return np.frombuffer(b"".join([x or none for x in sketches.tolist()]), np.uint64).reshape(-1, SKETCH // 64)
+
+
 def sizes(marked: DataFrame, text: str, n: int) -> DataFrame:
-    """node, size and same (a hash of the set) of each text; and as rows of their own (with cell) the cells of hashes that hold
+    """node, size, same (a hash of the set) and sketch of each text; and as rows of their own (with cell) the cells of hashes that hold
     many more shingles of a task than others, and their counts."""
 
     def run(batches):
         seen, total = np.zeros(1 << CELL_BITS, np.int32), 0
-        names = ["node", "size", "same", "cell", "n"]
+        names = ["node", "size", "same", "sketch", "cell", "n"]
         for b in batches:
-            nodes, many, same = [], [], []
+            nodes, many, same, drawn = [], [], [], []
             for x in texts(b.column(0)):
                 s = shingles(x, n)
                 np.add.at(seen, s >> np.uint64(64 - CELL_BITS), 1)
                 nodes.append(node_of(x))
                 many.append(len(s))
                 same.append(xxhash.xxh3_64_intdigest(s.tobytes()))
+                drawn.append(sketch(s))
             total += sum(many)
             none = pa.nulls(len(nodes), pa.int64())
-            yield pa.RecordBatch.from_arrays([_long(nodes), pa.array(many, pa.int32()), _long(same), none, none], names=names)
+            yield pa.RecordBatch.from_arrays([_long(nodes), pa.array(many, pa.int32()), _long(same), pa.array(drawn, pa.binary()), none, none], names=names)
         hot = np.flatnonzero(seen > 2 + 6 * total / len(seen))
         none = pa.nulls(len(hot), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), none, pa.array(hot), pa.array(seen[hot].astype(np.int64))], names=names)
+        yield pa.RecordBatch.from_arrays([none, none.cast(pa.int32()), none, pa.nulls(len(hot), pa.binary()), pa.array(hot), pa.array(seen[hot].astype(np.int64))], names=names)
 
-    return marked.select(F.col(f"`{text}`")).mapInArrow(run, "node long, size int, same long, cell long, n long")
+    return marked.select(F.col(f"`{text}`")).mapInArrow(run, "node long, size int, same long, sketch binary, cell long, n long")
 
 
 def node_of(text: bytes) -> int:
@@ -570,29 +590,83 @@ def missed(close: DataFrame, first: DataFrame, marked: DataFrame, text: str, key
     """node, root of all texts that a chain of texts, each at least that similar to the next, connects; close: links known.
 
     Sets of s shingles that are that similar share one of the first s - ceil(similarity s) + 1 shingles in any common order.
-    Texts of different classes that share as many of these as their sizes ask for are checked."""
+    Texts of different classes that share as many of these as their sizes ask for are checked. Rows of wide buckets carry
+    sketches: the links of a forest of the closest are checked first, so that a large group is one class when pairs are made, and then
+    only pairs whose sketches don't show that they differ too much."""
     seen = staged(sizes(marked, text, n), "sizes")
     cells, often = frequent(seen)
     sets = seen.where("node is not null").select("node", "size", "same").distinct()
     equal = sets.groupBy("same").agg(F.min("node").alias("dst"), F.count("*").alias("k")).where("k > 1").join(sets.select("same", F.col("node").alias("src")), "same")
     roots = staged(connected(close.unionByName(equal.where("src <> dst").select("src", "dst"))), "classes")
-    own = sets.select("node", "size").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     shared = staged(shared_prefixes(marked, text, n, similarity, cells, often), "shared")
-    keyed = staged(shared.join(own, "node").select("bucket", "node", "root", "size", F.lit(0).alias("place")), "postings")
+    buckets = staged(shared.groupBy("bucket").count().where(F.col("count") > WIDE).select("bucket"), "wide-buckets")
+    buckets = broadcast_below(buckets, 200_000)
+    wide = shared.join(buckets, "bucket")
+    drawn = seen.where("node is not null").join(wide.select("node").distinct(), "node", "left_semi").select("node", "size", "sketch").dropDuplicates(["node"])
+    wide = staged(wide.join(drawn, "node").select("bucket", "node", "size", F.lit(0).alias("place"), "sketch"), "wide")
+    rest = staged(shared.join(buckets, "bucket", "left_anti").join(sets.select("node", "size"), "node").select("bucket", "node", "size", F.lit(0).alias("place"), F.lit(None).cast("binary").alias("sketch")), "postings")
     drop_staged(shared, seen)
-    pairs = dealt(keyed, ["node", "root", "size", "place"]).mapInArrow(lambda it: prefix_pairs(it, similarity, counted=True), "src long, dst long, n long, need long")
+    columns = ["node", "root", "size", "place", "sketch"]
+    rooted = lambda x: x.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    forest = staged(dealt(rooted(wide), columns).mapInArrow(lambda it: closest(it, similarity), "src long, dst long").distinct(), "closest")
+    if forest.limit(1).count():
+        more = staged(alike(forest, first, marked, text, keys, similarity, n), "linked")
+        roots = joined(roots, more)
+    drop_staged(forest)
+    pairs = dealt(rooted(wide.unionByName(rest)), columns).mapInArrow(lambda it: prefix_pairs(it, similarity, counted=True), "src long, dst long, n long, need long")
     found = staged(pairs.groupBy("src", "dst").agg(F.sum("n").alias("n"), F.max("need").alias("need")).where("n >= need").select("src", "dst"), "missed")
-    drop_staged(keyed)
+    drop_staged(wide, rest)
     more = staged(alike(found, first, marked, text, keys, similarity, n), "more")
     drop_staged(found)
+    return joined(roots, more)
+
+
+def joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """node, root once the links of more are added; staged if there are any."""
     if not more.limit(1).count():
         return roots
-    return connected(roots.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst")).unionByName(more))
+    old = roots.where("node <> root").select(F.col("node").alias("src"), F.col("root").alias("dst"))
+    return staged(connected(old.unionByName(more)), "classes")
+
+
+def closest(batches, similarity: float, rows: int = 50_000):
+    """Pairs (src > dst) of nodes of different roots, a forest for each bucket: the least spanning forest of the pairs that may be
+    that similar by size and sketch, by how much the sketches differ for the sizes. Columns as in prefix_pairs(), with sketches."""
+    for bucket, *rest in whole_buckets(batches, rows):
+        cut = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)])) if len(bucket) else [0]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            node, root, size, _, drawn = (x[a:b] for x in rest)
+            if (root == root[0]).all():
+                continue
+            x, y = nearest(root, size.astype(np.int64), _words(drawn), similarity)
+            if len(x):
+                yield _pairs([node[x]], [node[y]])
+
+
+def nearest(root: np.ndarray, size: np.ndarray, drawn: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs of that forest, grown from node to nearest node; nodes of one root are linked before."""
+    left, x, found = np.arange(len(root)), 0, []
+    best, parent = np.full(len(root), np.inf), np.zeros(len(root), np.int64)
+    while True:
+        left = left[left != x]
+        if not len(left):
+            break
+        total = size[left] + size[x]
+        far = np.bitwise_count(drawn[left] ^ drawn[x]).sum(axis=1, dtype=np.int64) / np.maximum(1, _apart(similarity) * total + 1e-6)
+        far[np.minimum(size[left], size[x]) < similarity * np.maximum(size[left], size[x]) - 1e-6] = np.inf
+        far[root[left] == root[x]] = -1
+        new = left[far < best[left]]
+        best[new], parent[new] = far[far < best[left]], x
+        x = int(left[np.argmin(best[left])])
+        if 0 <= best[x] <= 1:
+            found.append((x, int(parent[x])))
+    pairs = np.array(found, np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
 
 
 def prefix_pairs(batches, similarity: float, rows: int = 50_000, counted: bool = False):
     """Pairs (src > dst) of nodes of different roots that share a bucket and may be that similar by size and place (columns
-    bucket, node, root, size, place; sorted by bucket): lane i is compared with lane i + s for each shift s, over all buckets
+    bucket, node, root, size, place, and sketch if there is one; sorted by bucket): lane i is compared with lane i + s for each shift s, over all buckets
     at once. A pair is found at least in the bucket of its first common shingle.
 
     counted: n, in how many buckets (of block pairs) it was found here, and need, in how many it must be to be that similar:
@@ -604,7 +678,8 @@ def prefix_pairs(batches, similarity: float, rows: int = 50_000, counted: bool =
         order = np.lexsort((inverse, -count[inverse]))
         order = order[: int((count[inverse] > 1).sum())]
         group, many = inverse[order], count[inverse][order]
-        node, root, size, place = (x[order] for x in rest)
+        node, root, size, place = (x[order] for x in rest[:4])
+        drawn = _words(rest[4][order]) if len(rest) > 4 else None
         size, left = size.astype(np.int64), size.astype(np.int64) - place
         a, b, need, held = [], [], [], 0
         for s in range(1, int(many[0]) if len(many) else 0):
@@ -615,6 +690,8 @@ def prefix_pairs(batches, similarity: float, rows: int = 50_000, counted: bool =
             j = i + s
             low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
             good = (low >= similarity * high - 1e-6) & (np.minimum(left[i], left[j]) >= similarity / (1 + similarity) * (low + high) - 1e-6)
+            if drawn is not None and good.any():
+                good[good] = np.bitwise_count(drawn[i[good]] ^ drawn[j[good]]).sum(axis=1, dtype=np.int64) <= _apart(similarity) * (low + high)[good] + 1e-6
             a.append(node[i[good]])
             b.append(node[j[good]])
             low, high = low[good], high[good]

@@ -234,6 +234,33 @@ def test_passages_that_many_texts_share_make_no_candidates(spark):
     assert {(500 + k, k) for k in range(20)} <= left and len(left) < 40
 
 
+def test_groups_near_the_threshold_make_few_pairs(spark, monkeypatch):
+    """Texts of one pattern that are nearly similar are not compared with the square of their number, and classes
+    are those of all pairs."""
+    rng = np.random.default_rng(3)
+    base, rows = base_words(150, 7), []
+    for k in range(240):
+        words = list(base)
+        for at in rng.choice(150, 3 if k % 4 else 1, replace=False):
+            words[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(words)))
+    sets = [simhash.shingles(t.encode()) for _, t in rows]
+    shared = np.array([[len(np.intersect1d(a, b, assume_unique=True)) for b in sets] for a in sets])
+    size = np.array([len(x) for x in sets])
+    alike = shared >= 0.8 * (size[:, None] + size[None, :] - shared)
+    root = np.arange(240)
+    while (new := np.where(alike, root[None, :], 240).min(axis=1)).tolist() != root.tolist():
+        root = new
+    compared, exact = [], simhash.alike
+    monkeypatch.setattr(simhash, "links", lambda nodes, *_: spark.createDataFrame([], "src long, dst long"))  # no mask meets
+    monkeypatch.setattr(simhash, "alike", lambda found, *x: compared.append(found.count()) or exact(found, *x))
+    kept = sorted(x.doc_id for x in simhash.deduplicate(frame(spark, rows)).collect())
+    assert kept == sorted(set(root.tolist())) and 1 < len(kept) < 200
+    assert sum(compared) < 240 * 4
+    drawn = simhash._words(np.array([simhash.sketch(x) for x in sets], object))
+    assert (np.bitwise_count(drawn[:, None] ^ drawn[None, :]).sum(axis=2) <= size[:, None] + size[None, :] - 2 * shared).all()
+
+
 def test_masks_use_all_bits_and_grow_with_the_rows():
     few, many = simhash.tables(1000, 0.88), simhash.tables(10**9, 0.88)
     assert {m.bit_count() for m in few} == {6} and {m.bit_count() for m in many} == {26} and len(many) > len(few)
