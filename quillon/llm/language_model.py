@@ -4,7 +4,8 @@ A window network (position-wise embeddings of the four neighbours, a tanh layer,
 over the vocabulary has two exact levels: over classes of words that stand in like contexts, and over the words of the class.
 The vocabulary is the most frequent words, and buckets by the end of the word for all others; which word of a bucket it is
 comes from counts over all whole texts. The network is fitted to every window of every text: begun in one task, then carried on
-where the texts lie, each task by itself, and averaged. A document is scored under the rest of the corpus: its own words are taken out of
+where the texts lie, each task by itself, and averaged. Texts are told into words once and staged as numbers, which all passes
+read. A document is scored under the rest of the corpus: its own words are taken out of
 those counts, so a document is expected where its rare words occur elsewhere. The counts of the most frequent words go with
 the network; those of all others stay in a table that is joined, however many there are.
 """
@@ -14,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +25,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from .common import arrow_map, drop_staged, free, prepare, staged, texts
 
@@ -39,7 +41,10 @@ WINDOWS, FULL_BATCH = 200_000, 16384
 NEAR, GROUPS = 512, 16
 #: What a word that occurs nowhere else counts, and words counted in a worker before their counts are handed on.
 SMOOTH, _HELD = 0.5, 200_000
-_CHUNK = 1 << 15
+#: Windows scored at once; rows of an input that are added up one by one (those of more frequent ones in one go).
+_CHUNK, _FEW = 1 << 15, 16
+#: A window of the first ones: keys and buckets of its words, _EDGE behind an end.
+_WINDOW, _EDGE = np.dtype([("key", np.int64, 5), ("bucket", np.uint8, 5)]), 255
 _TOKEN = re.compile(rb"[a-z0-9\x80-\xff']+|[^\sa-z0-9\x80-\xff']")
 
 
@@ -96,18 +101,26 @@ class Network:
         return h
 
     def _chunk(self, around: list[np.ndarray], target: np.ndarray) -> np.ndarray:
-        h, cls = self.hidden(around), self.class_of[target]
-        out = _log_share(h @ self.to_class, cls, self.small).astype(np.float64)
-        order = np.argsort(cls, kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
+        order, cut = self.by_class(target)
+        around, place = [x[order] for x in around], self.place[target[order]]
+        h, found = self.hidden(around), np.empty(len(target))
         for c in range(CLASSES):
-            if cut[c] < cut[c + 1]:
-                i = order[cut[c] : cut[c + 1]]
-                out[i] += _log_share(h[i] @ self.to_word[c], self.place[target[i]], self.small)
+            a, b = cut[c], cut[c + 1]
+            if a < b:
+                own = h[a:b]
+                found[a:b] = _log_share(own @ self.to_class, c, self.small)
+                found[a:b] += _log_share(own @ self.to_word[c], place[a:b], self.small)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
+    def by_class(self, target: np.ndarray) -> tuple[np.ndarray, list[int]]:
+        """An order in which the outputs of a class lie together, and where each class begins (and the last ends)."""
+        cls = self.class_of[target].astype(np.uint16)
+        return np.argsort(cls, kind="stable"), [0, *np.cumsum(np.bincount(cls, minlength=CLASSES)).tolist()]
 
-def _log_share(z: np.ndarray, at: np.ndarray, small: bool) -> np.ndarray:
+
+def _log_share(z: np.ndarray, at: np.ndarray | int, small: bool) -> np.ndarray:
     """Log-softmax of each row at one place. small: no entry can overflow."""
     if not small:
         z -= z.max(axis=1, keepdims=True)
@@ -159,34 +172,55 @@ class Fit:
             x -= rate * g / np.sqrt(s)
 
         net.__post_init__()
-        h, cls = net.hidden(around), net.class_of[target]
-        dz = _softmax(h @ net.to_class, net.small)
-        dz[np.arange(n), cls] -= 1
-        dh = dz @ net.to_class.T
-        order = np.argsort(cls.astype(np.uint16), kind="stable")
-        cut = np.searchsorted(cls[order], np.arange(CLASSES + 1)).tolist()
-        by_class, place, back = h[order], net.place[target[order]], np.empty_like(h)
+        order, cut = net.by_class(target)  # all that follows is in this order
+        around, target = [x[order] for x in around], target[order]
+        h, place = net.hidden(around), net.place[target]
+        ds, to_class = np.empty((n, HIDDEN), np.float32), np.zeros_like(net.to_class)
         for c in range(CLASSES):
             a, b = cut[c], cut[c + 1]
             if a < b:
-                w = net.to_word[c]
-                dy = _softmax(by_class[a:b] @ w, net.small)
+                own, w = h[a:b], net.to_word[c]
+                dz, dy = _softmax(own @ net.to_class, net.small), _softmax(own @ w, net.small)
+                dz[:, c] -= 1
                 dy[np.arange(b - a), place[a:b]] -= 1
-                back[a:b] = dy @ w.T
-                move(w, self.sums[3][c], by_class[a:b].T @ dy / n)
-        dh[order] += back
-        move(net.to_class, self.sums[2], h.T @ dz / n)
-        ds = dh[:, :HIDDEN] * (1 - h[:, :HIDDEN] ** 2)
+                np.matmul(dz, net.to_class[:HIDDEN].T, out=ds[a:b])
+                ds[a:b] += dy @ w[:HIDDEN].T
+                to_class += own.T @ dz
+                move(w, self.sums[3][c], own.T @ dy / n)
+        move(net.to_class, self.sums[2], to_class / n)
+        slope = h[:, :HIDDEN] ** 2
+        ds *= np.subtract(1, slope, out=slope)
         move(net.bias, self.sums[1], ds.mean(axis=0))
-        for e, total, x in zip(net.embed, self.sums[0], around, strict=True):
-            order = np.argsort(x.astype(np.uint16), kind="stable")
-            own = x[order]
-            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            grad = np.add.reduceat(ds[order], first) / n
-            rows = own[first]
-            s = total[rows] + grad * grad
-            total[rows] = s
-            e[rows] -= rate * grad / np.sqrt(s)
+        rows, grad = _added(np.concatenate([x + k * (OUTPUTS + 1) for k, x in enumerate(around)]).astype(np.uint16), ds)
+        grad /= n
+        embed, total = net.embed.reshape(-1, HIDDEN), self.sums[0].reshape(-1, HIDDEN)
+        s = np.take(total, rows, axis=0)
+        s += grad * grad
+        total[rows] = s
+        grad /= np.sqrt(s, out=s)
+        grad *= rate
+        embed[rows] -= grad
+
+
+def _added(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different values of x, and the sum of each one's rows; the rows are repeated until x ends."""
+    order = np.argsort(x, kind="stable")
+    own = x[order]
+    first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    size = np.diff(first, append=len(x))
+    lie = np.take(rows, order % len(rows), axis=0)
+    total = np.take(lie, first, axis=0)
+    for k in np.flatnonzero(size > _FEW).tolist():
+        np.add.reduce(lie[first[k] : first[k] + size[k]], axis=0, out=total[k])
+    few = np.flatnonzero((size > 1) & (size <= _FEW))
+    few = few[np.argsort(-size[few], kind="stable")]
+    begun, left = first[few], np.cumsum(np.bincount(size[few], minlength=_FEW + 1)[::-1])[::-1]  # of that size or more
+    some = np.take(total, few, axis=0)
+    for k in range(1, _FEW):
+        m = int(left[k + 1])
+        some[:m] += np.take(lie, begun[:m] + k, axis=0)
+    total[few] = some
+    return own[first].astype(np.int64), total
 
 
 def begin(windows: np.ndarray, counts: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 11, of: tuple[np.ndarray, np.ndarray] | None = None) -> Fit:
@@ -246,59 +280,153 @@ class Vocabulary:
         self.state = state
         keys, counts, mass, types = state
         self.output = {k: i for i, k in enumerate(keys[:WORDS].tolist())}
-        self.count = dict(zip(keys[WORDS:].tolist(), counts[WORDS:].tolist(), strict=True))
         self.total = mass + SMOOTH * (types + 1)
-        self.known: dict[bytes, tuple[int, int]] = {}
+        self.tables = []
+        for k, x in ((keys[:WORDS], np.arange(min(WORDS, len(keys)))), (keys[WORDS:], counts[WORDS:])):
+            order = np.argsort(k)
+            self.tables.append((k[order], x[order]))
 
     def look(self, w: bytes) -> tuple[int, int]:
         """Output and key of a word."""
-        got = self.known.get(w)
-        if got is None:
-            if len(self.known) >= _HELD:
-                self.known.clear()
-            key = word_key(w)
-            got = self.known[w] = (self.output.get(key, WORDS + bucket_of(w)), key)
-        return got
+        key = word_key(w)
+        return self.output.get(key, WORDS + bucket_of(w)), key
+
+    def outputs(self, keys: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        """Outputs of words."""
+        found = _found(*self.tables[0], keys)
+        return np.where(found < 0, WORDS + buckets.astype(np.int64), found)
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of words that are no outputs of their own; -1 of those that the joined table has."""
+        return _found(*self.tables[1], keys)
+
+
+def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of wanted among the sorted keys; -1 where there is none."""
+    if not len(keys):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], -1)
 
 
 class Model:
-    """words: counts of all words by key (a staged table); corpus: whether the scored texts are part of it."""
+    """words: counts of all words by key (a staged table); numbers: the corpus as numbered() has it, if train() kept it."""
 
-    def __init__(self, network: Network, vocabulary: Vocabulary, words: DataFrame | None):
-        self.network, self.vocabulary, self.words = network, vocabulary, words
+    def __init__(self, network: Network, vocabulary: Vocabulary, words: DataFrame | None, numbers: DataFrame | None = None):
+        self.network, self.vocabulary, self.words, self.numbers = network, vocabulary, words, numbers
 
 
-def corpus_rows(docs: DataFrame, text: str, share: float) -> DataFrame:
-    """key, bucket, n of all words, and as rows of their own (with window) that share of all windows of five words."""
-    limit = int(share * (1 << 32))
+@dataclass
+class Numbers:
+    """Texts told into words: sizes (words of each text), ids (each word's place among the different ones), and keys and
+    buckets of these."""
+
+    sizes: np.ndarray
+    ids: np.ndarray
+    keys: np.ndarray
+    buckets: np.ndarray
+
+    @classmethod
+    def of(cls, xs: list[bytes]) -> Numbers:
+        place: defaultdict = defaultdict()
+        place.default_factory = place.__len__
+        own = [np.fromiter(map(place.__getitem__, words), np.uint32, len(words)) for words in map(tokens, xs)]
+        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, place), np.uint64, len(place)) ^ np.uint64(1 << 63)
+        return cls(np.array([len(x) for x in own], np.int32), np.concatenate([*own, np.zeros(0, np.uint32)]), keys.view(np.int64), np.fromiter(map(bucket_of, place), np.uint8, len(place)))
+
+    def packed(self) -> list[bytes]:
+        ids = self.ids if len(self.keys) > 1 << 16 else self.ids.astype(np.uint16)
+        return [x.tobytes() for x in (self.sizes, ids, self.keys, self.buckets)]
+
+    @classmethod
+    def unpacked(cls, sizes: bytes, ids: bytes, keys: bytes, buckets: bytes) -> Numbers:
+        return cls(np.frombuffer(sizes, np.int32), np.frombuffer(ids, np.uint32 if len(buckets) > 1 << 16 else np.uint16), np.frombuffer(keys, np.int64), np.frombuffer(buckets, np.uint8))
+
+    def places(self) -> np.ndarray:
+        """Where the words stand if two edges stand before, between and after the texts."""
+        return np.arange(2, len(self.ids) + 2) + 2 * np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def padded(self, values: np.ndarray, edge: int, at: np.ndarray) -> np.ndarray:
+        """The words' values, and edge at the edges; at: places()."""
+        out = np.full(len(self.ids) + 2 * len(self.sizes) + 2, edge, values.dtype)
+        out[at] = values[self.ids]
+        return out
+
+
+_PACKED = ["sizes", "ids", "keys", "buckets"]
+
+
+def numbered(docs: DataFrame, text: str, share: float = 0.0, keep: list[str] | None = None) -> DataFrame:
+    """Texts as Numbers, a row for each batch of them: sizes, ids, keys, buckets; drawn (places in the batch of that share
+    of all words); with keep rows, an array of those columns of docs."""
+    limit, keep = int(share * (1 << 32)), keep or []
+    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias(free("text_", {c.lower() for c in keep})))
+    kept = StructType(given.schema.fields[: len(keep)])
 
     def run(batches):
-        held: Counter = Counter()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            xs = texts(b.column(len(keep)))
+            told = Numbers.of(xs)
+            begun = np.cumsum(told.sizes) - told.sizes
+            drawn = [a + np.flatnonzero(_draws(x, n) < limit) for x, a, n in zip(xs, begun.tolist(), told.sizes.tolist(), strict=True) if n] if limit else []
+            drawn = np.concatenate([*drawn, np.zeros(0, np.int64)]).astype(np.int32)
+            columns = [pa.array([x], pa.binary()) for x in [*told.packed(), drawn.tobytes()]]
+            if keep:
+                whole = pa.StructArray.from_arrays(b.columns[: len(keep)], names=keep)
+                columns.append(pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), whole))
+            yield pa.RecordBatch.from_arrays(columns, names=[*_PACKED, "drawn", "rows"][: len(columns)])
 
+    schema = StructType.fromDDL(", ".join(f"{c} binary" for c in [*_PACKED, "drawn"]))
+    return given.mapInArrow(run, StructType([*schema.fields, StructField("rows", ArrayType(kept))]) if keep else schema)
+
+
+def _unpacked(batches):
+    """Numbers, and what follows them, of each row."""
+    for b in batches:
+        for x in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            yield Numbers.unpacked(*x[: len(_PACKED)]), *x[len(_PACKED) :]
+
+
+def corpus_rows(numbers: DataFrame) -> DataFrame:
+    """key, bucket, n of all words, and as rows of their own (with window) the windows around the words drawn."""
+
+    def run(batches):
         def rows(keys, buckets, n, windows):
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(buckets, pa.int32()), pa.array(n, pa.int64()), pa.array(windows, pa.binary())], names=["key", "bucket", "n", "window"])
 
-        def flush():
-            words = list(held)
-            return rows([word_key(w) for w in words], [bucket_of(w) for w in words], [held[w] for w in words], [None] * len(words))
-
-        for b in batches:
-            found = []
-            for x in texts(b.column(0)):
-                words = tokens(x)
-                held.update(words)
-                if words:
-                    at = np.flatnonzero(_draws(x, len(words)) < limit)
-                    found += [_window(words, i) for i in at.tolist()]
-                if len(held) >= _HELD:
-                    yield flush()
-                    held.clear()
-            if found:
-                yield rows([None] * len(found), [None] * len(found), [1] * len(found), found)
+        def counted():
+            keys, buckets, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            return keys[first], buckets[order[first]], np.add.reduceat(n[order], first)
+
+        held, size = [], 0
+        for told, drawn in _unpacked(batches):
+            if not len(told.ids):
+                continue
+            held.append((told.keys, told.buckets, np.bincount(told.ids, minlength=len(told.keys))))
+            size += len(told.keys)
+            if size > 2 * _HELD:
+                held = [counted()]
+                size = len(held[0][0])
+                if size > _HELD:
+                    yield rows(*held[0], [None] * size)
+                    held, size = [], 0
+            at = told.places()
+            around = at[np.frombuffer(drawn, np.int32)][:, None] + np.arange(-2, 3)
+            if len(around):
+                found = np.empty(len(around), _WINDOW)
+                for name, values, edge in (("key", told.keys, 0), ("bucket", told.buckets, _EDGE)):
+                    found[name] = told.padded(values, edge, at)[around]
+                yield rows([None] * len(found), [None] * len(found), [1] * len(found), [x.tobytes() for x in found])
         if held:
-            yield flush()
+            keys, buckets, n = counted()
+            yield rows(keys, buckets, n, [None] * len(keys))
 
-    made = docs.select(F.col(f"`{text}`")).mapInArrow(run, "key long, bucket int, n long, window binary")
+    made = numbers.select(*_PACKED, "drawn").mapInArrow(run, "key long, bucket int, n long, window binary")
     return made.groupBy("key", "bucket", "window").agg(F.sum("n").alias("n"))
 
 
@@ -309,11 +437,6 @@ def _draws(text: bytes, n: int) -> np.ndarray:
     return (x ^ (x >> np.uint64(27))) >> np.uint64(32)
 
 
-def _window(words: list[bytes], i: int) -> bytes:
-    """The five words around i as lines; a place behind an end is an empty one (a word holds no line break)."""
-    return b"\n".join([words[k] if 0 <= k < len(words) else b"" for k in range(i - 2, i + 3)])
-
-
 def most_frequent(words: DataFrame, most: int) -> pd.DataFrame:
     """The words of greatest n, ties by key, at most `most` of them (but for words that occur thousands of times, those of
     about the same n count as ties). Nothing but a histogram of n and the words themselves is collected."""
@@ -339,35 +462,26 @@ def most_frequent(words: DataFrame, most: int) -> pd.DataFrame:
     return some.toPandas().sort_values(["n", "key"], ascending=[False, True], kind="stable")
 
 
-def coded(docs: DataFrame, text: str, vocabulary: Vocabulary) -> DataFrame:
-    """codes: outputs of the texts of a batch (unsigned 16 bits), two edges before, between and after them; and as rows of
-    their own what a task has counted of neighbours: group, cells and their counts."""
+def coded(docs: DataFrame, text: str | None, vocabulary: Vocabulary) -> DataFrame:
+    """What a task has counted of neighbours in the texts' outputs: group, cells and their counts. docs: numbered(), where text is None."""
     held = docs.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by OUTPUTS and SHARED
 
     def run(batches):
-        seen, edge, look = np.zeros(OUTPUTS * 2 * NEAR, np.int32), np.full(2, OUTPUTS, np.uint16), held.value.look
-        names = ["codes", "group", "cells", "n"]
-        for b in batches:
-            parts = [edge]
-            for x in texts(b.column(0)):
-                words = tokens(x)
-                if words:
-                    of = {w: look(w)[0] for w in set(words)}
-                    parts += [np.fromiter(map(of.__getitem__, words), np.uint16, len(words)), edge]
-            p = np.concatenate(parts)
-            wide = p.astype(np.int64)
-            for target, near, side in ((wide[1:], wide[:-1], 0), (wide[:-1], wide[1:], NEAR)):
-                some = (near < NEAR) & (target < OUTPUTS)
-                np.add.at(seen, target[some] * 2 * NEAR + side + near[some], 1)
-            if len(parts) > 1:
-                yield pa.RecordBatch.from_arrays([pa.array([p.tobytes()], pa.binary()), *[pa.array([None], t) for t in (pa.int32(), pa.binary(), pa.binary())]], names=names)
+        v, seen = held.value, np.zeros(OUTPUTS * 2 * NEAR, np.int32)
+        for (told,) in _unpacked(batches):
+            p = told.padded(v.outputs(told.keys, told.buckets).astype(np.int32), OUTPUTS, told.places())
+            for target, near, side in ((p[1:], p[:-1], 0), (p[:-1], p[1:], NEAR)):
+                some = np.flatnonzero((near < NEAR) & (target < OUTPUTS))
+                cells, n = np.unique(target[some] * (2 * NEAR) + (side + near[some]), return_counts=True)
+                seen[cells] += n.astype(np.int32)
         size = len(seen) // GROUPS
         for g in range(GROUPS):
             own = seen[g * size : (g + 1) * size]
             if len(at := np.flatnonzero(own)):
-                yield pa.RecordBatch.from_arrays([pa.array([None], pa.binary()), pa.array([g], pa.int32()), pa.array([(at + g * size).astype(np.int32).tobytes()], pa.binary()), pa.array([own[at].tobytes()], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([(at + g * size).astype(np.int32).tobytes()], pa.binary()), pa.array([own[at].tobytes()], pa.binary())], names=["group", "cells", "n"])
 
-    return docs.select(F.col(f"`{text}`")).mapInArrow(run, "codes binary, group int, cells binary, n binary")
+    given = docs if text is None else numbered(docs, text)
+    return given.select(*_PACKED).mapInArrow(run, "group int, cells binary, n binary")
 
 
 def added_neighbours(rows: DataFrame) -> DataFrame:
@@ -383,7 +497,7 @@ def added_neighbours(rows: DataFrame) -> DataFrame:
         for g, total in of.items():
             yield pa.RecordBatch.from_arrays([pa.array([g], pa.int32()), pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["group", "n"])
 
-    return rows.where("group is not null").select("group", "cells", "n").repartition(GROUPS, "group").mapInArrow(run, "group int, n binary")
+    return rows.repartition(GROUPS, "group").mapInArrow(run, "group int, n binary")
 
 
 def all_neighbours(rows: DataFrame) -> np.ndarray:
@@ -413,13 +527,14 @@ def all_classes(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def begin_there(windows: DataFrame, vocabulary: Vocabulary, counts: np.ndarray, of: tuple[np.ndarray, np.ndarray] | None) -> Fit:
-    """begin() on windows (window: five words as lines, n), in one task: the driver gets the network and its sums alone."""
+    """begin() on windows (window: of _WINDOW; n), in one task: the driver gets the network and its sums alone."""
     held = windows.sparkSession.sparkContext.broadcast(vocabulary)  # bounded by OUTPUTS and SHARED
 
     def run(batches):
-        look = held.value.look
         first = sorted((w, n) for b in batches for w, n in zip(*[c.to_pylist() for c in b.columns], strict=True))
-        some = np.array([[look(w)[0] if w else OUTPUTS for w in x.split(b"\n")] for x, _ in first], np.int64).reshape(-1, 5)
+        words = np.frombuffer(b"".join(w for w, _ in first), _WINDOW)
+        some = held.value.outputs(words["key"].ravel(), words["bucket"].ravel()).reshape(-1, 5)
+        some[words["bucket"] == _EDGE] = OUTPUTS
         made = begin(np.repeat(some, [n for _, n in first], axis=0), counts, of=of)
         weights = np.concatenate([x.ravel() for x in [*made.weights(), *made.sums]])
         yield pa.RecordBatch.from_arrays([*[pa.array([x.tobytes()], pa.binary()) for x in (weights, made.network.class_of, made.network.place)]], names=["weights", "class_of", "place"])
@@ -434,27 +549,26 @@ def begin_there(windows: DataFrame, vocabulary: Vocabulary, counts: np.ndarray,
     return Fit(Network(*own[:4], *[np.frombuffer(x, np.int64) for x in (found[0].class_of, found[0].place)]), own[4:], made.rate)
 
 
-def carry_on(made: Fit, rows: DataFrame) -> Network:
-    """The network fitted on to all windows of rows (codes), each once. Every task moves a copy; what the copies have moved is
+def carry_on(made: Fit, numbers: DataFrame, vocabulary: Vocabulary) -> Network:
+    """The network fitted on to all windows of numbered texts, each once. Every task moves a copy; what the copies have moved is
     averaged, each input's row and each class by how many windows of a task had it. The same tasks give the same network."""
-    held = rows.sparkSession.sparkContext.broadcast((made.network, made.sums, made.rate))
+    context = numbers.sparkSession.sparkContext
+    held, known = context.broadcast((made.network, made.sums, made.rate)), context.broadcast(vocabulary)
 
     def run(batches):
-        network, sums, rate = held.value
+        (network, sums, rate), v = held.value, known.value
         copy = lambda x: x.copy()
         own = Fit(Network(copy(network.embed), copy(network.bias), copy(network.to_class), copy(network.to_word), network.class_of, network.place), [x.copy() for x in sums], rate)
         inputs, outputs = np.zeros((4, OUTPUTS + 1)), np.zeros(CLASSES)
-        for b in batches:
-            for x in b.column(0).to_pylist():
-                p = np.frombuffer(x, np.uint16).astype(np.int64)
-                real = np.flatnonzero(p != OUTPUTS)
-                for a in range(0, len(real), FULL_BATCH):
-                    at = real[a : a + FULL_BATCH]
-                    around, target = [p[at + k] for k in (-2, -1, 1, 2)], p[at]
-                    own.step(around, target)
-                    for k in range(4):
-                        inputs[k] += np.bincount(around[k], minlength=OUTPUTS + 1)
-                    outputs += np.bincount(network.class_of[target], minlength=CLASSES)
+        for (told,) in _unpacked(batches):
+            real = told.places()
+            p = told.padded(v.outputs(told.keys, told.buckets), OUTPUTS, real)
+            for a in range(0, len(real), FULL_BATCH):
+                at = real[a : a + FULL_BATCH]
+                own.step([p[at + k] for k in (-2, -1, 1, 2)], p[at])
+            for k, d in enumerate((-2, -1, 1, 2)):
+                inputs[k] += np.bincount(p[real + d], minlength=OUTPUTS + 1)
+            outputs += np.bincount(network.class_of[p[real]], minlength=CLASSES)
         if outputs.any():
             new, old = own.weights(), [network.embed, network.bias, network.to_class, network.to_word]
             moved = [(x.astype(np.float64) - y) * w for x, y, w in zip(new, old, (inputs[:, :, None], outputs.sum(), outputs.sum(), outputs[:, None, None]), strict=True)]
@@ -479,7 +593,7 @@ def carry_on(made: Fit, rows: DataFrame) -> Network:
         new = [(x + m.reshape(x.shape) / w).astype(np.float32) for x, m, w in zip(old, moved, counts, strict=True)]
         yield _row(0, np.concatenate([x.ravel() for x in new]))
 
-    tasks = staged(rows.where("codes is not null").select("codes").mapInArrow(run, "id int, total binary"), "networks")
+    tasks = staged(numbers.select(*_PACKED).mapInArrow(run, "id int, total binary"), "networks")
     added = staged(tasks.repartition(GROUPS, "id").mapInArrow(add, "id int, total binary"), "added-networks")
     found = added.repartition(1).mapInArrow(finish, "id int, total binary").collect()  # of at most GROUPS rows one
     drop_staged(tasks, added)
@@ -495,12 +609,13 @@ def _row(i: int, total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["id", "total"])
 
 
-def train(docs: DataFrame, text: str = "text", windows: int = WINDOWS) -> Model:
-    """Counts of words, neighbours and the network's fit are over all documents. To the driver come the SHARED most frequent
+def train(docs: DataFrame, text: str = "text", windows: int = WINDOWS, keep: list[str] | None = None) -> Model:
+    """keep: the model has the corpus as numbers, with these columns of docs, for score(); drop_staged() drops them. Counts of words, neighbours and the network's fit are over all documents. To the driver come the SHARED most frequent
     words, totals by bucket, classes and two networks; about `windows` windows meet in one task. A corpus without words gives a model that knows none."""
     prepare(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
-    rows = staged(corpus_rows(docs, text, min(1.0, 6 * windows / max(1, size))), "corpus")
+    numbers = staged(numbered(docs, text, min(1.0, 6 * windows / max(1, size)), keep), "numbers")
+    rows = staged(corpus_rows(numbers), "corpus")
     whole = size <= 6 * windows  # all windows are among the rows
     words = rows.where("window is null").select("key", "bucket", "n")
     top = most_frequent(words, SHARED)
@@ -515,59 +630,63 @@ def train(docs: DataFrame, text: str = "text", windows: int = WINDOWS) -> Model:
     of_outputs = np.concatenate([counts[:WORDS], np.zeros(WORDS - len(own), np.int64), mass])
     some = rows.where("window is not null").select("window", "n")
     if whole:
-        return Model(begin_there(some, vocabulary, of_outputs, None).network, vocabulary, words)
-    outputs = staged(coded(docs, text, vocabulary), "outputs")
-    network = carry_on(begin_there(some, vocabulary, of_outputs, all_classes(outputs)), outputs)
-    drop_staged(outputs)
-    return Model(network, vocabulary, words)
+        network = begin_there(some, vocabulary, of_outputs, None).network
+    else:
+        network = carry_on(begin_there(some, vocabulary, of_outputs, all_classes(coded(numbers, None, vocabulary))), numbers, vocabulary)
+    if not keep:
+        drop_staged(numbers)
+    return Model(network, vocabulary, words, numbers if keep else None)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", columns: list[str] | None = None, inside: bool = True) -> DataFrame:
     """docs (or its columns) with n_tokens, n_unseen (tokens whose word occurs in no other document's count), log_likelihood
     (sum over tokens) and perplexity.
 
+    docs may be the model's numbers: the texts of its corpus aren't told into words again, and the columns are those kept.
     inside: docs are part of the corpus of the model, so each text's own words are taken out of the counts (a text that
     occurs twice is still known from its copy). Null, empty and blank texts have no tokens, log-likelihood 0 and a null
     perplexity. Repeated rows stay, each scored by itself; other columns pass as they are."""
     prepare(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast((model.network, model.vocabulary))  # bounded by OUTPUTS and SHARED
-    wanted = docs.columns if columns is None else columns
+    told = docs is model.numbers
+    of_docs = docs.schema["rows"].dataType.elementType.names if told else docs.columns
+    wanted = of_docs if columns is None else columns
     taken = {c.lower() for c in wanted}
     n_tokens, n_unseen, likely, ppl, far, row = (free(x, taken) for x in ("n_tokens", "n_unseen", "log_likelihood", "perplexity", "_far", "_row"))
-    kind = pa.struct([("key", pa.int64()), ("n", pa.int32()), ("bucket", pa.int32())])
 
-    def run(b: pa.RecordBatch):
+    def found(x: Numbers) -> list[pa.Array]:
         network, v = held.value
-        outputs, edge = [], np.full(2, OUTPUTS)
-        sizes, rest, unseen, far = [], [], [], []
-        for x in texts(b.column(b.schema.names.index(text))):
-            words = tokens(x)
-            look, known = v.look, v.known
-            own, unknown, others = 0.0, 0, []
-            of: dict[bytes, int] = {}
-            for w, n in Counter(words).items():
-                out, key = known.get(w) or look(w)
-                of[w] = out
-                if out >= WORDS:
-                    c = v.count.get(key)
-                    if c is None:
-                        others.append({"key": key, "n": n, "bucket": out - WORDS})
-                    else:
-                        c = max(0, c - n) if inside else c
-                        own += n * float(np.log((c + SMOOTH) / v.total[out - WORDS]))
-                        unknown += n * (c == 0)
-            outputs += [edge, np.fromiter(map(of.__getitem__, words), np.int64, len(words))]
-            sizes.append(len(words))
-            rest.append(own)
-            unseen.append(unknown)
-            far.append(others)
-        logs = network.log_prob(np.concatenate([*outputs, edge]))
-        ends = np.cumsum(np.array(sizes, np.int64) + 2)
-        likely = [float(logs[e - 2 - n : e - 2].sum()) + o if n else 0.0 for e, n, o in zip(ends.tolist(), sizes, rest, strict=True)]
-        return [pa.array(sizes, pa.int64()), pa.array(unseen, pa.int64()), pa.array(likely, pa.float64()), pa.array(far, pa.list_(kind))]
+        k, at, text_of = len(x.sizes), x.places(), np.repeat(np.arange(len(x.sizes)), x.sizes)
+        out = v.outputs(x.keys, x.buckets)
+        sums = np.bincount(text_of, network.log_prob(x.padded(out, OUTPUTS, at))[at - 2], minlength=k)
+        some = np.flatnonzero((out >= WORDS)[x.ids])
+        pairs, n = np.unique(text_of[some] * len(x.keys) + x.ids[some], return_counts=True)  # a text and a word of it
+        t, w = np.divmod(pairs, max(1, len(x.keys)))
+        c = v.counts(x.keys)[w]
+        near = c >= 0
+        c = np.maximum(0, c - n) if inside else c
+        a, b = near.nonzero()[0], (~near).nonzero()[0]
+        sums += np.bincount(t[a], n[a] * np.log((c[a] + SMOOTH) / v.total[x.buckets[w[a]]]), minlength=k)
+        unseen = np.bincount(t[a], n[a] * (c[a] == 0), minlength=k).astype(np.int64)
+        others = pa.StructArray.from_arrays([pa.array(x.keys[w[b]], pa.int64()), pa.array(n[b], pa.int32()), pa.array(x.buckets[w[b]], pa.int32())], names=["key", "n", "bucket"])
+        ends = np.concatenate(([0], np.cumsum(np.bincount(t[b], minlength=k))))
+        return [pa.array(x.sizes, pa.int64()), pa.array(unseen, pa.int64()), pa.array(sums, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), others)]
 
     extra = f"`{n_tokens}` long, `{n_unseen}` long, `{likely}` double, `{far}` array<struct<key: long, n: int, bucket: int>>"
-    made = arrow_map(docs, wanted, extra, run, (text,))
+    if told:
+        fields = [docs.schema["rows"].dataType.elementType[c] for c in wanted]
+
+        def run(batches):
+            for b in batches:
+                for i in range(b.num_rows):
+                    rows = b.column(len(_PACKED)).slice(i, 1).flatten()
+                    x = Numbers.unpacked(*[b.column(j)[i].as_py() for j in range(len(_PACKED))])
+                    yield pa.RecordBatch.from_arrays([*[rows.field(c) for c in range(len(wanted))], *found(x)], names=[*wanted, n_tokens, n_unseen, likely, far])
+
+        rows = F.transform("rows", lambda x: F.struct(*[x[c].alias(c) for c in wanted])).alias("rows") if list(wanted) != of_docs else F.col("rows")
+        made = docs.select(*_PACKED, rows).mapInArrow(run, StructType([*fields, *StructType.fromDDL(extra).fields]))
+    else:
+        made = arrow_map(docs, wanted, extra, lambda b: found(Numbers.of(texts(b.column(b.schema.names.index(text))))), (text,))
     # the row's number is written with it, so it stays the same however often a task runs again
     first = staged(made.withColumn(row, F.monotonically_increasing_id()), "scored")
     totals = F.get(F.array(*[F.lit(float(x)) for x in model.vocabulary.total]), F.col("w.bucket"))

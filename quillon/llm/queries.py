@@ -102,10 +102,13 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens, log-likelihood and perplexity of every document under a model of all documents."""
+    from .common import drop_staged
     from .language_model import score, train
 
-    docs = table(spark, sf_dir, "documents")
-    return score(docs, train(docs), columns=["doc_id"])
+    model = train(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    scored = score(model.numbers, model)
+    drop_staged(model.numbers)
+    return scored
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -930,6 +930,69 @@ def test_fit_sends_the_driver_networks_alone(spark, monkeypatch):
     assert size < max(sent) and sum(sent) < 3.2 * size and len(sent) < 8, sent  # the begun network with its sums, the last one
 
 
+def test_texts_are_told_into_words_once(spark, tmp_path):
+    """The corpus's numbers do for fit and scores: they give what the texts give, and the files are read no more."""
+    r = random.Random(5)
+    rows = [(k, " ".join(r.choice("abcdefgh") * r.randint(1, 3) + str(r.randint(0, 60) ** 2) for _ in range(80)), k % 2 == 0) for k in range(200)] + [(900, None, None), (901, " ", True), (3, "a aa", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_tokens boolean").repartition(3).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    model = language_model.train(df, windows=50, keep=["n_tokens", "doc_id"])
+    for inside in (True, False):
+        want = [tuple(x) for x in language_model.score(df, model, columns=["n_tokens", "doc_id"], inside=inside).collect()]
+        got = [tuple(x) for x in language_model.score(model.numbers, model, inside=inside).collect()]
+        assert len(got) == 203 and sum(x[2] for x in got) == sum(len(language_model.tokens((x[1] or "").encode())) for x in rows)
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+    (tmp_path / "docs").rename(tmp_path / "gone")
+    ids = language_model.score(model.numbers, model, columns=["doc_id"])
+    assert ids.columns[:2] == ["doc_id", "n_tokens"] and sorted(x.doc_id for x in ids.collect()) == sorted(x[0] for x in rows)
+    common.drop_staged(model.numbers)
+
+
+def test_numbers_keep_every_word():
+    for n in (70_000, 5, 0):
+        xs = [" ".join(f"w{k % 69_000}" for k in range(n)).encode(), b"", b"A b ! a", b" "]
+        told = language_model.Numbers.unpacked(*language_model.Numbers.of(xs).packed())
+        words = [language_model.tokens(x) for x in xs]
+        assert told.sizes.tolist() == [len(x) for x in words]
+        assert told.keys[told.ids].tolist() == [language_model.word_key(w) for x in words for w in x]
+        assert told.buckets[told.ids].tolist() == [language_model.bucket_of(w) for x in words for w in x]
+        padded = told.padded(told.keys, -1, told.places())
+        assert padded.tolist() == [-1, -1, *[k for x in words for k in [*map(language_model.word_key, x), -1, -1]]]
+
+
+def test_a_step_moves_by_the_whole_gradient():
+    """Against gradients of the mean cost by differences, for rows of frequent and of rare inputs."""
+    rng = np.random.default_rng(2)
+    target = rng.integers(0, 200, 300)
+    around = [np.where(rng.random(300) < 0.5, 3, rng.integers(0, language_model.OUTPUTS + 1, 300)) for _ in range(4)]
+    made = language_model.begin(np.zeros((0, 5), np.int64), np.bincount(target, minlength=language_model.OUTPUTS))
+    net = made.network
+    for x in made.weights():
+        x += rng.standard_normal(x.shape).astype(np.float32) * 0.1
+
+    def cost():
+        return -net._chunk(around, target).mean()
+
+    places = [(0, (0, 3, 5)), (0, (2, 3, 0)), (0, (1, int(around[1][around[1] != 3][0]), 7)), (1, (4,)), (2, (6, 9)), (2, (32, 1)), (3, (int(net.class_of[target[0]]), 2, int(net.place[target[0]]))), (3, (int(net.class_of[3]), 32, 4))]
+    want = []
+    for k, at in places:
+        x, old = made.weights()[k], made.weights()[k][at]
+        x[at] = old + 0.02
+        up = cost()
+        x[at] = old - 0.02
+        want.append((up - cost()) / 0.04)
+        x[at] = old
+    before = [x.copy() for x in made.sums]
+    made.step(around, target)
+    assert [float(made.sums[k][at] - before[k][at]) ** 0.5 for k, at in places] == pytest.approx(np.abs(want), abs=1e-3, rel=0.05)
+    x, rows = rng.integers(0, 90, 4000).astype(np.uint16) ** 2, rng.standard_normal((1000, 4)).astype(np.float32)
+    x[:1200] = 7
+    own, total = language_model._added(x, rows)
+    plain = np.zeros((8000, 4))
+    np.add.at(plain, x, np.tile(rows, (4, 1)))
+    assert own.tolist() == sorted(set(x.tolist())) and np.abs(total - plain[own]).max() < 1e-3
+
+
 def test_scores_prefer_text_like_the_corpus(spark):
     phrase = "the quick brown fox jumps over the lazy dog and runs away . "
     df = frame(spark, [(k, phrase * 5) for k in range(60)] + [(100, None), (101, " ")])
