@@ -37,11 +37,12 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts lineage, survives lost executors."""
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """df written as Parquet (with the writer's options) to the shared folder and read again: cuts lineage, survives lost
+    executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillon/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     _paths.append(path)

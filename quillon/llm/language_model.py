@@ -16,6 +16,7 @@ import math
 import re
 import zlib
 from collections import defaultdict
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +44,8 @@ NEAR, GROUPS = 512, 16
 SMOOTH, _HELD = 0.5, 200_000
 #: Windows scored at once; rows of an input that are added up one by one (those of more frequent ones in one go).
 _CHUNK, _FEW = 1 << 15, 16
+#: Parquet looks at sizes after each row, not after a hundred, where a row is a batch of texts: a writer holds 64 MB at most.
+_FEW_LARGE_ROWS = {"parquet.block.size": str(64 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 #: A window of the first ones: keys and buckets of its words, _EDGE behind an end.
 _WINDOW, _EDGE = np.dtype([("key", np.int64, 5), ("bucket", np.uint8, 5)]), 255
 _TOKEN = re.compile(rb"[a-z0-9\x80-\xff']+|[^\sa-z0-9\x80-\xff']")
@@ -62,6 +65,11 @@ def bucket_of(w: bytes) -> int:
     return zlib.crc32(w[-2:]) % BUCKETS
 
 
+def buckets_of(words: Iterable[bytes]) -> np.ndarray:
+    """bucket_of() each."""
+    return (np.array([zlib.crc32(w[-2:]) for w in words], np.uint32) % BUCKETS).astype(np.uint8)
+
+
 # --- the network ------------------------------------------------------------------------------------------------------
 
 
@@ -175,7 +183,7 @@ class Fit:
         order, cut = net.by_class(target)  # all that follows is in this order
         around, target = [x[order] for x in around], target[order]
         h, place = net.hidden(around), net.place[target]
-        ds, to_class = np.empty((n, HIDDEN), np.float32), np.zeros_like(net.to_class)
+        ds, to_class, to_word = np.empty((n, HIDDEN), np.float32), np.zeros_like(net.to_class), np.zeros_like(net.to_word)
         for c in range(CLASSES):
             a, b = cut[c], cut[c + 1]
             if a < b:
@@ -186,29 +194,30 @@ class Fit:
                 np.matmul(dz, net.to_class[:HIDDEN].T, out=ds[a:b])
                 ds[a:b] += dy @ w[:HIDDEN].T
                 to_class += own.T @ dz
-                move(w, self.sums[3][c], own.T @ dy / n)
+                np.matmul(own.T, dy, out=to_word[c])
         move(net.to_class, self.sums[2], to_class / n)
+        move(net.to_word, self.sums[3], to_word / n)
         slope = h[:, :HIDDEN] ** 2
         ds *= np.subtract(1, slope, out=slope)
-        move(net.bias, self.sums[1], ds.mean(axis=0))
-        rows, grad = _added(np.concatenate([x + k * (OUTPUTS + 1) for k, x in enumerate(around)]).astype(np.uint16), ds)
-        grad /= n
-        embed, total = net.embed.reshape(-1, HIDDEN), self.sums[0].reshape(-1, HIDDEN)
-        s = np.take(total, rows, axis=0)
-        s += grad * grad
-        total[rows] = s
-        grad /= np.sqrt(s, out=s)
-        grad *= rate
-        embed[rows] -= grad
+        move(net.bias, self.sums[1], np.ones(n, np.float32) @ ds / n)
+        for e, sums, x in zip(net.embed, self.sums[0], around, strict=True):
+            rows, grad = _added(x.astype(np.uint16), ds)
+            grad /= n
+            s = np.take(sums, rows, axis=0)
+            s += grad * grad
+            sums[rows] = s
+            grad /= np.sqrt(s, out=s)
+            grad *= rate
+            e[rows] -= grad
 
 
 def _added(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different values of x, and the sum of each one's rows; the rows are repeated until x ends."""
+    """The different values of x, and the sum of each one's rows."""
     order = np.argsort(x, kind="stable")
     own = x[order]
     first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
     size = np.diff(first, append=len(x))
-    lie = np.take(rows, order % len(rows), axis=0)
+    lie = np.take(rows, order, axis=0)
     total = np.take(lie, first, axis=0)
     for k in np.flatnonzero(size > _FEW).tolist():
         np.add.reduce(lie[first[k] : first[k] + size[k]], axis=0, out=total[k])
@@ -332,7 +341,7 @@ class Numbers:
         place.default_factory = place.__len__
         own = [np.fromiter(map(place.__getitem__, words), np.uint32, len(words)) for words in map(tokens, xs)]
         keys = np.fromiter(map(xxhash.xxh3_64_intdigest, place), np.uint64, len(place)) ^ np.uint64(1 << 63)
-        return cls(np.array([len(x) for x in own], np.int32), np.concatenate([*own, np.zeros(0, np.uint32)]), keys.view(np.int64), np.fromiter(map(bucket_of, place), np.uint8, len(place)))
+        return cls(np.array([len(x) for x in own], np.int32), np.concatenate([*own, np.zeros(0, np.uint32)]), keys.view(np.int64), buckets_of(place))
 
     def packed(self) -> list[bytes]:
         ids = self.ids if len(self.keys) > 1 << 16 else self.ids.astype(np.uint16)
@@ -614,7 +623,7 @@ def train(docs: DataFrame, text: str = "text", windows: int = WINDOWS, keep: lis
     words, totals by bucket, classes and two networks; about `windows` windows meet in one task. A corpus without words gives a model that knows none."""
     prepare(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
-    numbers = staged(numbered(docs, text, min(1.0, 6 * windows / max(1, size)), keep), "numbers")
+    numbers = staged(numbered(docs, text, min(1.0, 6 * windows / max(1, size)), keep), "numbers", **_FEW_LARGE_ROWS)
     rows = staged(corpus_rows(numbers), "corpus")
     whole = size <= 6 * windows  # all windows are among the rows
     words = rows.where("window is null").select("key", "bucket", "n")
